@@ -1,0 +1 @@
+"""The engine has batch inputs only; this package holds no operators."""
