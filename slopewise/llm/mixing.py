@@ -116,3 +116,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = spans.join(slots, ["source_no", "turn"], "left")
     out = taken.groupBy("source_no", "position", "doc_id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("claimed") == 1, F.col("words"))), F.lit(0)).cast("long").alias("taken"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents, with the columns they came with, each as often as the mix takes it (0 to 2 times).
+
+    A document that is taken in part counts as taken whole. The columns are
+    doc_id, text and source among others. Rows that share doc_id, source and
+    size are told apart by number only, and as many of them stay as are taken.
+    """
+    taken = mix(docs, **options)
+    uses = taken.withColumn("uses", F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
+    # One row for each document, or for each set of rows that agree: how many of them appear how often.
+    uses = uses.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("uses"), asc=False).alias("__uses"))
+    uses = uses.where(F.exists("__uses", lambda u: u > 0)).withColumnsRenamed({"doc_id": "__d", "source": "__s", "size": "__n"})
+    size = word_count(F.col("text"))
+    joined = docs.withColumn("__size", size).join(uses, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")))
+    single = joined.where(F.size("__uses") == 1).withColumn("__u", F.get("__uses", F.lit(0)))
+    several = joined.where(F.size("__uses") > 1)
+    several = several.withColumn("__u", F.get("__uses", F.row_number().over(W.partitionBy("__d", "__s", "__n").orderBy(F.xxhash64("text"))) - 1))
+    rows = single.unionByName(several)
+    return rows.where("__u > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__u")))).select(*docs.columns)

@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopewise.llm import linededup, mixing, sharding, simhash
-from slopewise.session import table
+from slopewise.llm import ann, decontam, langid, licences, linededup, mixing, quality, sharding, simhash, warc
+from slopewise.session import fresh_path, table
+
+
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_tokens", "n_covered", "coverage", "n_slots")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +24,35 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_pages(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = ~quality.held_out(F.col("doc_id"))
+    model = quality.fit(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select("doc_id", "slot", "shard")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learn = langid.learnable(F.col("doc_id"))
+    found = langid.identify(docs, langid.fit(docs.where(learn)))
+    return found.select("doc_id", (~langid.learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -30,8 +64,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_permutation_index": op1_permutation_index,
+    "op2_template_decontamination": op2_template_decontamination,
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
+    "op5_quality": op5_quality,
+    "op6_licences": op6_licences,
     "op7_sharding": op7_sharding,
+    "op8_language": op8_language,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
@@ -64,6 +104,16 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
                CAST(greatest(0, least(goal - start, size)) + greatest(0, least(goal - source_size - start, size)) AS BIGINT) AS taken
         FROM laid""",
+    "op4_warc": r"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY n, h) AS first FROM p),
+        b AS (SELECT *, list_transform(range(8), g -> CAST('0x' || substr(h, CAST(5 * g + 1 AS INT), 5) AS INT)) AS parts FROM f)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               array_to_string(flatten(list_transform(parts, v -> list_transform([15, 10, 5, 0],
+                   s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> s) & 31) + 1 AS INT), 1)))), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM b""",
     "op10_line_dedup": r"""
         WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         exploded AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs),

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slopewise.llm.common import as_bytes, id_and_bytes, small_batches
@@ -199,3 +200,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def one_of_each_group(docs: DataFrame, width: int = 3) -> DataFrame:
+    """The documents, with the columns they came with, that have the smallest doc_id of their group.
+
+    Rows that repeat such a doc_id give one row, that with the smallest text;
+    rows without an id stay.
+    """
+    found = near_duplicates(docs, width=width)
+    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
+    joined = docs.join(kept, docs["doc_id"] == kept["__d"], "left").where("doc_id is null or __d is not null")
+    order = W.partitionBy("doc_id").orderBy("text")
+    several = joined.where("__n > 1").withColumn("__r", F.row_number().over(order)).where("__r = 1")
+    return joined.where("doc_id is null or __n = 1").select(*docs.columns).unionByName(several.select(*docs.columns))
