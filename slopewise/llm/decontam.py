@@ -45,12 +45,13 @@ def _is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1).isin(NAME, NUMBER, UNIT)
 
 
-def _windows(tokens: Column, width: int) -> Column:
-    """Structs (pos, h) of all windows of the width."""
-    marks = F.transform(tokens, lambda t: F.xxhash64(t))
-    at = F.sequence(F.lit(0), F.size(tokens) - width)
-    all_of = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(marks, i + 1, width)).alias("h")))
-    return F.when(F.size(tokens) >= width, all_of)
+def _windows(rows: DataFrame, width: int) -> DataFrame:
+    """The rows with one more column, w: a struct (pos, h) for each window of the width over their tokens."""
+    # Hashes of tokens are a column of their own, used twice: else they would be found anew for every window.
+    marked = rows.withColumn("__marks", F.transform("tokens", lambda t: F.xxhash64(t)))
+    at = F.sequence(F.lit(0), F.size("__marks") - width)
+    windows = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(F.col("__marks"), i + 1, width)).alias("h")))
+    return marked.withColumn("w", F.explode(F.when(F.size("__marks") >= width, windows))).drop("__marks")
 
 
 def _literal_enough(tokens: Column, pos: Column, width: int, literal: int) -> Column:
@@ -79,12 +80,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     parts = []
     for w in widths or [width]:
         own = items.where(F.col("width") == w)
-        posts = own.select("item_key", "n_tokens", "tokens", F.explode(_windows(F.col("tokens"), w)).alias("b"))
-        posts = posts.where(_literal_enough(F.col("tokens"), F.col("b.pos"), w, LITERAL)).select(F.col("b.h").alias("h"), "item_key", "n_tokens", F.col("b.pos").alias("bpos"))
+        posts = _windows(own.select("item_key", "n_tokens", "tokens"), w).where(_literal_enough(F.col("tokens"), F.col("w.pos"), w, LITERAL))
+        posts = posts.select(F.col("w.h").alias("h"), "item_key", "n_tokens", F.col("w.pos").alias("bpos"))
         if posts.count() <= BROADCAST_WINDOWS:
             posts = F.broadcast(posts)
-        seen = tokened.select("doc_id", "text_hash", F.explode(_windows(F.col("tokens"), w)).alias("d"))
-        seen = seen.select("doc_id", "text_hash", F.col("d.h").alias("h"), F.col("d.pos").alias("pos"))
+        seen = _windows(tokened, w).select("doc_id", "text_hash", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
         hit = seen.join(posts, "h").select("doc_id", "text_hash", "item_key", "n_tokens", "pos", "bpos", F.lit(w).alias("width"))
         parts.append(hit)
     hits = parts[0]
@@ -110,8 +110,9 @@ def _consistent(pairs: DataFrame, rows: DataFrame, coverage: float) -> DataFrame
     mine = pairs.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     both = mine.join(rows, rows["doc_id"].eqNullSafe(mine["d"]) & (rows["text_hash"] == mine["t"])).withColumn("own", _tokens(F.col("text"), True)).drop("text", "d", "t")
     key = ["doc_id", "text_hash", "item_id", "item_key", "n_tokens", "width", "n_slots"]
+    # own is used twice below, which keeps it a column: else the text would be cut anew for every token.
     spots = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct((x["pos"] + k).alias("pos"), (x["bpos"] + k).alias("bpos"))))))
-    met = F.transform(spots, lambda s: F.struct((s["pos"] - s["bpos"]).alias("diagonal"), s["bpos"].alias("bpos"), F.get(F.col("marked"), s["bpos"]).alias("theirs"), F.get(F.col("own"), s["pos"]).alias("ours")))
+    met = F.transform(spots, lambda s: F.struct((s["pos"] - s["bpos"]).alias("diagonal"), s["bpos"].alias("bpos"), F.get(F.col("marked"), s["bpos"]).alias("theirs"), F.when(s["pos"] < F.size("own"), F.get(F.col("own"), s["pos"])).alias("ours")))
     spread = both.select(*key, F.explode(met).alias("m")).select(*key, "m.*")
     slot = F.substring("theirs", 1, 1).isin(NAME, NUMBER)
     lines = spread.groupBy(*key, "diagonal").agg(
