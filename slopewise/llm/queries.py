@@ -107,10 +107,10 @@ ORACLE_SQL = {
     "op4_warc": r"""
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY n, h) AS first FROM p),
-        b AS (SELECT *, list_transform(range(8), g -> CAST('0x' || substr(h, CAST(5 * g + 1 AS INT), 5) AS INT)) AS parts FROM f)
+        b AS (SELECT *, list_transform(range(8), lambda g: CAST('0x' || substr(h, CAST(5 * g + 1 AS INT), 5) AS INT)) AS parts FROM f)
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-               array_to_string(flatten(list_transform(parts, v -> list_transform([15, 10, 5, 0],
-                   s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> s) & 31) + 1 AS INT), 1)))), '') AS payload_digest,
+               array_to_string(flatten(list_transform(parts, lambda v: list_transform([15, 10, 5, 0],
+                   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> s) & 31) + 1 AS INT), 1)))), '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM b""",
