@@ -30,8 +30,8 @@ class Objective:
     def scaled(self, by: float) -> Objective:
         """All weights times by; nothing left of them, at 0, means length alone."""
         if by == 0:
-            return replace(SHORTEST, name=f"{self.name}*0")
-        return replace(self, name=f"{self.name}*{by:g}", climb=self.climb * by, steep=self.steep * by, extreme=self.extreme * by)
+            return replace(SHORTEST, name=f"{self.name}_x0")
+        return replace(self, name=f"{self.name}_x{by:g}".replace(".", "_"), climb=self.climb * by, steep=self.steep * by, extreme=self.extreme * by)
 
 
 SHORTEST = Objective("shortest", comfort=False)

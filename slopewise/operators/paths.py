@@ -115,36 +115,40 @@ def distances_by_joins(arcs: DataFrame, sources: DataFrame, max_rounds: int = 10
     return known
 
 
-def routes(arcs: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request, source, target, cost, arcs) for each request whose target can be reached; one tree a source and batch.
+def routes(arcs: DataFrame, requests: DataFrame, costs: tuple[str, ...] = ("cost",)) -> DataFrame:
+    """(objective, request, source, target, cost, arcs) for each request and cost column whose target can be reached.
 
-    requests is (request, source, target). A route from a node to itself has no arcs.
+    requests is (request, source, target). One tree serves all requests of a
+    source and cost. A route from a node to itself has no arcs. Arcs may be
+    parallel; the cheapest serves.
     """
-    net = Network.of(arcs, "cost")
+    net = Network.of(arcs, *costs)
+    schema = "objective string, request long, source long, target long, cost double, arcs array<long>"
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for source, rows in b.groupby("source"):
+            for (source, objective), rows in b.groupby(["source", "objective"]):
+                out = []
                 at = net.number(source)
                 ends = {t: net.number(t) for t in rows["target"]}
                 wanted = {n for n in ends.values() if n >= 0}
                 if at < 0 or not wanted:
                     continue
-                cost, via = net.tree(at, 0, wanted)
+                cost, via = net.tree(at, costs.index(objective), wanted)
                 for request, target in zip(rows["request"], rows["target"], strict=True):
                     if ends[target] >= 0 and np.isfinite(cost[ends[target]]):
                         path = net.path(via, ends[target])
-                        out.append((request, source, target, cost[ends[target]], net.arc[path].tolist() if path else []))
-            if out:
-                yield pd.DataFrame(out, columns=["request", "source", "target", "cost", "arcs"])
+                        out.append((objective, request, source, target, cost[ends[target]], net.arc[path].tolist() if path else []))
+                if out:
+                    yield pd.DataFrame(out, columns=["objective", "request", "source", "target", "cost", "arcs"])
 
-    return requests.repartition("source").mapInPandas(solve, "request long, source long, target long, cost double, arcs array<long>")
+    asked = requests.withColumn("objective", F.explode(F.array(*[F.lit(c) for c in costs])))
+    return asked.repartition("source", "objective").mapInPandas(solve, schema)
 
 
 def steps(routes: DataFrame) -> DataFrame:
-    """(request, pos, arc_id), one row an arc."""
-    return routes.select("request", F.posexplode("arcs").alias("pos", "arc_id"))
+    """(objective, request, pos, arc_id), one row an arc."""
+    return routes.select("objective", "request", F.posexplode("arcs").alias("pos", "arc_id"))
 
 
 def summary(steps: DataFrame, arcs: DataFrame) -> DataFrame:

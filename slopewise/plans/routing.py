@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,11 +84,15 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.join(F.broadcast(first)).where("node <> source").select(F.col("hood").cast("long").alias("request"), F.col("source"), F.col("node").alias("target"))
 
 
-def trips(spark: SparkSession, sf_dir: str, mode: str = "walk", objectives: tuple[Objective, ...] = OBJECTIVES) -> DataFrame:
+def all_costs(spark: SparkSession, sf_dir: str, mode: str, objectives: tuple[Objective, ...]) -> DataFrame:
+    """The arcs of a mode with a cost column for each objective, named like it."""
+    return net.arcs(spark, sf_dir).where(F.col(mode)).select("src", "dst", "arc_id", *[(arc_cost(o, mode) + F.expr(TIE)).alias(o.name) for o in objectives])
+
+
+def trips(spark: SparkSession, sf_dir: str, mode: str = "walk", objectives: tuple[Objective, ...] = OBJECTIVES, requests: DataFrame | None = None) -> DataFrame:
     """(objective, request, pos, arc_id) of all trips under all objectives."""
-    asked = _requests(spark, sf_dir)
-    each = [paths.steps(paths.routes(network(spark, sf_dir, mode, o), asked)).select(F.lit(o.name).alias("objective"), "request", "pos", "arc_id") for o in objectives]
-    return reduce(DataFrame.unionByName, each)
+    asked = _requests(spark, sf_dir) if requests is None else requests
+    return paths.steps(paths.routes(all_costs(spark, sf_dir, mode, objectives), asked, tuple(o.name for o in objectives)))
 
 
 _ROUTES = f"""{_walk_sql(OBJECTIVES)}, {_FACTS},
@@ -200,9 +202,9 @@ def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     asked = _requests(spark, sf_dir)
-    scales = [(float(s), costs.BALANCED.scaled(s)) for s in costs.SWEEP] + [(float("inf"), costs.MIN_CLIMB)]
-    each = [paths.routes(network(spark, sf_dir, "walk", o), asked).withColumn("scale", F.lit(s)) for s, o in scales]
-    rows = reduce(DataFrame.unionByName, each)
+    scales = {costs.BALANCED.scaled(x).name: float(x) for x in costs.SWEEP} | {costs.MIN_CLIMB.name: float("inf")}
+    objectives = (*(costs.BALANCED.scaled(x) for x in costs.SWEEP), costs.MIN_CLIMB)
+    rows = paths.routes(all_costs(spark, sf_dir, "walk", objectives), asked, tuple(scales)).withColumn("scale", net.choose(F.col("objective"), scales))
     first = rows.withColumn("r", F.row_number().over(W.partitionBy("request", "arcs").orderBy("scale"))).where("r = 1")
     steps = first.select(F.struct("request", "scale").alias("request"), F.posexplode("arcs").alias("pos", "arc_id"))
     return paths.non_dominated(paths.summary(steps, _measured(spark, sf_dir)).select("request.*", "distance", "gain", "max_grade"), ["request"], ["distance", "gain", "max_grade"])
@@ -238,7 +240,7 @@ def trip_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _requests(spark, sf_dir)
     last = asked.agg(F.max("request").alias("request"))
     asked = asked.join(F.broadcast(last), "request", "left_semi")
-    each = [paths.steps(paths.routes(network(spark, sf_dir, "walk", o), asked)).withColumn("request", F.struct(F.lit(o.name).alias("objective"), "request")) for o in OBJECTIVES]
-    rows = paths.summary(reduce(DataFrame.unionByName, each), _measured(spark, sf_dir)).select("request.objective", "request.request", "distance", "gain", "loss", "max_grade")
+    steps = trips(spark, sf_dir, requests=asked).withColumn("request", F.struct("objective", "request"))
+    rows = paths.summary(steps, _measured(spark, sf_dir)).select("request.objective", "request.request", "distance", "gain", "loss", "max_grade")
     rows = paths.comparisons(rows.withColumns({"mode": F.lit("walk"), "origin": F.lit(0), "destination": F.col("request")}))
     return rows.select("objective", "distance", "gain", "loss", "max_grade", "detour", "saved", "saved_pct")

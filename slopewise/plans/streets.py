@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopewise.functions import geometry
-from slopewise.operators import access, runs, spatial
+from slopewise.operators import access, runs, sidewalks, spatial
 from slopewise.plans.registry import query
 from slopewise.sources import street_network as net
 
@@ -343,3 +343,44 @@ def access_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("access_points", f"WITH {_FACTS} SELECT hood, node FROM access_point")
 def access_points_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access_points(spark, sf_dir)
+
+
+def _straight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = net.nodes(spark, sf_dir).select("node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    edges = net.edges(spark, sf_dir).join(place.selectExpr("node as u", "x as x0", "y as y0"), "u").join(place.selectExpr("node as v", "x as x1", "y as y1"), "v")
+    return edges.select("edge_id", "u", "v", "len", "cls", "segment", "x0", "y0", "x1", "y1")
+
+
+def _beside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge again, 8 m beside itself, with a number of its own."""
+    across = F.col("segment").startswith("r")
+    moved = {c: F.col(c) + F.when(across, 0).otherwise(800) for c in ("x0", "x1")} | {c: F.col(c) + F.when(across, 800).otherwise(0) for c in ("y0", "y1")}
+    return _straight(spark, sf_dir).withColumns(moved).withColumn("edge_id", -F.col("edge_id") - 1)
+
+
+@query(
+    "nearest_street_12m",
+    f"""WITH line AS (SELECT e.edge_id, e.cls, segment LIKE 'r%' AS across, a.x AS x0, a.y AS y0 FROM edge e JOIN node a ON a.node = e.u),
+            probe AS (SELECT -edge_id - 1 AS edge_id, across, f, x0 + CASE WHEN across THEN f * {net.CELL} ELSE 800 END AS px, y0 + CASE WHEN across THEN 800 ELSE f * {net.CELL} END AS py FROM line, (VALUES (0.1::DOUBLE), (0.3), (0.5), (0.7), (0.9)) AS t(f)),
+            near AS (SELECT p.edge_id, p.f, s.across = p.across AS alike,
+                            round(CASE WHEN s.across THEN sqrt(pow(p.py - s.y0, 2) + pow(p.px - greatest(s.x0, least(s.x0 + {net.CELL}, p.px)), 2)) ELSE sqrt(pow(p.px - s.x0, 2) + pow(p.py - greatest(s.y0, least(s.y0 + {net.CELL}, p.py)), 2)) END, 6) AS gap
+                     FROM probe p JOIN line s ON s.cls <> 'footway' AND s.x0 BETWEEN p.px - {net.CELL + 1200} AND p.px + 1200 AND s.y0 BETWEEN p.py - {net.CELL + 1200} AND p.py + 1200),
+            best AS (SELECT edge_id, f, arg_min(alike, gap * 10 + CASE WHEN alike THEN 0 ELSE 1e-7 END) AS alike FROM near WHERE gap <= 1200 GROUP BY ALL)
+       SELECT l.edge_id, count(b.f) AS near, count(*) FILTER (WHERE b.alike) AS parallel FROM (SELECT -edge_id - 1 AS edge_id FROM line) l LEFT JOIN best b USING (edge_id) GROUP BY l.edge_id""",
+)
+def nearest_street(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sidewalks.probe_hits(_beside(spark, sf_dir).select("edge_id", "x0", "y0", "x1", "y1"), _straight(spark, sf_dir).where("cls <> 'footway'").select("edge_id", "x0", "y0", "x1", "y1"), offset=1200.0)
+
+
+@query("sidewalk_stubs")
+def sidewalk_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walkable network without dead-end steps and footways."""
+    edges = net.edges(spark, sf_dir).where("walk_ok and cls <> 'cycleway'").select("edge_id", "u", "v", "cls")
+    return sidewalks.prune_stubs(edges.drop("cls"), edges.where("cls in ('steps', 'footway')"))
+
+
+@query("sidewalk_reconnect")
+def sidewalk_reconnect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footways that join what the streets without them leave apart."""
+    edges = net.edges(spark, sf_dir).select("edge_id", "u", "v", "len", "cls")
+    return sidewalks.reconnect(edges.where("cls in ('primary', 'residential')"), edges.where("cls = 'footway'"))

@@ -30,8 +30,15 @@ def choose(column: Column, table: dict, default=None) -> Column:
     return out if default is None else out.otherwise(F.lit(default))
 
 
+_WIDTHS: dict[tuple[str, str], int] = {}
+
+
 def width(spark: SparkSession, sf_dir: str) -> int:
-    return max(1, math.isqrt(table(spark, sf_dir, "part").count()))
+    """Corners in a row of the grid; counted once for each session and folder, as the tables do not change."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _WIDTHS:
+        _WIDTHS[key] = max(1, math.isqrt(table(spark, sf_dir, "part").count()))
+    return _WIDTHS[key]
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
