@@ -56,7 +56,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped = losing.select("doc_id", F.explode("places").alias("p")).groupBy("doc_id", F.col("p.text_hash").alias("text_hash"))
     dropped = dropped.agg(F.collect_set("p.at").alias("positions")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     joined = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["d"]) & (rows["text_hash"] == dropped["h"]), "left")
-    lines = _lines(F.col("text"))
+    # The lines are a column of their own, used several times: else the text would be split anew for every line.
+    joined = joined.withColumn("lines", _lines(F.col("text")))
+    lines = F.col("lines")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("positions"))
     kept = F.when(F.col("positions").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(places, lambda at: F.get(lines, at)), "\n"))
     return joined.select(
