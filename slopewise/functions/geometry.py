@@ -87,3 +87,22 @@ def transverse_mercator(lon: Column, lat: Column, central: float = -123.0) -> tu
     x = k0 * n * (big + (1 - t + c) * big**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * ep2) * big**5 / 120) + 500_000.0
     y = k0 * (m + n * F.tan(phi) * (big**2 / 2 + (5 - t + 9 * c + 4 * c**2) * big**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * ep2) * big**6 / 720))
     return x, y
+
+
+def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """The points of a line that Douglas and Peucker's method keeps; both ends always."""
+    keep, work = {0, len(points) - 1}, [(0, len(points) - 1)]
+    while work:
+        a, b = work.pop()
+        (ax, ay), (bx, by) = points[a], points[b]
+        far, at = tolerance, -1
+        whole = math.hypot(bx - ax, by - ay)
+        for k in range(a + 1, b):
+            x, y = points[k]
+            gap = abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / whole if whole else math.hypot(x - ax, y - ay)
+            if gap > far:
+                far, at = gap, k
+        if at >= 0:
+            keep.add(at)
+            work += [(a, at), (at, b)]
+    return [p for k, p in enumerate(points) if k in keep]

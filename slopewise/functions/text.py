@@ -72,3 +72,36 @@ def match_score(name: Column, wanted: Column) -> Column:
     words = F.split(wanted, " ")
     all_begin = F.forall(words, lambda t: F.contains(F.concat(F.lit(" "), name), F.concat(F.lit(" "), t)))
     return F.when(name == wanted, 0).when(F.startswith(name, wanted), 1).when(all_begin, 2).when((F.length(wanted) >= 3) & F.contains(name, wanted), 3).otherwise(-1)
+
+
+def short_street(name: Column) -> Column:
+    """The name with its street words shortened, capitals kept elsewhere."""
+    return F.array_join(F.transform(F.split(name, " "), lambda w: F.coalesce(F.initcap(choose(F.lower(w), SHORT)), w)), " ")
+
+
+def share_token(kind: str, fields: list[str]) -> str:
+    """A link's text: the kind, `t` for a trip or `l` for a loop, then the fields; what is not a letter or digit becomes hex."""
+    if kind not in ("t", "l"):
+        raise ValueError(f"unknown kind {kind!r}")
+    plain = lambda s: "".join(c if c.isascii() and c.isalnum() else "".join(f"_{b:02x}" for b in c.encode()) for c in s)
+    return "~".join([kind, *map(plain, fields)])
+
+
+def read_token(token: str) -> tuple[str, list[str]]:
+    """The kind and fields of a link's text; ValueError if it is none."""
+    kind, *fields = token.split("~")
+    if kind not in ("t", "l"):
+        raise ValueError(f"unknown kind {kind!r}")
+
+    def field(s: str) -> str:
+        out, at = bytearray(), 0
+        while at < len(s):
+            if s[at] == "_":
+                out.append(int(s[at + 1 : at + 3], 16))
+                at += 3
+            else:
+                out += s[at].encode()
+                at += 1
+        return out.decode()
+
+    return kind, [field(s) for s in fields]

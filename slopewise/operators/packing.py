@@ -114,3 +114,34 @@ def unbundle(packed: str) -> tuple[dict[str, np.ndarray], dict[str, list[str]]]:
         values = np.frombuffer(body, TYPES[m["t"]], m["n"], m["o"])
         out[name] = np.cumsum(values, dtype=values.dtype) if m.get("d") else values
     return out, manifest["strings"]
+
+MOST_EDGES = 5_000_000
+
+
+def pack_network(nodes: DataFrame, edges: DataFrame, arcs: DataFrame) -> str:
+    """The network as a bundle: corners in Z-order, arcs sorted by corner, attributes of edges, names once.
+
+    The bundle is one file for a browser, so the network must be small, which
+    is checked.
+    """
+    from slopewise.functions.geometry import morton
+
+    if edges.limit(MOST_EDGES + 1).count() > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges")
+    corners = nodes.select("node", "col", "row", "x", "y", "z", morton(F.col("col"), F.col("row")).alias("k")).orderBy("k", "node").toPandas()
+    place = {int(n): i for i, n in enumerate(corners["node"])}
+    names = sorted({r.name for r in edges.select("name").distinct().collect() if r.name})
+    number = {n: i + 1 for i, n in enumerate(names)}
+    streets = edges.select("edge_id", "u", "v", "len", "name", "cls").orderBy("edge_id").toPandas()
+    at = {int(e): i for i, e in enumerate(streets["edge_id"])}
+    ways = arcs.select("arc_id", "edge_id", "src", "dst", "gain", bits(F.col("walk"), F.col("bike"), F.col("direction") == "rev").alias("flags")).toPandas()
+    ways["s"], ways["t"] = ways["src"].map(place), ways["dst"].map(place)
+    ways = ways.sort_values(["s", "arc_id"])
+    first = np.concatenate([[0], np.cumsum(np.bincount(ways["s"], minlength=len(corners)))])
+    classes = sorted(streets["cls"].unique())
+    arrays = {
+        "x": ("i4", corners["x"], True), "y": ("i4", corners["y"], True), "z": ("i4", corners["z"], True), "first": ("u4", first, True),
+        "head": ("u4", ways["t"], False), "edge": ("u4", ways["edge_id"].map(at), False), "gain": ("u4", ways["gain"], False), "flags": ("u1", ways["flags"], False),
+        "len": ("u4", streets["len"], False), "name": ("u2", streets["name"].map(lambda n: number.get(n, 0)), False), "cls": ("u1", streets["cls"].map(classes.index), False),
+    }
+    return bundle({k: (t, np.asarray(v), d) for k, (t, v, d) in arrays.items()}, {"names": names, "classes": classes})

@@ -127,13 +127,13 @@ def _trip_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.trips(spark, sf_dir).join(arcs, "arc_id").select("request", "objective", "edge_id", "arc_id")
 
 
-@query(
-    "barriers",
-    f"""WITH {routing._ROUTES}, used AS (SELECT DISTINCT objective, request, edge_id FROM step JOIN arc USING (arc_id) WHERE gain + loss >= len * 0.08::DOUBLE),
-            k AS (SELECT greatest(1, count(DISTINCT objective) - 1) AS kinds FROM step),
-            n AS (SELECT edge_id, count(*) FILTER (WHERE objective = 'shortest') AS shortest, count(*) FILTER (WHERE objective <> 'shortest') / max(kinds) AS flat FROM used, k GROUP BY edge_id)
-       SELECT edge_id, shortest, round(flat, 6) AS flat, round(least(1.0, flat / shortest), 6) AS unavoidable, round(shortest * (1 - least(1.0::DOUBLE, flat / shortest)), 6) AS score FROM n WHERE shortest > 0""",
-)
+_BARRIERS = f"""{routing._ROUTES}, used AS (SELECT DISTINCT objective, request, edge_id FROM step JOIN arc USING (arc_id) WHERE gain + loss >= len * 0.08::DOUBLE),
+    kinds AS (SELECT greatest(1, count(DISTINCT objective) - 1) AS kinds FROM step),
+    counts AS (SELECT edge_id, count(*) FILTER (WHERE objective = 'shortest') AS shortest, count(*) FILTER (WHERE objective <> 'shortest') / max(kinds) AS flat FROM used, kinds GROUP BY edge_id),
+    barrier AS (SELECT edge_id, shortest, round(flat, 6) AS flat, round(least(1.0, flat / shortest), 6) AS unavoidable, round(shortest * (1 - least(1.0::DOUBLE, flat / shortest)), 6) AS score FROM counts WHERE shortest > 0)"""
+
+
+@query("barriers", f"WITH {_BARRIERS} SELECT * FROM barrier")
 def barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.barriers(routing.trips(spark, sf_dir), net.arcs(spark, sf_dir), 0.08)
 
