@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopewise.llm.common import lower_ascii
+from slopewise.session import cut
 
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
@@ -49,6 +50,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.struct("text_hash", F.col("e.at").alias("at")).alias("place"),
     )
     held = hashed.groupBy("h1", "h2", "doc_id").agg(F.collect_list("place").alias("places"))
+    held = cut(held)  # hashes and positions; the texts are split once
     common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     common = common.select(F.bitwise_not("h1").alias("k1"), "h2", "keeper")
     # The complemented key makes the join deal both sides anew, so that adaptive execution can split a frequent line.
