@@ -15,6 +15,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS = 500
 
 
+#: Most rows of ids that are broadcast; their number is counted first, and more are joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, which should come from a checkpoint or a table, marked for broadcast if they are few enough."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps the batches that Python workers receive small, since single texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

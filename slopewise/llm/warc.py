@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopewise.llm.common import as_bytes, small_batches
+from slopewise.llm.common import as_bytes, broadcast_if_small, small_batches
 from slopewise.session import cut
 
 #: Bytes of records, before compression, after which a writer begins the next archive.
@@ -42,7 +42,9 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
 @contextmanager
@@ -52,6 +54,8 @@ def _whole_file(uri: str) -> Iterator[BinaryIO]:
     part = f"{path}.{uuid.uuid4().hex}.part"
     with store.open_output_stream(part, compression=None) as out:
         yield out
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_file(path)  # left by an earlier attempt; not every store moves onto a file
     store.move(part, path)
 
 
@@ -182,7 +186,8 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     # The negated length makes the join deal both sides anew, so that adaptive execution can split a frequent payload.
     first = first.select((-F.col("n")).alias("m"), "digest", "first")
     twins = known.withColumn("m", -F.col("n")).join(first, ["m", "digest"]).where("page_id <> first")
-    twins = twins.select(F.col("page_id").alias("__p"), F.col("first").alias("refers_to"), F.col("n").alias("__n"), F.col("digest").alias("__g")).distinct()
+    twins = cut(twins.select(F.col("page_id").alias("__p"), F.col("first").alias("refers_to"), F.col("n").alias("__n"), F.col("digest").alias("__g")).distinct())
+    twins = broadcast_if_small(twins)  # then the payloads need no shuffle
     same = (rows["page_id"] == twins["__p"]) & (F.octet_length(rows["payload"]) == twins["__n"]) & (F.unhex(F.sha1(rows["payload"])) == twins["__g"])
     return rows.join(twins, same, "left").select("page_id", "url", "payload", "refers_to")
 
