@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slopewise.llm.common import as_bytes, id_and_bytes, small_batches
+from slopewise.llm.common import as_bytes, broadcast_if_small, id_and_bytes, small_batches
 from slopewise.operators.components import connected_components
 from slopewise.session import cut
 
@@ -208,9 +208,14 @@ def one_of_each_group(docs: DataFrame, width: int = 3) -> DataFrame:
     Rows that repeat such a doc_id give one row, that with the smallest text;
     rows without an id stay.
     """
-    found = near_duplicates(docs, width=width)
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
-    joined = docs.join(kept, docs["doc_id"] == kept["__d"], "left").where("doc_id is null or __d is not null")
+    found = cut(near_duplicates(docs, width=width).select("doc_id", "component_id"))
+    # A document goes if its group has a smaller id; those that go are fewer than those that stay, as a rule.
+    gone = broadcast_if_small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__d")).distinct())
+    left = docs.join(gone, docs["doc_id"] == gone["__d"], "left_anti")
+    again = cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__d")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__d"))
+    if again.isEmpty():
+        return left
+    again = broadcast_if_small(again)
     order = W.partitionBy("doc_id").orderBy("text")
-    several = joined.where("__n > 1").withColumn("__r", F.row_number().over(order)).where("__r = 1")
-    return joined.where("doc_id is null or __n = 1").select(*docs.columns).unionByName(several.select(*docs.columns))
+    several = left.join(again, left["doc_id"] == again["__d"], "left_semi").withColumn("__r", F.row_number().over(order)).where("__r = 1")
+    return left.join(again, left["doc_id"] == again["__d"], "left_anti").unionByName(several.select(*docs.columns))
