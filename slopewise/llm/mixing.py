@@ -28,8 +28,6 @@ BLOCK_WORDS = 65536
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval by which schedule points find their source.
 CELLS = 4096
-#: Documents for each range of the hash, about; the number of ranges is a power of sixteen.
-RANGE_DOCS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -95,8 +93,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = cut(rows)  # narrow rows; the texts are read once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     n = sizes.agg(F.max("n")).first()[0] or 0
+    # About as many ranges of the hash as rows in a range, so that neither sum of the two has many rows in one task.
     digits = 1
-    while RANGE_DOCS * 16**digits < n:
+    while 16 ** (2 * digits) < n:
         digits += 1
     plan = targets(sizes.select("source", "source_size"), weights, total, most)
     plan = plan.withColumn("source_no", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())).cast("long"))
@@ -124,16 +123,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document that is taken in part counts as taken whole. The columns are
     doc_id, text and source among others. Rows that share doc_id, source and
     size are told apart by number only, and as many of them stay as are taken.
+    The texts are joined by id and source, and only once.
     """
     taken = mix(docs, **options)
     uses = taken.withColumn("uses", F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
-    # One row for each document, or for each set of rows that agree: how many of them appear how often.
-    uses = uses.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("uses"), asc=False).alias("__uses"))
-    uses = uses.where(F.exists("__uses", lambda u: u > 0)).withColumnsRenamed({"doc_id": "__d", "source": "__s", "size": "__n"})
-    size = word_count(F.col("text"))
-    joined = docs.withColumn("__size", size).join(uses, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")))
-    single = joined.where(F.size("__uses") == 1).withColumn("__u", F.get("__uses", F.lit(0)))
-    several = joined.where(F.size("__uses") > 1)
-    several = several.withColumn("__u", F.get("__uses", F.row_number().over(W.partitionBy("__d", "__s", "__n").orderBy(F.xxhash64("text"))) - 1))
-    rows = single.unionByName(several)
+    # One row for each id and source: how often each of its rows appears, with their sizes.
+    uses = cut(uses.groupBy("doc_id", "source").agg(F.array_sort(F.collect_list(F.struct("size", (-F.col("uses")).alias("less")))).alias("__uses")).withColumnsRenamed({"doc_id": "__d", "source": "__s"}))
+    known = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s"))
+    single = uses.where(F.size("__uses") == 1).select("__d", "__s", (-F.get("__uses", F.lit(0))["less"]).alias("__u")).where("__u > 0")
+    rows = docs.join(single, known).select(*docs.columns, "__u")
+    several = uses.where(F.size("__uses") > 1)
+    if not several.isEmpty():
+        # Rows that share id and source: the k-th smallest, by size and then by hash of the text, takes the k-th entry.
+        place = F.row_number().over(W.partitionBy("__d", "__s").orderBy(word_count(F.col("text")), F.xxhash64("text"))) - 1
+        more = docs.join(several, known).withColumn("__u", -F.get("__uses", place)["less"])
+        rows = rows.unionByName(more.select(*docs.columns, "__u"))
     return rows.where("__u > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__u")))).select(*docs.columns)
