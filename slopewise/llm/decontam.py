@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slopewise.llm.common import broadcast_if_small
+from slopewise.session import cut
+
 #: Tokens of a window, those of them that must be literal, and the shortest item that is searched for.
 WIDTH, LITERAL, SHORTEST = 8, 4, 5
 #: Share of an item's tokens that matching windows must cover.
@@ -127,5 +130,5 @@ def _consistent(pairs: DataFrame, rows: DataFrame, coverage: float) -> DataFrame
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, as they came, that hold no item. Null texts stay."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()
+    bad = broadcast_if_small(cut(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__d"]) & (F.xxhash64(docs["text"]) == bad["__t"]), "left_anti")
