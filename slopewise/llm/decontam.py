@@ -23,6 +23,8 @@ WIDTH, LITERAL, SHORTEST = 8, 4, 5
 COVERAGE = 0.5
 #: Most benchmark windows that are broadcast; a larger table is joined by shuffling.
 BROADCAST_WINDOWS = 500_000
+#: Most pairs with slots that are broadcast; each has its matches and the item's tokens with it.
+SLOTTED_PAIRS = 20_000
 
 #: Private-use characters that no canonical text holds otherwise.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
@@ -96,9 +98,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = hits.groupBy("doc_id", "text_hash", "item_key", "n_tokens", "width").agg(F.collect_set(F.struct("pos", "bpos")).alias("hits"))
     pairs = pairs.withColumn("n_all", _covered(F.transform("hits", lambda x: x["bpos"]))).where(F.col("n_all") >= coverage * F.col("n_tokens"))
     named = F.broadcast(items.select("item_key", "item_id", "marked")) if items.count() <= BROADCAST_WINDOWS else items.select("item_key", "item_id", "marked")
-    pairs = pairs.join(named, "item_key").withColumn("n_slots", F.size(F.filter("marked", _is_slot)))
+    pairs = cut(pairs.join(named, "item_key").withColumn("n_slots", F.size(F.filter("marked", _is_slot))))
     plain = pairs.where("n_slots = 0").select("doc_id", "text_hash", "item_id", "n_tokens", F.col("n_all").alias("n_covered"), "n_slots")
-    found = plain.unionByName(_consistent(pairs.where("n_slots > 0"), rows, coverage))
+    slotted = pairs.where("n_slots > 0")
+    found = plain if slotted.isEmpty() else plain.unionByName(_consistent(slotted, rows, coverage))
     best = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct(F.col("n_covered") / F.col("n_tokens"), "n_covered", "n_tokens", "n_slots")).alias("x"))
     return best.select("doc_id", "text_hash", "item_id", F.col("x.n_tokens").cast("long").alias("n_tokens"), F.col("x.n_covered").cast("long").alias("n_covered"), F.col("x.col1").alias("coverage"), F.col("x.n_slots").cast("long").alias("n_slots"))
 
@@ -110,7 +113,7 @@ def _covered(positions: Column) -> Column:
 
 def _consistent(pairs: DataFrame, rows: DataFrame, coverage: float) -> DataFrame:
     """The pairs whose consistent diagonals still cover enough, as rows like those without slots."""
-    mine = pairs.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
+    mine = broadcast_if_small(pairs.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), SLOTTED_PAIRS)
     both = mine.join(rows, rows["doc_id"].eqNullSafe(mine["d"]) & (rows["text_hash"] == mine["t"])).withColumn("own", _tokens(F.col("text"), True)).drop("text", "d", "t")
     key = ["doc_id", "text_hash", "item_id", "item_key", "n_tokens", "width", "n_slots"]
     # own is used twice below, which keeps it a column: else the text would be cut anew for every token.
