@@ -23,9 +23,13 @@ from pyspark.sql import functions as F
 
 from slopewise.session import cut
 
-PIVOTS, POSTED, PROBED = 256, 8, 32
+PIVOTS, POSTED, PROBED = 256, 12, 32
+#: Vectors among which pivots are chosen, for each pivot, and how alike two pivots may be while there are others.
+SAMPLED, ALIKE = 4, 0.8
 #: Share of a block that is measured exactly for a query, and the least number.
-SHARE, LEAST = 0.04, 256
+SHARE, LEAST = 0.06, 256
+#: Entries nearer than this share of the footrule distance that unrelated orders have are all measured, however many.
+CLOSE = 0.5
 BLOCK, CHUNK = 8192, 2048
 OUT = "query_id long, vec_id long, score double"
 
@@ -54,6 +58,16 @@ def _positions(units: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, place
 
 
+def choose_pivots(units: np.ndarray, most: int) -> np.ndarray:
+    """The first vectors that are not too like an earlier choice; others fill up. Near copies as pivots would tell nothing."""
+    chosen: list[int] = []
+    for at in range(len(units)):
+        if len(chosen) < most and (not chosen or (units[chosen] @ units[at]).max() < ALIKE):
+            chosen.append(at)
+    rest = [at for at in range(len(units)) if at not in set(chosen)]
+    return units[chosen + rest[: most - len(chosen)]]
+
+
 class BlockIndex:
     """Inverted files over the vectors of one block."""
 
@@ -66,7 +80,11 @@ class BlockIndex:
         self.files = np.split(entry[by], np.searchsorted(head.ravel()[by], np.arange(1, len(pivots))))
 
     def candidates(self, order: np.ndarray, place: np.ndarray, probed: int, most: int) -> np.ndarray:
-        """The entries to measure for one query: all of a small block, else the best of the probed files by footrule."""
+        """The entries to measure for one query: all of a small block, else the best of the probed files by footrule.
+
+        Where very many vectors nearly agree, the best share of a block does not
+        tell them apart, so all that are close are measured besides.
+        """
         n = len(self.units)
         if n <= most:
             return np.arange(n)
@@ -77,7 +95,9 @@ class BlockIndex:
         if len(found) < most:
             found = np.arange(n)
         footrule = np.abs(self.place[found] - place).sum(1, dtype=np.int32)
-        return found[np.argpartition(footrule, most - 1)[:most]]
+        last = np.partition(footrule, most - 1)[most - 1]
+        close = CLOSE * (self.place.shape[1] ** 2 - 1) / 3
+        return found[footrule <= max(last, close)]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, posted: int = POSTED, probed: int = PROBED, share: float = SHARE, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
@@ -94,12 +114,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     smallest = W.partitionBy("v").orderBy("vec_id")
     ranked = pick(vectors).withColumn("r", F.dense_rank().over(smallest)).where(F.col("r") <= k + 1)
     entries = cut(ranked.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")))
-    sample = [r.v for r in entries.select("v").orderBy(F.xxhash64("v"), "v").limit(pivots).collect()]
+    sample = [r.v for r in entries.select("v").orderBy(F.xxhash64("v"), "v").limit(pivots * SAMPLED).collect()]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = [len(v) for v in sample]
     dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    centres = _unit(np.array([v for v in sample if len(v) == dim], np.float64))
+    centres = choose_pivots(_unit(np.array([v for v in sample if len(v) == dim], np.float64)), pivots)
     entries = entries.where(F.size("v") == dim)
     asked = cut(pick(queries).where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v")))
     blocks = max(1, -(-entries.count() // block))
