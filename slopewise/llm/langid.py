@@ -1,9 +1,9 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary made of a bounded sample
-of its texts. A text is folded to lower-case letters and single spaces, cut
-into pieces, and every piece is compressed with every dictionary; the language
-whose dictionary gives the fewest bytes is the answer. The margin to the
+of its texts. A text is folded to its distinct lower-case words, cut into
+pieces, and every piece is compressed with every dictionary; the language whose
+dictionary gives the fewest bytes is the answer. The margin to the
 runner-up tells how far to trust it: narrow margins are marked as rejected.
 """
 
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from slopewise.llm.common import as_bytes, id_and_bytes, small_batches
 
-#: Bounds of the sample for a dictionary: documents of a language, characters of each, bytes of them all.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 96, 2048, 65536
-PIECE, LEVEL = 4096, 3
+#: Bounds of the sample for a dictionary: documents of a language, characters of each if that many are known and if few are, bytes of them all.
+SAMPLE_DOCS, SAMPLE_CHARS, MOST_CHARS, DICTIONARY_BYTES = 2048, 256, 4096, 262144
+PIECE, LEVEL = 2048, 3
 #: Relative gain over the runner-up below which an answer counts as rejected.
 MARGIN = 0.02
 UNKNOWN = "und"
@@ -34,9 +34,10 @@ _ASCII_LETTER = regex.compile(rb"[A-Za-z]")
 
 
 def fold(data: bytes) -> bytes:
+    """The distinct words of a text, in their first order; what repeats says nothing new about the language."""
     if not data.isascii():
         data = data.decode("utf-8", "replace").lower().encode()
-    return b" ".join(data.translate(_FOLD).split())
+    return b" ".join(dict.fromkeys(data.translate(_FOLD).split()))
 
 
 def has_letter(data: bytes) -> bool:
@@ -48,15 +49,20 @@ def learnable(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts != part, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, most_chars: int = MOST_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionary content for each language of docs (doc_id, text, lang); null texts, languages and ids are left out.
 
-    The sample of a language is its documents with the smallest hash of doc_id.
+    The sample of a language is its documents with the smallest hash of doc_id,
+    and of each the first sample_chars characters, or more, up to most_chars,
+    where so few documents are known that they would not fill the dictionary.
     """
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where("doc_id is not null and lang is not null and text is not null")
-    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select("doc_id", "lang").distinct()
-    texts = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
+    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs)
+    counts = ids.groupBy("lang").agg(F.max("n").alias("known"))
+    chars = F.least(F.lit(most_chars), F.greatest(F.lit(sample_chars), F.ceil(dictionary_bytes / F.col("known")).cast("int")))
+    wanted = ids.select("doc_id", "lang").distinct().join(counts, "lang").select("doc_id", "lang", chars.alias("chars"))
+    texts = known.join(F.broadcast(wanted), ["doc_id", "lang"]).select("lang", "doc_id", F.substr("text", F.lit(1), F.col("chars")).alias("text"))
     content: dict[str, bytes] = {}
     for r in sorted(texts.collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
         held = content.setdefault(r.lang, b"")
@@ -68,11 +74,14 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
 class Compressors:
     def __init__(self, content: dict[str, bytes], level: int = LEVEL):
         self.langs = sorted(content)
-        self.each = []
-        for lang in self.langs:
-            held = zstandard.ZstdCompressionDict(content[lang] or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=level)
-            self.each.append(zstandard.ZstdCompressor(dict_data=held, level=level, write_content_size=False, write_dict_id=False, write_checksum=False).compress)
+        self.each = [self._one(content[lang], level) for lang in self.langs]
+        self.words = [frozenset(content[lang].split()) for lang in self.langs]
+
+    @staticmethod
+    def _one(content: bytes, level: int):
+        held = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(dict_data=held, level=level, write_content_size=False, write_dict_id=False, write_checksum=False).compress
 
     def predict(self, data: bytes | None) -> tuple[str, float]:
         """Language and margin: the share of bytes saved against the second best language."""
@@ -80,10 +89,15 @@ class Compressors:
             return UNKNOWN, 0.0
         folded = fold(data)
         pieces = [folded[at : at + PIECE] for at in range(0, len(folded), PIECE)] or [b""]
-        sizes = sorted((sum(len(compress(p)) for p in pieces), lang) for compress, lang in zip(self.each, self.langs, strict=True))
+        sizes = [sum(len(compress(p)) for p in pieces) for compress in self.each]
+        best = min(sizes)
+        if sizes.count(best) > 1:  # very short texts; of equal sizes, the language that knows more of the words
+            words = folded.split()
+            near = [(-sum(w in known for w in words), lang) for size, known, lang in zip(sizes, self.words, self.langs, strict=True) if size == best]
+            return min(near)[1], 0.0
         if len(sizes) == 1:
-            return sizes[0][1], 1.0
-        return sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
+            return self.langs[0], 1.0
+        return self.langs[sizes.index(best)], 1 - best / sorted(sizes)[1]
 
 
 def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, level: int = LEVEL) -> DataFrame:
@@ -91,7 +105,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
 
     Null texts and texts without a letter are `und` with score 0 and rejected,
     as is every text if no language was learned. Equal sizes go to the language
-    that is first by code point, with score 0. Rows that repeat give equal
+    that knows more of the words, then to the first by code point, with score 0. Rows that repeat give equal
     rows; an empty table gives none.
     """
     small_batches(docs.sparkSession)
