@@ -76,7 +76,56 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+def _tokens_sql(text: str, values: bool) -> str:
+    """Canonical tokens in a dialect without lookbehind: what Java looks back for is matched, twice where matches may touch."""
+    ref = lambda r: r if values else ""
+    t = text
+    for _ in range(2):
+        t = rf"regexp_replace({t}, '(\p{{N}})[.,:](\p{{N}})', '\1\2', 'g')"
+    for _ in range(2):
+        t = rf"regexp_replace({t}, '([\p{{Ll}},;:]) (\p{{Lu}}\p{{Ll}})', '\1 ' || chr(1) || '\2', 'g')"
+    t = rf"regexp_replace({t}, '\x01(\p{{Lu}}\p{{Ll}}\p{{L}}*)', ' ' || chr(57344) || '{ref(chr(92) + '1')} ', 'g')"
+    t = rf"regexp_replace({t}, '(\p{{N}}) ?(?i:({decontam.UNITS})\b|[%$€£])', '\1 ' || chr(57346) || '{ref(chr(92) + '2')} ', 'g')"
+    t = rf"regexp_replace({t}, '\p{{N}}+', ' ' || chr(57345) || '{ref(chr(92) + '0')} ', 'g')"
+    return rf"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}\x{{E000}}-\x{{E002}}]+')"
+
+
+_SLOT, _CHECKED = "ord({0}) BETWEEN 57344 AND 57346", "ord(theirs) BETWEEN 57344 AND 57345"
+
 ORACLE_SQL = {
+    "op2_template_decontamination": f"""
+        WITH item AS (
+            SELECT *, len(tokens) AS n, least(len(tokens), {decontam.WIDTH}) AS width, len(list_filter(marked, lambda t: {_SLOT.format('t')})) AS n_slots
+            FROM (SELECT DISTINCT item_id, text, {_tokens_sql('text', False)} AS tokens, {_tokens_sql('text', True)} AS marked FROM benchmark WHERE text IS NOT NULL)
+            WHERE len(tokens) >= {decontam.SHORTEST}),
+        post AS (
+            SELECT item_id, text AS item_text, n, width, n_slots, b, array_to_string(tokens[b + 1 : b + width], ' ') AS k
+            FROM item, unnest(range(n - width + 1)) AS t(b)
+            WHERE len(list_filter(tokens[b + 1 : b + width], lambda t: NOT ({_SLOT.format('t')}))) >= least({decontam.LITERAL}, width)),
+        doc AS (SELECT doc_id, text, {_tokens_sql('text', False)} AS tokens FROM documents WHERE text IS NOT NULL),
+        seen AS (
+            SELECT doc_id, text, width, p, array_to_string(tokens[p + 1 : p + width], ' ') AS k
+            FROM doc, (SELECT DISTINCT width FROM item), unnest(range(len(tokens) - width + 1)) AS t(p)),
+        spot AS (
+            SELECT DISTINCT doc_id, s.text, item_id, item_text, n, n_slots, p + i AS p, b + i AS b
+            FROM seen s JOIN post USING (width, k), unnest(range(width)) AS t(i)),
+        enough AS (SELECT doc_id, text, item_id, item_text, n, n_slots, count(DISTINCT b) AS n_all FROM spot GROUP BY ALL HAVING count(DISTINCT b) >= {decontam.COVERAGE} * n),
+        marked AS (SELECT DISTINCT text, {_tokens_sql('text', True)} AS own FROM enough WHERE n_slots > 0),
+        met AS (
+            SELECT s.doc_id, s.text, s.item_id, s.item_text, s.n, s.n_slots, s.p - s.b AS diagonal, s.b, i.marked[s.b + 1] AS theirs, m.own[s.p + 1] AS ours
+            FROM spot s SEMI JOIN enough e ON e.doc_id IS NOT DISTINCT FROM s.doc_id AND e.text = s.text AND e.item_id = s.item_id AND e.item_text = s.item_text
+            JOIN marked m ON m.text = s.text JOIN item i ON i.item_id = s.item_id AND i.text = s.item_text WHERE s.n_slots > 0),
+        fair AS (
+            SELECT doc_id, text, item_id, item_text, n, n_slots, list(DISTINCT b) AS bs FROM met GROUP BY doc_id, text, item_id, item_text, n, n_slots, diagonal
+            HAVING count(DISTINCT theirs) FILTER ({_CHECKED}) = count(DISTINCT (theirs, ours)) FILTER ({_CHECKED})
+               AND count(DISTINCT ours) FILTER ({_CHECKED}) = count(DISTINCT (theirs, ours)) FILTER ({_CHECKED})),
+        found AS (
+            SELECT doc_id, text, item_id, n, n_slots, n_all AS c FROM enough WHERE n_slots = 0
+            UNION ALL
+            SELECT doc_id, text, item_id, n, n_slots, len(list_distinct(flatten(list(bs)))) FROM fair GROUP BY doc_id, text, item_id, item_text, n, n_slots)
+        SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_tokens, CAST(c AS BIGINT) AS n_covered, c / n::DOUBLE AS coverage, CAST(n_slots AS BIGINT) AS n_slots
+        FROM found WHERE c >= {decontam.COVERAGE} * n
+        QUALIFY row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY c / n::DOUBLE DESC, c DESC, n DESC, n_slots DESC) = 1""",
     "op3_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
