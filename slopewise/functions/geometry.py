@@ -106,3 +106,14 @@ def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tupl
             keep.add(at)
             work += [(a, at), (at, b)]
     return [p for k, p in enumerate(points) if k in keep]
+
+
+def part(line: Column, a: Column, b: Column) -> Column:
+    """The piece of a line between two shares of its length: both cut points and the points between them.
+
+    The line should be a column of its own, as it is read several times.
+    """
+    whole = length(line)
+    upto = F.transform(F.sequence(F.lit(1), F.size(line)), lambda k: F.aggregate(F.slice(legs(line), 1, k - 1), F.lit(0.0), lambda s, leg: s + leg))
+    inner = F.filter(F.zip_with(line, upto, lambda p, d: F.struct(p["x"].alias("x"), p["y"].alias("y"), d.alias("d"))), lambda p: (p["d"] > a * whole) & (p["d"] < b * whole))
+    return F.concat(F.array(along(line, a * whole)), F.transform(inner, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.array(along(line, b * whole)))
