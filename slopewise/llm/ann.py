@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slopewise.llm.common import few_smallest
 from slopewise.session import cut
 
 PIVOTS, POSTED, PROBED = 256, 12, 32
@@ -114,7 +115,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     smallest = W.partitionBy("v").orderBy("vec_id")
     ranked = pick(vectors).withColumn("r", F.dense_rank().over(smallest)).where(F.col("r") <= k + 1)
     entries = cut(ranked.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")))
-    sample = [r.v for r in entries.select("v").orderBy(F.xxhash64("v"), "v").limit(pivots * SAMPLED).collect()]
+    some = entries.select("v").where(few_smallest(F.xxhash64("v"), pivots * SAMPLED, F.lit(entries.count())))
+    sample = [r.v for r in some.orderBy(F.xxhash64("v"), "v").limit(pivots * SAMPLED).collect()]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = [len(v) for v in sample]

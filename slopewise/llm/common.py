@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,11 +25,36 @@ def broadcast_if_small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+def few_smallest(hash_: Column, wanted: int, known: Column) -> Column:
+    """True for about twice the wanted rows and some more, those with the smallest hashes, of so many known; for all where few are known.
+
+    Put before an order by hash with a limit, it keeps what meets in one task
+    from growing with the number of tasks before it.
+    """
+    share = F.least(F.lit(1.0), F.lit(2.0 * wanted + 100) / F.greatest(known, F.lit(1)))
+    return hash_.cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps the batches that Python workers receive small, since single texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a text that are taken apart into words at once.
+PIECE_BYTES = 1 << 22
+
+
+def pieces(data: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
+    """A long text in pieces of about the size, cut at blanks, so that no word is cut."""
+    at = 0
+    while at < len(data):
+        blank = _BLANK.search(data, at + size) if at + size < len(data) else None
+        end = blank.start() if blank else len(data)
+        yield data[at:end]
+        at = end
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slopewise.llm.common import as_bytes, id_and_bytes, small_batches
+from slopewise.llm.common import as_bytes, broadcast_if_small, few_smallest, id_and_bytes, pieces, small_batches
+from slopewise.session import cut
 
 #: Bounds of the sample for a dictionary: documents of a language, characters of each if that many are known and if few are, bytes of them all.
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_CHARS, DICTIONARY_BYTES = 2048, 256, 4096, 262144
@@ -35,9 +36,11 @@ _ASCII_LETTER = regex.compile(rb"[A-Za-z]")
 
 def fold(data: bytes) -> bytes:
     """The distinct words of a text, in their first order; what repeats says nothing new about the language."""
-    if not data.isascii():
-        data = data.decode("utf-8", "replace").lower().encode()
-    return b" ".join(dict.fromkeys(data.translate(_FOLD).split()))
+    words: dict[bytes, None] = {}
+    for piece in pieces(data):
+        lowered = piece if piece.isascii() else piece.decode("utf-8", "replace").lower().encode()
+        words.update(dict.fromkeys(lowered.translate(_FOLD).split()))
+    return b" ".join(words)
 
 
 def has_letter(data: bytes) -> bool:
@@ -58,7 +61,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     """
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where("doc_id is not null and lang is not null and text is not null")
-    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs)
+    sizes = broadcast_if_small(cut(known.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))))
+    first = known.select("doc_id", "lang").join(sizes, "lang").where(few_smallest(F.xxhash64("doc_id"), sample_docs, F.col("all")))
+    ids = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs)
     counts = ids.groupBy("lang").agg(F.max("n").alias("known"))
     chars = F.least(F.lit(most_chars), F.greatest(F.lit(sample_chars), F.ceil(dictionary_bytes / F.col("known")).cast("int")))
     wanted = ids.select("doc_id", "lang").distinct().join(counts, "lang").select("doc_id", "lang", chars.alias("chars"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopewise.llm.common import as_bytes, id_and_bytes, small_batches
+from slopewise.llm.common import as_bytes, id_and_bytes, pieces, small_batches
 
 MIN_RUN = 4
 #: Most words that may be skipped between two anchors of a chain, in the text and in the template.
@@ -141,7 +141,7 @@ class Scanner:
 
     def scan(self, data: bytes) -> tuple[int, list[tuple[int, int]], list[tuple[int, float, int, int]]]:
         """Number of words; base places (phrase, first word); best chain of each template (template, share, first and last word)."""
-        words = words_of(data)
+        total = 0
         places: list[tuple[int, int]] = []
         chains: dict[int, list[list[int]]] = {}
         best: dict[int, tuple[int, int, int]] = {}
@@ -150,25 +150,28 @@ class Scanner:
         known = self.vocabulary
         state = run = 0
         previous = -1
-        for at in [i for i, w in enumerate(words) if w in known]:
-            if run and at != previous + 1:
-                self._anchor(previous, run, state, chains, best)
-                state = run = 0
-            word = words[at]
-            if word not in step[state]:
-                if run:
+        for piece in pieces(data):
+            words = words_of(piece)
+            for place in [i for i, w in enumerate(words) if w in known]:
+                at, word = total + place, words[place]
+                if run and at != previous + 1:
                     self._anchor(previous, run, state, chains, best)
-                while state and word not in step[state]:
-                    state = link[state]
-                    run = length[state]
-            state, run = step[state][word], run + 1
-            for phrase, n in phrases[state]:
-                if n <= run:
-                    places.append((phrase, at - n + 1))
-            previous = at
+                    state = run = 0
+                if word not in step[state]:
+                    if run:
+                        self._anchor(previous, run, state, chains, best)
+                    while state and word not in step[state]:
+                        state = link[state]
+                        run = length[state]
+                state, run = step[state][word], run + 1
+                for phrase, n in phrases[state]:
+                    if n <= run:
+                        places.append((phrase, at - n + 1))
+                previous = at
+            total += len(words)
         if run:
             self._anchor(previous, run, state, chains, best)
-        return len(words), places, [(t, c / len(self.sequences[t]), a, b) for t, (c, a, b) in best.items()]
+        return total, places, [(t, c / len(self.sequences[t]), a, b) for t, (c, a, b) in best.items()]
 
     def _anchor(self, at: int, run: int, state: int, chains: dict, best: dict) -> None:
         """Takes a longest run that ends at a word of the text into the chains of all templates that hold it."""

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopewise.llm.common import as_bytes, id_and_bytes, small_batches
+from slopewise.llm.common import as_bytes, few_smallest, id_and_bytes, small_batches
+from slopewise.session import cut
 
 PASSAGE = 512
 #: Bounds of the training sample: labelled documents, and passages of each of them (evenly spaced over the whole text).
@@ -139,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     """
     small_batches(docs.sparkSession)
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    known = cut(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    chosen = known.where(few_smallest(F.xxhash64("doc_id"), sample_docs, F.lit(known.count()))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     rows = docs.select("doc_id", as_bytes(F.col("text")).alias("data")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

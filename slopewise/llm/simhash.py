@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slopewise.llm.common import as_bytes, broadcast_if_small, id_and_bytes, small_batches
+from slopewise.llm.common import as_bytes, broadcast_if_small, id_and_bytes, pieces, small_batches
 from slopewise.operators.components import connected_components
 from slopewise.session import cut
 
@@ -43,22 +43,27 @@ CHUNK = 1 << 15
 
 def simhash(data: bytes, width: int = 3) -> int:
     """The fingerprint of one text as an unsigned 64-bit number; 0 if it has no word."""
-    words = data.lower().split()  # for bytes: A-Z only, and exactly the six ASCII blanks
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
-    ends = ends[width - 1 :].tolist()
+    counts, total = np.zeros(64, np.int64), 0
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(starts), CHUNK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
+    held: list[bytes] = []
+    for piece in pieces(data):
+        words = held + piece.lower().split()  # for bytes: A-Z only, and exactly the six ASCII blanks
+        held = words[-(width - 1) :] if width > 1 else []
+        if len(words) < width:
+            held = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
+        ends = ends[width - 1 :].tolist()
+        total += len(starts)
+        for at in range(0, len(starts), CHUNK):
+            hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], dtype="<u8")
+            bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
+            counts += bits.sum(axis=0, dtype=np.int32)
+    if not total:  # fewer words than a shingle has: the whole sequence is one
+        return digest(b" ".join(held), SEED) if held else 0
+    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
