@@ -20,7 +20,7 @@ from slopewise.session import cut
 #: Tokens of a window, those of them that must be literal, and the shortest item that is searched for.
 WIDTH, LITERAL, SHORTEST = 8, 4, 5
 #: Share of an item's tokens that matching windows must cover.
-COVERAGE = 0.5
+COVERAGE = 0.3
 #: Most benchmark windows that are broadcast; a larger table is joined by shuffling.
 BROADCAST_WINDOWS = 500_000
 #: Most pairs with slots that are broadcast; each has its matches and the item's tokens with it.
