@@ -80,6 +80,11 @@ class Network:
         return out[::-1]
 
 
+def spread(requests: DataFrame, *keys: str) -> DataFrame:
+    """Deals requests out by key to as many tasks as run at once; they are few rows with much work behind each, so they must not be coalesced."""
+    return requests.repartition(requests.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def fits(arcs: DataFrame) -> bool:
     return arcs.limit(MOST_ARCS + 1).count() <= MOST_ARCS
 
@@ -99,7 +104,7 @@ def distances(arcs: DataFrame, sources: DataFrame) -> DataFrame:
                     found = np.isfinite(cost)
                     yield pd.DataFrame({"source": source, "node": net.ids[found], "cost": cost[found]})
 
-    return sources.select("source").distinct().repartition("source").mapInPandas(solve, "source long, node long, cost double")
+    return spread(sources.select("source").distinct(), "source").mapInPandas(solve, "source long, node long, cost double")
 
 
 def distances_by_joins(arcs: DataFrame, sources: DataFrame, max_rounds: int = 100_000) -> DataFrame:
@@ -143,7 +148,7 @@ def routes(arcs: DataFrame, requests: DataFrame, costs: tuple[str, ...] = ("cost
                     yield pd.DataFrame(out, columns=["objective", "request", "source", "target", "cost", "arcs"])
 
     asked = requests.withColumn("objective", F.explode(F.array(*[F.lit(c) for c in costs])))
-    return asked.repartition("source", "objective").mapInPandas(solve, schema)
+    return spread(asked, "source", "objective").mapInPandas(solve, schema)
 
 
 def steps(routes: DataFrame) -> DataFrame:
@@ -236,7 +241,7 @@ def frontier(arcs: DataFrame, requests: DataFrame, first: str, second: str) -> D
             if out:
                 yield pd.DataFrame(out, columns=["request", "first", "second", "arcs"])
 
-    return requests.repartition("request").mapInPandas(solve, "request long, first double, second double, arcs array<long>")
+    return spread(requests, "request").mapInPandas(solve, "request long, first double, second double, arcs array<long>")
 
 
 def thin(points: DataFrame, most: int = 30) -> DataFrame:
@@ -308,7 +313,7 @@ def round_trips(arcs: DataFrame, requests: DataFrame, tolerance: float = 0.12, m
             if out:
                 yield pd.DataFrame(out, columns=["request", "rank", "distance", "gain", "arcs"])
 
-    return requests.repartition("request").mapInPandas(solve, "request long, rank int, distance double, gain double, arcs array<long>")
+    return spread(requests, "request").mapInPandas(solve, "request long, rank int, distance double, gain double, arcs array<long>")
 
 
 def _avoiding(net: Network, source: int, target: int, used: set[tuple[int, int]], wish: float) -> list[int] | None:

@@ -119,8 +119,8 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return net.arcs(spark, sf_dir).select("arc_id", "edge_id", "src", "dst", "len", "gain", "loss", "name", "cls", F.when(up, F.col("z_u")).otherwise(F.col("z_v")).alias("z_from"), F.when(up, F.col("z_v")).otherwise(F.col("z_u")).alias("z_to"))
 
 
-def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trips(spark, sf_dir).withColumn("request", F.struct("objective", "request"))
+def summaries(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None) -> DataFrame:
+    rows = (trips(spark, sf_dir) if steps is None else steps).withColumn("request", F.struct("objective", "request"))
     return paths.summary(rows, _measured(spark, sf_dir)).select("request.*", *["n", "distance", "gain", "loss", "net", "max_grade", "avg_abs_grade", "p95_grade"])
 
 
@@ -137,8 +137,8 @@ def route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries(spark, sf_dir)
 
 
-def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = summaries(spark, sf_dir).withColumns({"mode": F.lit("walk"), "origin": F.lit(0), "destination": F.col("request")})
+def _compared(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None) -> DataFrame:
+    rows = summaries(spark, sf_dir, steps).withColumns({"mode": F.lit("walk"), "origin": F.lit(0), "destination": F.col("request")})
     return paths.comparisons(rows)
 
 

@@ -10,6 +10,7 @@ from slopewise.operators.components import connected_components
 from slopewise.plans import routing
 from slopewise.plans.registry import query
 from slopewise.plans.streets import _FACTS, _MIDDLE, _middles, access_points, hood_label_left
+from slopewise.session import cut
 from slopewise.sources import street_network as net
 
 LOW, LEAST = 1500, 100_000
@@ -122,9 +123,9 @@ def basin_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.basin_passes(_crests(spark, sf_dir), _basins(spark, sf_dir))
 
 
-def _trip_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _trip_edges(spark: SparkSession, sf_dir: str, steps: DataFrame) -> DataFrame:
     arcs = net.arcs(spark, sf_dir).select("arc_id", "edge_id")
-    return routing.trips(spark, sf_dir).join(arcs, "arc_id").select("request", "objective", "edge_id", "arc_id")
+    return steps.join(arcs, "arc_id").select("request", "objective", "edge_id", "arc_id")
 
 
 _BARRIERS = f"""{routing._ROUTES}, used AS (SELECT DISTINCT objective, request, edge_id FROM step JOIN arc USING (arc_id) WHERE gain + loss >= len * 0.08::DOUBLE),
@@ -139,10 +140,11 @@ def barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    solved = cut(routing.trips(spark, sf_dir))
     first = access_points(spark, sf_dir).agg(F.min("hood").cast("long").alias("origin"))
-    rows = routing._compared(spark, sf_dir).drop("origin", "destination").join(F.broadcast(first))
+    rows = routing._compared(spark, sf_dir, solved).drop("origin", "destination").join(F.broadcast(first))
     compared = rows.select("request", "objective", "origin", F.col("request").alias("destination"), "saved", "efficiency")
-    steps = _trip_edges(spark, sf_dir).where("objective <> 'shortest'")
+    steps = _trip_edges(spark, sf_dir, solved).where("objective <> 'shortest'")
     return corridors.usage(steps, compared)
 
 
@@ -165,12 +167,10 @@ _SCORES = f"""{_USAGE},
 
 @query("edge_scores", f"WITH {_SCORES} SELECT * FROM score")
 def edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corridors.scores(_usage(spark, sf_dir), net.edges(spark, sf_dir))
+    return corridors.scores(cut(_usage(spark, sf_dir)), net.edges(spark, sf_dir))
 
 
 def _corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from slopewise.session import cut
-
     return corridors.corridors(cut(edge_scores(spark, sf_dir)), net.edges(spark, sf_dir), quantile=0.8, least=15_000)
 
 
