@@ -123,17 +123,38 @@ def hillshade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.hillshade(_cells(spark, sf_dir), net.CELL).select("r", "c", F.round("shade", 6).alias("shade"))
 
 
-@query("smooth_raster")
+@query(
+    "smooth_raster",
+    """WITH across AS (SELECT a.row AS r, a.col AS c, sum(b.z * exp(-pow(b.col - a.col, 2) / 2.0)) / sum(exp(-pow(b.col - a.col, 2) / 2.0)) AS z FROM node a JOIN node b ON b.row = a.row AND abs(b.col - a.col) <= 3 GROUP BY ALL)
+       SELECT a.r, a.c, round(sum(b.z * exp(-pow(b.r - a.r, 2) / 2.0)) / sum(exp(-pow(b.r - a.r, 2) / 2.0)), 4) AS z FROM across a JOIN across b ON b.c = a.c AND abs(b.r - a.r) <= 3 GROUP BY ALL""",
+)
 def smooth_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.smooth(_cells(spark, sf_dir), 1.0).select("r", "c", F.round("z", 4).alias("z"))
 
 
-@query("water_mask")
+@query(
+    "water_mask",
+    """WITH cell AS (SELECT row AS r, col AS c, z / 100.0::DOUBLE AS z FROM node),
+            wet AS MATERIALIZED (SELECT a.r, a.c FROM cell a JOIN cell b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c, a.z HAVING max(b.z) - min(b.z) < 40 OR a.z < 32),
+            l AS MATERIALIZED (SELECT a.r * 100000 + a.c AS a, b.r * 100000 + b.c AS b FROM wet a JOIN wet b ON abs(a.r - b.r) + abs(a.c - b.c) = 1),
+            k(node, component) USING KEY (node) AS (
+                SELECT DISTINCT a, a FROM l
+                UNION
+                SELECT n.node, min(n.component) FROM (SELECT l.b AS node, k.component FROM k JOIN l ON l.a = k.node) n LEFT JOIN recurring.k r ON r.node = n.node WHERE n.component < r.component GROUP BY n.node),
+            kept AS (SELECT node // 100000 AS r, node % 100000 AS c FROM k WHERE component IN (SELECT component FROM k GROUP BY component HAVING count(*) >= 12)),
+            core AS (SELECT a.r, a.c FROM kept a JOIN kept b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c HAVING count(*) = 9)
+       SELECT DISTINCT a.r, a.c FROM kept a JOIN core b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1""",
+)
 def water_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.water_mask(_cells(spark, sf_dir).withColumn("z", F.col("z") / 100), 25.0, 8.0, 4)
+    return raster.water_mask(_cells(spark, sf_dir).withColumn("z", F.col("z") / 100), 40.0, 32.0, 12)
 
 
-@query("edge_profiles")
+@query(
+    "edge_profiles",
+    """SELECT edge_id, 21 AS n, round(z_u, 3)::DOUBLE AS z_first, round(z_v, 3)::DOUBLE AS z_last FROM edge JOIN node a ON a.node = u, w
+       WHERE EXISTS (SELECT 1 FROM node n WHERE n.col = a.col + 1 AND n.row = a.row + 1)
+         AND CASE WHEN segment LIKE 'r%' THEN EXISTS (SELECT 1 FROM node n WHERE n.col = a.col + 2 AND n.row = a.row + 1) ELSE EXISTS (SELECT 1 FROM node n WHERE n.col = a.col + 1 AND n.row = a.row + 2) END""",
+)
 def edge_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heights every 5 m along each edge, off the raster of corners: (edge_id, n, z_first, z_last)."""
     place = net.nodes(spark, sf_dir).select(F.col("node").alias("u"), "col", "row")
@@ -141,4 +162,5 @@ def edge_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = rows.select("edge_id", "right", "col", "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: i / 20)).alias("i", "f"))
     spots = samples.select(F.struct("edge_id", "i").alias("spot"), (F.col("col") + F.when(F.col("right"), F.col("f")).otherwise(0.0) + 0.5).alias("px"), (F.col("row") + F.when(F.col("right"), 0.0).otherwise(F.col("f")) + 0.5).alias("py"))
     z = raster.sample(spots, _cells(spark, sf_dir), "spot").select("spot.*", "z")
-    return z.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min_by("z", "i"), 3).alias("z_first"), F.round(F.max_by("z", "i"), 3).alias("z_last"))
+    rows = z.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min_by("z", "i"), 3).alias("z_first"), F.round(F.max_by("z", "i"), 3).alias("z_last"))
+    return rows.where("n = 21")  # at the grid's rim the raster has no cells around a sample
