@@ -46,7 +46,7 @@ def _shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.trips(spark, sf_dir, objectives=(costs.SHORTEST,)).join(routing._measured(spark, sf_dir), "arc_id")
 
 
-_SHORTEST = routing._ROUTES.replace(routing._walk_sql(routing.OBJECTIVES), routing._walk_sql((costs.SHORTEST,)))
+_SHORTEST = routing.routes_sql((costs.SHORTEST,))
 
 
 @query("route_geometry", f"WITH {_SHORTEST} SELECT request, CAST(arg_min(src, pos) AS VARCHAR) || ',' || string_agg(CAST(dst AS VARCHAR), ',' ORDER BY pos) AS corners FROM step JOIN arc USING (arc_id) GROUP BY request")

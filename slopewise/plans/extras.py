@@ -62,7 +62,7 @@ def place_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("place", "name", F.coalesce("fx", "x").alias("x"), F.coalesce("fy", "y").alias("y"))
 
 
-_BIKE = routing._ROUTES.replace(routing._walk_sql(routing.OBJECTIVES), routing._walk_sql(routing.OBJECTIVES, "bike"))
+_BIKE = routing.routes_sql(routing.OBJECTIVES, "bike")
 
 
 @query("bike_route_summary", f"WITH {_BIKE} SELECT objective, request, CAST(sum(len) AS BIGINT) AS distance, CAST(sum(gain) AS BIGINT) AS gain FROM step JOIN arc USING (arc_id) GROUP BY objective, request")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,9 +77,27 @@ def rectify_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.rectify_profiles(net.profiles(spark, sf_dir), 0.01)
 
 
-@query("savgol_profile")
+def _fits_sql() -> str:
+    """For each width of window the matrix of the least-squares parabola: what each height weighs at each place."""
+    rows = []
+    for wide in (5, 7, 9, 11):
+        at = np.vander(np.arange(wide) - wide // 2, profiles.ORDER + 1, increasing=True)
+        for o, line in enumerate(at @ np.linalg.pinv(at)):
+            rows += [f"({wide}, {o}, {k}, {weight!r}::DOUBLE)" for k, weight in enumerate(line.tolist())]
+    return ", ".join(rows)
+
+
+@query(
+    "savgol_profile",
+    f"""WITH fit AS (SELECT * FROM (VALUES {_fits_sql()}) AS t(wide, o, k, weight)),
+            n AS (SELECT profile, count(*) AS n, least(11, count(*) - CASE WHEN count(*) % 2 = 0 THEN 1 ELSE 0 END) AS wide FROM profile GROUP BY profile),
+            p AS (SELECT profile, station, z / 100.0::DOUBLE AS z, n, wide, greatest(0, least(station - wide // 2, n - wide)) AS start FROM profile JOIN n USING (profile))
+       SELECT a.profile, a.station, round(sum(f.weight * b.z), 4) AS z FROM p a JOIN p b ON b.profile = a.profile AND b.station BETWEEN a.start AND a.start + a.wide - 1
+       JOIN fit f ON f.wide = a.wide AND f.o = a.station - a.start AND f.k = b.station - a.start WHERE a.wide >= 5 GROUP BY a.profile, a.station
+       UNION ALL SELECT profile, station, round(z, 4) FROM p WHERE wide < 5""",
+)
 def savgol_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.smooth_profiles(net.profiles(spark, sf_dir), 0.01)
+    return profiles.smooth_profiles(net.profiles(spark, sf_dir), 0.01).withColumn("z", F.round("z", 4))
 
 
 @query("structure_solve")

@@ -95,7 +95,9 @@ def trips(spark: SparkSession, sf_dir: str, mode: str = "walk", objectives: tupl
     return paths.steps(paths.routes(all_costs(spark, sf_dir, mode, objectives), asked, tuple(o.name for o in objectives)))
 
 
-_ROUTES = f"""{_walk_sql(OBJECTIVES)}, {_FACTS},
+def routes_sql(objectives: tuple[Objective, ...], mode: str = "walk") -> str:
+    """Tables up to step (objective, request, pos, arc_id), the routes of all trips."""
+    return f"""{_walk_sql(objectives, mode)}, {_FACTS},
     start AS (SELECT arg_min(node, hood) AS node FROM access_point),
     tree(objective, node, cost, via) USING KEY (objective, node) AS (
         SELECT objective, node, 0.0::DOUBLE, CAST(-1 AS BIGINT) FROM start, (SELECT DISTINCT objective FROM street)
@@ -109,6 +111,9 @@ _ROUTES = f"""{_walk_sql(OBJECTIVES)}, {_FACTS},
     step AS (SELECT objective, request, max(up) OVER (PARTITION BY objective, request) - up AS pos, arc_id FROM back)"""
 
 
+_ROUTES = routes_sql(OBJECTIVES)
+
+
 @query("route_steps", f"WITH {_ROUTES} SELECT objective, request, pos, arc_id FROM step")
 def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips(spark, sf_dir)
@@ -196,15 +201,22 @@ def street_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.street_runs(rows.select(F.col("request").alias("route"), "pos", "name", "len"), 9000).withColumnRenamed("route", "request")
 
 
-@query("weight_sweep")
+SCALED = (*(costs.BALANCED.scaled(x) for x in costs.SWEEP), costs.MIN_CLIMB)
+SCALE_OF = dict(zip((o.name for o in SCALED), (*costs.SWEEP, 1e9), strict=True))
+
+
+@query(
+    "weight_sweep",
+    f"""WITH {routes_sql(SCALED)}, r AS (SELECT request, CASE objective {" ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SCALE_OF.items())} END AS scale, list(arc_id ORDER BY pos) AS arcs FROM step GROUP BY ALL),
+            once AS (SELECT request, arcs, min(scale) AS scale FROM r GROUP BY request, arcs),
+            s AS (SELECT request, scale, CAST(sum(len) AS BIGINT) AS distance, CAST(sum(gain) AS BIGINT) AS gain, round(max(gain / len), 8) AS max_grade FROM (SELECT request, scale, unnest(arcs) AS arc_id FROM once) JOIN arc USING (arc_id) GROUP BY request, scale)
+       SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.request = s.request AND o.distance <= s.distance AND o.gain <= s.gain AND o.max_grade <= s.max_grade AND (o.distance < s.distance OR o.gain < s.gain OR o.max_grade < s.max_grade))""",
+)
 def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct routes over the scales of the sweep and the flattest objective; the smallest scale speaks for equal routes."""
     from pyspark.sql import Window as W
 
-    asked = _requests(spark, sf_dir)
-    scales = {costs.BALANCED.scaled(x).name: float(x) for x in costs.SWEEP} | {costs.MIN_CLIMB.name: float("inf")}
-    objectives = (*(costs.BALANCED.scaled(x) for x in costs.SWEEP), costs.MIN_CLIMB)
-    rows = paths.routes(all_costs(spark, sf_dir, "walk", objectives), asked, tuple(scales)).withColumn("scale", net.choose(F.col("objective"), scales))
+    rows = paths.routes(all_costs(spark, sf_dir, "walk", SCALED), _requests(spark, sf_dir), tuple(SCALE_OF)).withColumn("scale", net.choose(F.col("objective"), SCALE_OF))
     first = rows.withColumn("r", F.row_number().over(W.partitionBy("request", "arcs").orderBy("scale"))).where("r = 1")
     steps = first.select(F.struct("request", "scale").alias("request"), F.posexplode("arcs").alias("pos", "arc_id"))
     return paths.non_dominated(paths.summary(steps, _measured(spark, sf_dir)).select("request.*", "distance", "gain", "max_grade"), ["request"], ["distance", "gain", "max_grade"])
