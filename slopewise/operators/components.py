@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from slopewise.session import cut
 
 
+#: Rows of a round's table for each of its files, so that small tables are few files whatever the number of shuffle partitions.
+FILE_ROWS = 200_000
+
+
 def _min_of_neighbours(pairs: DataFrame) -> DataFrame:
     # The key is complemented so that the join below deals both sides anew;
     # adaptive execution can then split the rows of a hub.
@@ -53,10 +57,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     pairs = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x <> y")
     stars = cut(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    files = stars.count() // FILE_ROWS + 8  # rounds never add rows
     for _ in range(max_rounds):
         if not _unfinished(stars):
             break
-        stars = cut(_small_star(_large_star(stars).distinct()).distinct())
+        stars = cut(_small_star(_large_star(stars).distinct()).distinct().coalesce(files))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = stars.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
