@@ -157,7 +157,12 @@ def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("profile", F.size("p").alias("points"), left("p.x", "p.y").alias("kept"))
 
 
-@query("packed_network")
+@query(
+    "packed_network",
+    """WITH c AS (SELECT (SELECT count(*) FROM node) AS corners, (SELECT count(*) FROM arc) AS arcs, (SELECT count(*) FROM edge) AS edges)
+       SELECT array_name AS "array", CASE kind WHEN 'c' THEN corners WHEN 'f' THEN corners + 1 WHEN 'a' THEN arcs ELSE edges END AS n
+       FROM c, (VALUES ('x', 'c'), ('y', 'c'), ('z', 'c'), ('first', 'f'), ('head', 'a'), ('edge', 'a'), ('gain', 'a'), ('flags', 'a'), ('len', 'e'), ('name', 'e'), ('cls', 'e')) AS t(array_name, kind)""",
+)
 def packed_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The arrays of the network's bundle and their lengths."""
     arrays, _ = packing.unbundle(packing.pack_network(net.nodes(spark, sf_dir), net.edges(spark, sf_dir), net.arcs(spark, sf_dir)))

@@ -100,7 +100,17 @@ def savgol_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.smooth_profiles(net.profiles(spark, sf_dir), 0.01).withColumn("z", F.round("z", 4))
 
 
-@query("structure_solve")
+@query(
+    "structure_solve",
+    """WITH known AS MATERIALIZED (SELECT node, z::DOUBLE AS z FROM node WHERE node IN (SELECT u FROM edge WHERE cls <> 'primary' UNION SELECT v FROM edge WHERE cls <> 'primary')),
+            way AS MATERIALIZED (SELECT u, v, 1 / greatest(len, 1)::DOUBLE AS w FROM edge UNION ALL SELECT v, u, 1 / greatest(len, 1)::DOUBLE FROM edge),
+            loose AS MATERIALIZED (SELECT w.* FROM way w ANTI JOIN known k ON k.node = w.u),
+            state(i, node, z) USING KEY (node) AS (
+                SELECT 0, u, (SELECT avg(z) FROM known) FROM (SELECT DISTINCT u FROM loose)
+                UNION
+                SELECT max(t.i) + 1, l.u, sum(l.w * coalesce(s.z, k.z)) / sum(l.w) FROM loose l JOIN state t ON t.node = l.u LEFT JOIN recurring.state s ON s.node = l.v LEFT JOIN known k ON k.node = l.v WHERE t.i < 30 GROUP BY l.u)
+       SELECT node, round(z, 3) AS z FROM state UNION ALL SELECT node, round(z, 3) FROM known""",
+)
 def structure_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heights of corners that only bridges reach."""
     edges = net.edges(spark, sf_dir)

@@ -372,7 +372,17 @@ def nearest_street(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sidewalks.probe_hits(_beside(spark, sf_dir).select("edge_id", "x0", "y0", "x1", "y1"), _straight(spark, sf_dir).where("cls <> 'footway'").select("edge_id", "x0", "y0", "x1", "y1"), offset=1200.0)
 
 
-@query("sidewalk_stubs")
+@query(
+    "sidewalk_stubs",
+    """WITH e AS MATERIALIZED (SELECT edge_id, u, v, cls IN ('steps', 'footway') AS stub FROM edge WHERE walk_ok AND cls <> 'cycleway'),
+            dead(edge_id) USING KEY (edge_id) AS (
+                SELECT DISTINCT edge_id FROM e JOIN (SELECT n FROM (SELECT u AS n FROM e UNION ALL SELECT v FROM e) GROUP BY n HAVING count(*) = 1) d ON d.n = e.u OR d.n = e.v WHERE stub
+                UNION
+                SELECT DISTINCT a.edge_id FROM (SELECT e.* FROM e ANTI JOIN recurring.dead r ON r.edge_id = e.edge_id) a
+                JOIN (SELECT n FROM (SELECT u AS n FROM e ANTI JOIN recurring.dead r ON r.edge_id = e.edge_id UNION ALL SELECT v FROM e ANTI JOIN recurring.dead r ON r.edge_id = e.edge_id) GROUP BY n HAVING count(*) = 1) d ON d.n = a.u OR d.n = a.v
+                WHERE a.stub AND EXISTS (SELECT 1 FROM dead))
+       SELECT edge_id, u, v FROM e ANTI JOIN dead USING (edge_id)""",
+)
 def sidewalk_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The walkable network without dead-end steps and footways."""
     edges = net.edges(spark, sf_dir).where("walk_ok and cls <> 'cycleway'").select("edge_id", "u", "v", "cls")

@@ -174,7 +174,20 @@ def _corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corridors.corridors(cut(edge_scores(spark, sf_dir)), net.edges(spark, sf_dir), quantile=0.8, least=15_000)
 
 
-@query("corridors")
+@query(
+    "corridors",
+    f"""WITH {_SCORES}, level AS (SELECT quantile_cont(score, 0.8) AS cut FROM score WHERE score > 0),
+            close AS MATERIALIZED (SELECT edge_id, score, score >= cut AS core, u, v, len, name FROM score JOIN edge USING (edge_id), level WHERE flat AND score >= cut * 0.45::DOUBLE),
+            l AS MATERIALIZED (SELECT u AS a, v AS b FROM close UNION ALL SELECT v, u FROM close),
+            c(node, component) USING KEY (node) AS (
+                SELECT DISTINCT a, a FROM l
+                UNION
+                SELECT n.node, min(n.component) FROM (SELECT l.b AS node, c.component FROM c JOIN l ON l.a = c.node) n LEFT JOIN recurring.c r ON r.node = n.node WHERE n.component < r.component GROUP BY n.node),
+            part AS (SELECT close.*, c.component AS corridor FROM close JOIN c ON c.node = close.u),
+            whole AS (SELECT corridor, CAST(sum(len) AS BIGINT) AS length, count(*) AS n, round(avg(score), 6) AS mean_score, max(score) AS top_score FROM part GROUP BY corridor HAVING bool_or(core) AND sum(len) >= 15000),
+            names AS (SELECT corridor, name, row_number() OVER (PARTITION BY corridor ORDER BY count(*) DESC, name) AS r FROM part GROUP BY corridor, name)
+       SELECT w.*, (SELECT string_agg(name, ' - ' ORDER BY r) FROM names n WHERE n.corridor = w.corridor AND r <= 4) AS names FROM whole w""",
+)
 def corridors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corridors(spark, sf_dir)
 
