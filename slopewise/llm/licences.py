@@ -4,7 +4,8 @@ The automaton holds every run of words of every template. A text is streamed
 through it word by word, which gives for each place the longest run ending
 there that some template holds. Runs of at least MIN_RUN words become anchors;
 anchors that follow each other in text and template are chained, and a chain
-that covers enough of its template labels the document. Base phrases are
+that covers enough of its template labels the document, unless another chain
+covers more words of the same place. Base phrases are
 templates too; their places are read off the same walk, from the states whose
 run ends in the phrase.
 """
@@ -35,6 +36,8 @@ TEMPLATES = (
     ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl", "Licensed under the GNU General Public License"),
+    ("all-rights-reserved", "All rights reserved"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
@@ -173,6 +176,16 @@ class Scanner:
             self._anchor(previous, run, state, chains, best)
         return total, places, [(t, c / len(self.sequences[t]), a, b) for t, (c, a, b) in best.items()]
 
+    def labelled(self, chains: list[tuple[int, float, int, int]]) -> set[str]:
+        """Labels of the chains that cover enough; where chains share words of the text, of those only the one that covers most words."""
+        taken: list[tuple[int, int]] = []
+        labels = set()
+        for t, share, first, last in sorted(chains, key=lambda c: (-c[1] * len(self.sequences[c[0]]), c[0])):
+            if share >= self.covered and all(last < a or first > b for a, b in taken):
+                taken.append((first, last))
+                labels.add(self.labels[t])
+        return labels
+
     def _anchor(self, at: int, run: int, state: int, chains: dict, best: dict) -> None:
         """Takes a longest run that ends at a word of the text into the chains of all templates that hold it."""
         if run < min(self.min_run, 3):
@@ -214,7 +227,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 n, places, chains = scanner.scan(t or b"")
                 starts = [a for _, a in places]
                 base = {scanner.labels[p] for p, _ in places}
-                own = base | {scanner.labels[t] for t, share, _, _ in chains if share >= scanner.covered}
+                own = base | scanner.labelled(chains)
                 spans = [{"label": scanner.labels[t], "coverage": min(1.0, share), "first_word": a, "last_word": b} for t, share, a, b in sorted(chains)]
                 rows.append((n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(own)), max((s["coverage"] for s in spans), default=0.0), spans))
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(span)]

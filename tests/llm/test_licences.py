@@ -68,3 +68,10 @@ def test_chains_bridge_small_changes():
         assert label == "mit" and least <= share <= 1
         assert last - first + 1 <= len(licences.words_of(notice.encode())) + 1
     assert all(s < licences.COVERED for _, s, _, _ in scanner.scan(b"the rights to use this software are with the people who wrote it")[2])
+
+
+def test_like_templates_give_one_label(spark):
+    texts = ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "This work is licensed under a Creative Commons Attribution 4.0 International License", "This work is licensed under the GNU General Public License, version 3. All rights reserved.", "All rights are reserved for the public", "Licensed under CC BY-NC 4.0. Released under the MIT License."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.base_labels, r.labels) for r in licences.scan_licences(df).collect()}
+    assert got == {0: ("", "cc-by-nc"), 1: ("", "cc-by"), 2: ("", "all-rights-reserved,gpl"), 3: ("", ""), 4: ("cc-by-nc,mit", "cc-by-nc,mit")}
