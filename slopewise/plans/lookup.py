@@ -180,7 +180,21 @@ def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("place", text.match_score(text.normalised(F.col("name")), F.lit("blue bolt")).alias("score"))
 
 
-@query("search")
+@query(
+    "search",
+    f"""WITH {_BEST}, {_ADDRESS},
+            street AS (SELECT street, lower(street) AS n FROM (SELECT DISTINCT street FROM address)),
+            near AS (SELECT street, CASE WHEN n = 'oak st' THEN 0 WHEN starts_with(n, 'oak st') THEN 1 WHEN contains(' ' || n, ' oak') AND contains(' ' || n, ' st') THEN 2 ELSE -1 END AS s FROM street),
+            four AS (SELECT * FROM near WHERE s BETWEEN 0 AND 2 ORDER BY s, length(street), street LIMIT 4),
+            hit AS (SELECT street, s, min({{'off': abs(number - 17), 'number': number}}) AS h FROM address JOIN four USING (street) GROUP BY street, s),
+            named AS (SELECT coalesce(grp, 'landmark') AS kind, name, trim(replace(replace(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), 'north', 'n'), '  ', ' ')) AS n FROM best),
+            scored AS (SELECT kind, name, CASE WHEN n = '17 oak st' THEN 0 WHEN starts_with(n, '17 oak st') THEN 1 WHEN contains(' ' || n, ' 17') AND contains(' ' || n, ' oak') AND contains(' ' || n, ' st') THEN 2
+                                            WHEN contains(n, '17 oak st') THEN 3 WHEN starts_with(replace(n, ' ', ''), '17oakst') THEN 2 ELSE -1 END AS score FROM named),
+            found AS (
+                SELECT CASE WHEN h.off = 0 THEN -1 ELSE s END AS score, 0 AS rank, CASE WHEN h.off = 0 THEN 'address' ELSE 'nearest address' END AS kind, h.number || ' ' || street AS name FROM hit
+                UNION ALL SELECT score, 1 + CASE kind WHEN 'landmark' THEN 1 WHEN 'food' THEN 2 ELSE 0 END, kind, name FROM scored WHERE score >= 0)
+       SELECT score, rank, kind, name FROM found QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY score, rank) = 1 ORDER BY score, rank, length(name), name, kind LIMIT 8""",
+)
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = _best(spark, sf_dir).select("name", F.coalesce("group", F.lit("landmark")).alias("kind"))
     return places.search("17 Oak Street", kinds, places.addresses(address_rows(spark, sf_dir)), places.intersections(net.edges(spark, sf_dir)))
