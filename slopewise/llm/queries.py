@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopewise.llm import ann, decontam, langid, licences, linededup, mixing, quality, sharding, simhash, warc
+from slopewise.llm.common import LOWER, UPPER
+from slopewise.llm.xxh64_sql import xxh64_tables
 from slopewise.session import fresh_path, table
 
 
@@ -163,6 +165,22 @@ ORACLE_SQL = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM b""",
+    "op9_simhash": rf"""
+        WITH RECURSIVE doc AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        gram AS (SELECT doc_id, array_to_string(words[i + 1 : i + 3], ' ') AS s FROM doc, unnest(range(greatest(1, len(words) - 2))) AS t(i) WHERE len(words) > 0),
+        {xxh64_tables("gram")},
+        print AS (
+            SELECT doc_id, {" + ".join(f"CASE WHEN 2 * sum(CAST((h >> {j}) & 1 AS INT)) > count(*) THEN {1 << j}::UBIGINT ELSE 0::UBIGINT END" for j in range(64))} AS fp
+            FROM hashed GROUP BY doc_id),
+        every AS MATERIALIZED (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM documents LEFT JOIN print USING (doc_id)),
+        node AS MATERIALIZED (SELECT fp, min(doc_id) AS node FROM every GROUP BY fp),
+        link AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM node a JOIN node b ON a.node <> b.node AND bit_count(xor(a.fp, b.fp)) <= 3),
+        c(node, component) USING KEY (node) AS (
+            SELECT node, node FROM node
+            UNION
+            SELECT n.node, min(n.component) FROM (SELECT link.b AS node, c.component FROM c JOIN link ON link.a = c.node) n LEFT JOIN recurring.c r ON r.node = n.node WHERE n.component < r.component GROUP BY n.node)
+        SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component AS component_id FROM every JOIN node USING (fp) JOIN c USING (node)""",
     "op10_line_dedup": r"""
         WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         exploded AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs),

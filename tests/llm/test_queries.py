@@ -42,3 +42,20 @@ def test_decontamination_sql_with_names_numbers_and_units(spark, tmp_path):
 
 def test_every_operator_has_its_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_sql_hash_is_xxh64():
+    import random
+
+    import xxhash
+
+    from slopewise.llm.xxh64_sql import xxh64_tables
+
+    rng = random.Random(1)
+    texts = ["", "é" * 5] + ["".join(rng.choice("abc ñ1") for _ in range(n)) for n in range(1, 100)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (s VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(x,) for x in texts])
+    for seed in (0, 42):
+        got = con.execute(f"WITH {xxh64_tables('t', seed)} SELECT s, h FROM hashed").fetchall()
+        assert len(got) == len(texts) and all(h == xxhash.xxh64_intdigest(s.encode(), seed) for s, h in got)
