@@ -25,7 +25,7 @@ def interval_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "distance_above",
-    "WITH leg AS (SELECT profile, z - lag(z) OVER (PARTITION BY profile ORDER BY station) AS dz FROM profile) SELECT profile, " + ", ".join(f"sum(CASE WHEN least(300, dz) >= {k * 5} THEN 5 ELSE 0 END) AS above_{k}" for k in net.GRADES) + " FROM leg WHERE dz IS NOT NULL GROUP BY profile",
+    "WITH leg AS (SELECT profile, z - lag(z) OVER (PARTITION BY profile ORDER BY station) AS dz FROM profile) SELECT profile, " + ", ".join(f"CAST(sum(CASE WHEN least(300, dz) >= {k * 5} THEN 5 ELSE 0 END) AS BIGINT) AS above_{k}" for k in net.GRADES) + " FROM leg WHERE dz IS NOT NULL GROUP BY profile",
 )
 def distance_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     cm = profiles.intervals(net.profiles(spark, sf_dir).withColumn("dist", F.col("dist") * 100))
