@@ -16,9 +16,8 @@ TIE, TIE_SQL = "((arc_id * 7919) % 10007) / 1024D", "((arc_id * 7919) % 10007) /
 
 
 def network(spark: SparkSession, sf_dir: str, mode: str, objective: Objective) -> DataFrame:
-    """The best arc for each ordered pair of corners."""
-    rows = net.arcs(spark, sf_dir).where(F.col(mode)).withColumn("cost", arc_cost(objective, mode) + F.expr(TIE))
-    return costs.best_parallel(rows)
+    """The arcs of a mode with their cost; parallel ones stay, as the search takes the cheapest anyway."""
+    return all_costs(spark, sf_dir, mode, (objective,)).withColumnRenamed(objective.name, "cost")
 
 
 def _walk_sql(objectives=(costs.BALANCED,), mode: str = "walk") -> str:
