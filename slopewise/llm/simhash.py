@@ -207,13 +207,13 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each_group(docs: DataFrame, width: int = 3) -> DataFrame:
+def one_of_each_group(docs: DataFrame, width: int = 3, groups: DataFrame | None = None) -> DataFrame:
     """The documents, with the columns they came with, that have the smallest doc_id of their group.
 
-    Rows that repeat such a doc_id give one row, that with the smallest text;
+    The groups, (doc_id, component_id), are those of near_duplicates unless others are given. Rows that repeat such a doc_id give one row, that with the smallest text;
     rows without an id stay.
     """
-    found = cut(near_duplicates(docs, width=width).select("doc_id", "component_id"))
+    found = cut((near_duplicates(docs, width=width) if groups is None else groups).select("doc_id", "component_id"))
     # A document goes if its group has a smaller id; those that go are fewer than those that stay, as a rule.
     gone = broadcast_if_small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__d")).distinct())
     left = docs.join(gone, docs["doc_id"] == gone["__d"], "left_anti")
