@@ -4,9 +4,13 @@ Numbers, units after numbers and names inside sentences become typed
 placeholders; the rest is lower-cased words. Windows of WIDTH such tokens are
 hashed and joined with the benchmark's windows, so a question matches again
 after its numbers and names were exchanged. Matches that lie on one diagonal
-(document position minus item position) must also exchange consistently: one benchmark
-name or number for one of the document, in both directions. Units may change
-one by one.
+(document position minus item position) must also exchange consistently. A
+window counts if its names and numbers are those of the item. Else each of its
+names must stand for what most mentions of the item's name on the diagonal
+stand for, and equal numbers inside the window must stay equal; a window that
+conflicts is dropped alone. Different values may become equal, and units may
+change one by one. The query of the contract is stricter (one_to_one): a whole
+diagonal goes unless one name or number stands for one, in both directions.
 """
 
 from __future__ import annotations
@@ -63,11 +67,11 @@ def _literal_enough(tokens: Column, pos: Column, width: int, literal: int) -> Co
     return F.size(F.filter(F.slice(tokens, pos + 1, width), lambda t: ~_is_slot(t))) >= min(literal, width)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, coverage: float = COVERAGE, one_to_one: bool = False) -> DataFrame:
     """(doc_id, text_hash, item_id, n_tokens, n_covered, coverage, n_slots), one row for each document and item that it holds.
 
-    An item is held if windows on consistent diagonals cover at least the given
-    share of its tokens. Items shorter than the window are searched as one
+    An item is held if consistent windows (one_to_one: windows on diagonals
+    that map one to one) cover at least the given share of its tokens. Items shorter than the window are searched as one
     window; items of fewer than SHORTEST tokens, and null texts, take no part.
     Windows with fewer than LITERAL literal tokens do not count, as runs of
     placeholders match anything. Rows that repeat a document or an item give
@@ -101,7 +105,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = cut(pairs.join(named, "item_key").withColumn("n_slots", F.size(F.filter("marked", _is_slot))))
     plain = pairs.where("n_slots = 0").select("doc_id", "text_hash", "item_id", "n_tokens", F.col("n_all").alias("n_covered"), "n_slots")
     slotted = pairs.where("n_slots > 0")
-    found = plain if slotted.isEmpty() else plain.unionByName(_consistent(slotted, rows, coverage))
+    found = plain if slotted.isEmpty() else plain.unionByName((_one_to_one if one_to_one else _consistent)(slotted, rows, coverage))
     best = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct(F.col("n_covered") / F.col("n_tokens"), "n_covered", "n_tokens", "n_slots")).alias("x"))
     return best.select("doc_id", "text_hash", "item_id", F.col("x.n_tokens").cast("long").alias("n_tokens"), F.col("x.n_covered").cast("long").alias("n_covered"), F.col("x.col1").alias("coverage"), F.col("x.n_slots").cast("long").alias("n_slots"))
 
@@ -111,10 +115,32 @@ def _covered(positions: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(F.transform(positions, lambda b: F.sequence(b, b + F.col("width") - 1)))))
 
 
-def _consistent(pairs: DataFrame, rows: DataFrame, coverage: float) -> DataFrame:
-    """The pairs whose consistent diagonals still cover enough, as rows like those without slots."""
+def _with_texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs with own, the document's tokens and what they stand for."""
     mine = broadcast_if_small(pairs.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), SLOTTED_PAIRS)
-    both = mine.join(rows, rows["doc_id"].eqNullSafe(mine["d"]) & (rows["text_hash"] == mine["t"])).withColumn("own", _tokens(F.col("text"), True)).drop("text", "d", "t")
+    return mine.join(rows, rows["doc_id"].eqNullSafe(mine["d"]) & (rows["text_hash"] == mine["t"])).withColumn("own", _tokens(F.col("text"), True)).drop("text", "d", "t")
+
+
+def _consistent(pairs: DataFrame, rows: DataFrame, coverage: float) -> DataFrame:
+    """The pairs whose consistent windows cover enough, as rows like those without slots."""
+    key = ["doc_id", "text_hash", "item_id", "item_key", "n_tokens", "width", "n_slots"]
+    both = _with_texts(pairs, rows)
+    met = F.transform("hits", lambda x: F.struct((x["pos"] - x["bpos"]).alias("diagonal"), x["bpos"].alias("bpos"), F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct((x["bpos"] + k).alias("at"), F.get("marked", x["bpos"] + k).alias("theirs"), F.get("own", x["pos"] + k).alias("ours"))).alias("spots")))
+    lines = both.select(*key, F.explode(met).alias("m")).select(*key, "m.*").groupBy(*key, "diagonal").agg(F.collect_set(F.struct("bpos", "spots")).alias("windows"))
+    of = lambda spots, kind: F.filter(spots, lambda s: F.substring(s["theirs"], 1, 1) == kind)
+    lines = lines.withColumn("votes", F.array_distinct(F.flatten(F.transform("windows", lambda w: of(w["spots"], NAME)))))
+    # A name that no value stands for in more than half of its places conflicts wherever it is exchanged.
+    most = lambda s: 2 * F.size(F.filter("votes", lambda v: (v["theirs"] == s["theirs"]) & (v["ours"] == s["ours"]))) > F.size(F.filter("votes", lambda v: v["theirs"] == s["theirs"]))
+    equal = lambda numbers: F.size(F.array_distinct(F.transform(numbers, lambda s: s["theirs"]))) == F.size(F.array_distinct(F.transform(numbers, lambda s: F.struct(s["theirs"].alias("a"), s["ours"].alias("b")))))
+    same = lambda spots: F.forall(spots, lambda s: (s["theirs"] == s["ours"]) | (F.substring(s["theirs"], 1, 1) == UNIT))
+    fair = F.filter("windows", lambda w: same(w["spots"]) | (F.forall(of(w["spots"], NAME), most) & equal(of(w["spots"], NUMBER))))
+    starts = lines.select(*key, F.transform(fair, lambda w: w["bpos"]).alias("starts")).groupBy(*key).agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return starts.withColumn("n_covered", _covered(F.col("starts"))).where(F.col("n_covered") >= coverage * F.col("n_tokens")).select("doc_id", "text_hash", "item_id", "n_tokens", "n_covered", "n_slots")
+
+
+def _one_to_one(pairs: DataFrame, rows: DataFrame, coverage: float) -> DataFrame:
+    """The pairs whose diagonals of one-to-one exchanges still cover enough, as rows like those without slots."""
+    both = _with_texts(pairs, rows)
     key = ["doc_id", "text_hash", "item_id", "item_key", "n_tokens", "width", "n_slots"]
     # own is used twice below, which keeps it a column: else the text would be cut anew for every token.
     spots = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct((x["pos"] + k).alias("pos"), (x["bpos"] + k).alias("bpos"))))))

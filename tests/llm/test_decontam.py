@@ -48,3 +48,16 @@ def test_both_forms_of_tokens_agree(spark):
         assert len(r.a) == len(r.b)
         for a, b in zip(r.a, r.b, strict=True):
             assert b.startswith(a) if a in (decontam.NAME, decontam.NUMBER, decontam.UNIT) else a == b
+
+
+def test_one_conflict_drops_its_windows_only(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    long = " ".join([*words[:20], "12", *words[20:50], "Jonas", *words[50:60], "12", *words[60:80], "Jonas", *words[80:]])
+    number, name = long.replace("12", "13", 1), long.replace("Jonas", "Peter", 1)
+    sums = "so a shop sells 12 green boxes and later it buys 30 red boxes from a farm nearby"
+    fruit = "so a child has 5 apples in the basket and then finds 5 pears under the old tree"
+    texts = [(1, number), (2, name), (3, sums.replace("12", "7").replace("30", "7")), (4, fruit.replace("5 pears", "8 pears")), (5, "an unlike text " * 9)]
+    found, docs, bench = run(spark, texts, [(1, long), (2, sums), (3, fruit)])
+    assert found == [("1", 1), ("2", 1), ("3", 2), ("4", 3)]
+    assert [r.doc_id for r in decontam.clean_documents(docs, bench).collect()] == [5]
+    assert decontam.contaminated(docs, bench, one_to_one=True).collect() == []
