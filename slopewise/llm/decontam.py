@@ -3,7 +3,9 @@
 Numbers, units after numbers and names inside sentences become typed
 placeholders; the rest is lower-cased words. Windows of WIDTH such tokens are
 hashed and joined with the benchmark's windows, so a question matches again
-after its numbers and names were exchanged. Matches that lie on one diagonal
+after its numbers and names were exchanged. Windows are also joined by their
+words and values as they are, whatever is a placeholder, so a copy word for
+word matches however short or rich in names and numbers it is. Matches that lie on one diagonal
 (document position minus item position) must also exchange consistently. A
 window counts if its names and numbers are those of the item. Else each of its
 names must stand for what most mentions of the item's name on the diagonal
@@ -50,6 +52,11 @@ def _tokens(text: Column, values: bool) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
+def _values(tokens: Column) -> Column:
+    """The words and values as they are, without the marks of placeholders; what stands before a word can make it a name or not."""
+    return F.transform(tokens, lambda t: F.translate(t, NAME + NUMBER + UNIT, ""))
+
+
 def _is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1).isin(NAME, NUMBER, UNIT)
 
@@ -80,27 +87,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select("item_id", F.col("text").alias("item_text")).where(F.col("item_text").isNotNull()).distinct()
     items = items.withColumn("tokens", _tokens(F.col("item_text"), False)).withColumn("marked", _tokens(F.col("item_text"), True))
-    items = items.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= SHORTEST).withColumn("width", F.least("n_tokens", F.lit(width)))
+    items = items.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= (SHORTEST if one_to_one else 1)).withColumn("width", F.least("n_tokens", F.lit(width)))
     items = items.withColumn("item_key", F.xxhash64("item_id", "item_text"))
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH values
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    tokened = rows.select("doc_id", "text_hash", _tokens(F.col("text"), False).alias("tokens"))
+    # A row's canonical tokens, or its words and values, and the items they are looked up in.
+    kinds = [(rows.select("doc_id", "text_hash", _tokens(F.col("text"), False).alias("tokens")), items.where(F.col("n_tokens") >= SHORTEST), False)]
+    if not one_to_one:
+        kinds.append((rows.select("doc_id", "text_hash", _values(_tokens(F.col("text"), True)).alias("tokens")), items.withColumn("tokens", _values(F.col("marked"))), True))
     parts = []
     for w in widths or [width]:
-        own = items.where(F.col("width") == w)
-        posts = _windows(own.select("item_key", "n_tokens", "tokens"), w).where(_literal_enough(F.col("tokens"), F.col("w.pos"), w, LITERAL))
-        posts = posts.select(F.col("w.h").alias("h"), "item_key", "n_tokens", F.col("w.pos").alias("bpos"))
-        if posts.count() <= BROADCAST_WINDOWS:
-            posts = F.broadcast(posts)
-        seen = _windows(tokened, w).select("doc_id", "text_hash", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
-        hit = seen.join(posts, "h").select("doc_id", "text_hash", "item_key", "n_tokens", "pos", "bpos", F.lit(w).alias("width"))
-        parts.append(hit)
+        for tokened, posted, exact in kinds:
+            if not exact and w < min(SHORTEST, width):
+                continue
+            own = posted.where(F.col("width") == w)
+            posts = _windows(own.select("item_key", "n_tokens", "tokens"), w)
+            if not exact:
+                posts = posts.where(_literal_enough(F.col("tokens"), F.col("w.pos"), w, LITERAL))
+            posts = posts.select(F.col("w.h").alias("h"), "item_key", "n_tokens", F.col("w.pos").alias("bpos"))
+            if posts.count() <= BROADCAST_WINDOWS:
+                posts = F.broadcast(posts)
+            seen = _windows(tokened, w).select("doc_id", "text_hash", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
+            # Of windows that match as they are, the item's position is enough: all of them count.
+            hit = seen.join(posts, "h").select("doc_id", "text_hash", "item_key", "n_tokens", F.lit(w).alias("width"), "bpos", F.lit(None).cast("int").alias("pos") if exact else "pos")
+            parts.append(hit)
     hits = parts[0]
     for more in parts[1:]:
         hits = hits.unionByName(more)
-    pairs = hits.groupBy("doc_id", "text_hash", "item_key", "n_tokens", "width").agg(F.collect_set(F.struct("pos", "bpos")).alias("hits"))
-    pairs = pairs.withColumn("n_all", _covered(F.transform("hits", lambda x: x["bpos"]))).where(F.col("n_all") >= coverage * F.col("n_tokens"))
+    found = F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "bpos"))), F.collect_set(F.when(F.col("pos").isNull(), F.col("bpos")))
+    pairs = hits.groupBy("doc_id", "text_hash", "item_key", "n_tokens", "width").agg(found[0].alias("hits"), found[1].alias("verbatim"))
+    pairs = pairs.withColumn("n_all", _covered(F.concat(F.transform("hits", lambda x: x["bpos"]), "verbatim"))).where(F.col("n_all") >= coverage * F.col("n_tokens"))
     named = F.broadcast(items.select("item_key", "item_id", "marked")) if items.count() <= BROADCAST_WINDOWS else items.select("item_key", "item_id", "marked")
     pairs = cut(pairs.join(named, "item_key").withColumn("n_slots", F.size(F.filter("marked", _is_slot))))
     plain = pairs.where("n_slots = 0").select("doc_id", "text_hash", "item_id", "n_tokens", F.col("n_all").alias("n_covered"), "n_slots")
@@ -124,7 +141,7 @@ def _with_texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def _consistent(pairs: DataFrame, rows: DataFrame, coverage: float) -> DataFrame:
     """The pairs whose consistent windows cover enough, as rows like those without slots."""
     key = ["doc_id", "text_hash", "item_id", "item_key", "n_tokens", "width", "n_slots"]
-    both = _with_texts(pairs, rows)
+    both = _with_texts(pairs.where(F.size("hits") > 0), rows)
     met = F.transform("hits", lambda x: F.struct((x["pos"] - x["bpos"]).alias("diagonal"), x["bpos"].alias("bpos"), F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct((x["bpos"] + k).alias("at"), F.get("marked", x["bpos"] + k).alias("theirs"), F.get("own", x["pos"] + k).alias("ours"))).alias("spots")))
     lines = both.select(*key, F.explode(met).alias("m")).select(*key, "m.*").groupBy(*key, "diagonal").agg(F.collect_set(F.struct("bpos", "spots")).alias("windows"))
     of = lambda spots, kind: F.filter(spots, lambda s: F.substring(s["theirs"], 1, 1) == kind)
@@ -134,7 +151,8 @@ def _consistent(pairs: DataFrame, rows: DataFrame, coverage: float) -> DataFrame
     equal = lambda numbers: F.size(F.array_distinct(F.transform(numbers, lambda s: s["theirs"]))) == F.size(F.array_distinct(F.transform(numbers, lambda s: F.struct(s["theirs"].alias("a"), s["ours"].alias("b")))))
     same = lambda spots: F.forall(spots, lambda s: (s["theirs"] == s["ours"]) | (F.substring(s["theirs"], 1, 1) == UNIT))
     fair = F.filter("windows", lambda w: same(w["spots"]) | (F.forall(of(w["spots"], NAME), most) & equal(of(w["spots"], NUMBER))))
-    starts = lines.select(*key, F.transform(fair, lambda w: w["bpos"]).alias("starts")).groupBy(*key).agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = lines.select(*key, F.transform(fair, lambda w: w["bpos"]).alias("starts"))
+    starts = starts.unionByName(pairs.select(*key, F.col("verbatim").alias("starts"))).groupBy(*key).agg(F.flatten(F.collect_list("starts")).alias("starts"))
     return starts.withColumn("n_covered", _covered(F.col("starts"))).where(F.col("n_covered") >= coverage * F.col("n_tokens")).select("doc_id", "text_hash", "item_id", "n_tokens", "n_covered", "n_slots")
 
 

@@ -61,3 +61,16 @@ def test_one_conflict_drops_its_windows_only(spark):
     assert found == [("1", 1), ("2", 1), ("3", 2), ("4", 3)]
     assert [r.doc_id for r in decontam.clean_documents(docs, bench).collect()] == [5]
     assert decontam.contaminated(docs, bench, one_to_one=True).collect() == []
+
+
+def test_copies_word_for_word_of_short_and_dense_items(spark):
+    items = [
+        "Who directed The Lord Of The Rings The Return Of The King", "Is Mount Kenya higher than Mount Kilimanjaro", "What is 12 plus 30",
+        "Compute 12 + 7 - 5 * 3 + 9", "Who wrote Hamlet?", "Paris",
+    ]
+    texts = [(k, f"it was asked: {t} and so on") for k, t in enumerate(items)] + [(10 + k, t) for k, t in enumerate(items)]
+    texts += [(20, "What is 12 plus 31"), (21, "Is Mount Elbrus higher than Mount Blanc"), (22, "Compute 1 + 7 - 5 * 3 + 2"), (23, "Who wrote Faust?")]
+    found, docs, bench = run(spark, texts, enumerate(items))
+    assert found == sorted([(str(k), k) for k in range(6)] + [(str(10 + k), k) for k in range(6)])
+    assert sorted(r.doc_id for r in decontam.clean_documents(docs, bench).collect()) == [20, 21, 22, 23]
+    assert decontam.contaminated(docs, bench, one_to_one=True).count() < 12
