@@ -1,10 +1,10 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary made of a bounded sample
-of its texts. A text is folded to its distinct lower-case words, cut into
-pieces, and every piece is compressed with every dictionary; the language whose
-dictionary gives the fewest bytes is the answer. The margin to the
-runner-up tells how far to trust it: narrow margins are marked as rejected.
+of its texts. A text is lower-cased, cut into pieces, and every piece is
+compressed with every dictionary; the language whose dictionary gives the
+fewest bytes in all is the answer. The margin to the runner-up tells how far to
+trust it: narrow margins are marked as rejected.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from slopewise.llm.common import as_bytes, broadcast_if_small, few_smallest, id_and_bytes, pieces, small_batches
 from slopewise.session import cut
 
-#: Bounds of the sample for a dictionary: documents of a language, characters of each if that many are known and if few are, bytes of them all.
-SAMPLE_DOCS, SAMPLE_CHARS, MOST_CHARS, DICTIONARY_BYTES = 2048, 256, 4096, 262144
-PIECE, LEVEL = 2048, 3
+#: Bounds of the sample for the dictionaries: documents of a language, bytes of its dictionary, and bytes of all dictionaries together.
+SAMPLE_DOCS, DICTIONARY_BYTES, MODEL_BYTES = 2048, 262144, 1 << 26
+#: Bytes of a snippet; a document's snippets lie evenly over its whole text.
+SNIPPET = 128
+#: Bytes that are compressed at once, and zstandard's level.
+PIECE, LEVEL = 512, 3
 #: Relative gain over the runner-up below which an answer counts as rejected.
 MARGIN = 0.02
 UNKNOWN = "und"
@@ -35,45 +38,64 @@ _ASCII_LETTER = regex.compile(rb"[A-Za-z]")
 
 
 def fold(data: bytes) -> bytes:
-    """The distinct words of a text, in their first order; what repeats says nothing new about the language."""
-    words: dict[bytes, None] = {}
-    for piece in pieces(data):
-        lowered = piece if piece.isascii() else piece.decode("utf-8", "replace").lower().encode()
-        words.update(dict.fromkeys(lowered.translate(_FOLD).split()))
-    return b" ".join(words)
+    """All words of the text in their order, in small letters, with one space between them."""
+    lowered = data if data.isascii() else data.decode("utf-8", "replace").lower().encode()
+    return b" ".join(lowered.translate(_FOLD).split())
 
 
 def has_letter(data: bytes) -> bool:
     return bool(_ASCII_LETTER.search(data)) or (not data.isascii() and bool(_LETTER.search(data.decode("utf-8", "replace"))))
 
 
+def spread(data: bytes, wanted: int, snippet: int = SNIPPET) -> bytes:
+    """About the wanted bytes of the folded text: all of it, or snippets that lie evenly from its beginning to its end."""
+    folded = b" ".join(fold(piece) for piece in pieces(data))
+    if len(folded) <= wanted:
+        return folded
+    count = max(1, wanted // snippet)
+    size = min(snippet, wanted)
+    last = len(folded) - size
+    starts = [last // 2] if count == 1 else [last * i // (count - 1) for i in range(count)]
+    return b" ".join(folded[at : at + size] for at in starts)
+
+
 def learnable(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
     """Whether a document may be learned from: its part of the hash is not held out. Rows without an id are not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts != part, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, most_chars: int = MOST_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, model_bytes: int = MODEL_BYTES) -> dict[str, bytes]:
     """Dictionary content for each language of docs (doc_id, text, lang); null texts, languages and ids are left out.
 
-    The sample of a language is its documents with the smallest hash of doc_id,
-    and of each the first sample_chars characters, or more, up to most_chars,
-    where so few documents are known that they would not fill the dictionary.
+    The sample of a language is its sample_docs documents with the smallest
+    hash of doc_id and text, rows that repeat counted once. Each lends the same
+    number of bytes, from all over its text, so that the dictionary is filled;
+    short texts lend what they have. Where there are so many languages that
+    dictionaries of that size exceed model_bytes together, all are smaller.
     """
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    small_batches(docs.sparkSession)
     known = docs.where("doc_id is not null and lang is not null and text is not null")
-    sizes = broadcast_if_small(cut(known.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))))
-    first = known.select("doc_id", "lang").join(sizes, "lang").where(few_smallest(F.xxhash64("doc_id"), sample_docs, F.col("all")))
-    ids = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs)
-    counts = ids.groupBy("lang").agg(F.max("n").alias("known"))
-    chars = F.least(F.lit(most_chars), F.greatest(F.lit(sample_chars), F.ceil(dictionary_bytes / F.col("known")).cast("int")))
-    wanted = ids.select("doc_id", "lang").distinct().join(counts, "lang").select("doc_id", "lang", chars.alias("chars"))
-    texts = known.join(F.broadcast(wanted), ["doc_id", "lang"]).select("lang", "doc_id", F.substr("text", F.lit(1), F.col("chars")).alias("text"))
-    content: dict[str, bytes] = {}
-    for r in sorted(texts.collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
-        held = content.setdefault(r.lang, b"")
-        if len(held) < dictionary_bytes:
-            content[r.lang] = (held + b" " + fold(r.text.encode()))[:dictionary_bytes]
-    return content
+    known = known.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = cut(known.groupBy("lang").agg(F.count(F.lit(1)).alias("all")))
+    languages = max(1, sizes.count())
+    each = min(dictionary_bytes, model_bytes // languages)
+    few = known.join(broadcast_if_small(sizes), "lang").where(few_smallest(F.col("h"), sample_docs, F.col("all")))
+    ranked = few.select("lang", "h").distinct().withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h")))
+    chosen = cut(ranked.where(F.col("n") <= sample_docs))
+    # Bytes of a document: more where few are known, so that they fill the dictionary all the same.
+    wanted = chosen.join(F.broadcast(chosen.groupBy("lang").agg(F.max("n").alias("known"))), "lang").select("lang", "h", F.ceil(F.lit(each) / F.col("known")).cast("int").alias("bytes"))
+    rows = known.join(broadcast_if_small(wanted), ["lang", "h"]).dropDuplicates(["lang", "h"])
+
+    def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes_, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([spread(t, n) for t, n in zip(texts, sizes_, strict=True)], pa.binary())], ["lang", "h", "content"])
+
+    found = rows.select("lang", "h", "bytes", as_bytes(F.col("text")).alias("data")).mapInArrow(snippets, "lang string, h long, content binary").toArrow()
+    content: dict[str, list[bytes]] = {}
+    for r in found.sort_by([("lang", "ascending"), ("h", "ascending")]).to_pylist():
+        content.setdefault(r["lang"], []).append(r["content"])
+    return {lang: b" ".join(parts) for lang, parts in content.items()}
 
 
 class Compressors:
@@ -92,16 +114,19 @@ class Compressors:
         """Language and margin: the share of bytes saved against the second best language."""
         if not data or not self.langs or not has_letter(data):
             return UNKNOWN, 0.0
-        folded = fold(data)
-        pieces = [folded[at : at + PIECE] for at in range(0, len(folded), PIECE)] or [b""]
-        sizes = [sum(len(compress(p)) for p in pieces) for compress in self.each]
+        sizes = [0] * len(self.each)
+        for part in pieces(data):
+            folded = fold(part)
+            for at in range(0, len(folded), PIECE):
+                piece = folded[at : at + PIECE]
+                for k, compress in enumerate(self.each):
+                    sizes[k] += len(compress(piece))
         best = min(sizes)
-        if sizes.count(best) > 1:  # very short texts; of equal sizes, the language that knows more of the words
-            words = folded.split()
-            near = [(-sum(w in known for w in words), lang) for size, known, lang in zip(sizes, self.words, self.langs, strict=True) if size == best]
-            return min(near)[1], 0.0
         if len(sizes) == 1:
             return self.langs[0], 1.0
+        if sizes.count(best) > 1:  # mostly texts of a few words; of equal sizes, the language that knows more of the words
+            near = [(-sum(w in known for part in pieces(data) for w in fold(part).split()), lang) for size, known, lang in zip(sizes, self.words, self.langs, strict=True) if size == best]
+            return min(near)[1], 0.0
         return self.langs[sizes.index(best)], 1 - best / sorted(sizes)[1]
 
 
@@ -109,9 +134,10 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
     """(doc_id, lang_pred, score, rejected), one row a document; score is the margin, 0 to 1.
 
     Null texts and texts without a letter are `und` with score 0 and rejected,
-    as is every text if no language was learned. Equal sizes go to the language
-    that knows more of the words, then to the first by code point, with score 0. Rows that repeat give equal
-    rows; an empty table gives none.
+    as is every text if no language was learned. Long texts are compressed to
+    their end, piece by piece. Equal sizes go to the language that knows more
+    of the words, then to the first by code point, with score 0. Rows that
+    repeat give equal rows; an empty table gives none.
     """
     small_batches(docs.sparkSession)
 
