@@ -24,7 +24,7 @@ def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_place", "places")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +131,8 @@ ORACLE_SQL = {
         QUALIFY row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY c / n::DOUBLE DESC, c DESC, n DESC, n_slots DESC) = 1""",
     "op3_mixing": r"""
         WITH d AS (
-            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS o
+            SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS k
             FROM documents),
         s AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -147,15 +147,31 @@ ORACLE_SQL = {
         l AS (SELECT min(rest / left_w) AS level FROM f WHERE fills = (SELECT min(fills) FROM f WHERE fills > rest / left_w)
               AND fills > rest / left_w),
         t AS (SELECT source, source_size,
-                     CASE WHEN level IS NULL OR fills <= level THEN 2.0::DOUBLE * source_size ELSE level * w END AS target
+                     CASE WHEN level IS NULL OR fills <= level THEN 2.0::DOUBLE * source_size ELSE level * w END AS target,
+                     CAST(round(CASE WHEN level IS NULL OR fills <= level THEN 2.0::DOUBLE * source_size ELSE level * w END) AS BIGINT) AS goal
               FROM f, l),
-        laid AS (
-            SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS goal,
-                   CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-               CAST(greatest(0, least(goal - start, size)) + greatest(0, least(goal - source_size - start, size)) AS BIGINT) AS taken
-        FROM laid""",
+        n AS (SELECT total, bits, total / pow(2.0, bits) AS block
+              FROM (SELECT total, CAST(least(floor(log2(total)), greatest(18, ceil(log2(total / 65536.0::DOUBLE)))) AS INT) AS bits
+                    FROM (SELECT CAST(sum(goal) AS DOUBLE) AS total FROM t) WHERE total > 0)),
+        share AS (
+            SELECT source, (CAST(sum(goal) OVER (ORDER BY source NULLS LAST) AS DOUBLE) - goal) / total AS lo,
+                   CAST(sum(goal) OVER (ORDER BY source NULLS LAST) AS DOUBLE) / total AS hi
+            FROM t, n),
+        point AS (
+            SELECT i AS place, list_sum(list_transform(range(bits), lambda j: CAST((i >> CAST(j AS INT)) & 1 AS DOUBLE) * pow(2.0, -1 - j))) AS u
+            FROM n, unnest(range(CAST(pow(2, bits) AS BIGINT))) AS r(i)),
+        slot AS (
+            SELECT source, place, row_number() OVER (PARTITION BY source ORDER BY place) - 1 AS turn
+            FROM point JOIN share ON u >= lo AND u < hi),
+        block AS (SELECT source, place, floor(turn * block) AS x, floor((turn + 1) * block) AS y FROM slot, n),
+        laid AS (SELECT row, d.source, size, source_size, sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS UNBOUNDED PRECEDING) - size AS start
+                 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0),
+        pass AS (SELECT row, source, start + e * source_size AS a, start + e * source_size + size AS b FROM laid, (VALUES (0), (1)) AS v(e)),
+        taken AS (
+            SELECT row, sum(least(b, y) - greatest(a, x)) AS words, min(place) AS first_place, count(*) AS places
+            FROM pass JOIN block ON block.source IS NOT DISTINCT FROM pass.source AND x < b AND y > a GROUP BY row)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(words, 0) AS BIGINT) AS taken, first_place, coalesce(places, 0) AS places
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN taken USING (row)""",
     "op4_warc": r"""
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY n, h) AS first FROM p),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from slopewise.llm import mixing, quality, sharding
 from slopewise.session import table
 from tests.llm import brute
-from tests.llm.test_mixing import reshare, taken
+from tests.llm.test_mixing import plain_mix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,13 +58,8 @@ def test_each_stage_does_what_a_plain_version_does(spark, tmp_path):
             expect = [r for r in before if item not in (r[1] or "")]
             assert len(expect) < len(before)
         elif number == 3:
-            key = lambda r: tuple(map(str, r))
-            counted = [(r[0], len(brute.WORD.findall(r[1] or "")), r[3]) for r in before]
-            sizes = {}
-            for _, n, s in counted:
-                sizes[s] = sizes.get(s, 0) + n
-            took = {(i, n): t for i, n, _, _, t in taken(counted, reshare(sizes), sizes)}
-            expect = [r for r, (i, n, _) in zip(before, counted, strict=True) for _ in range(-(-took[i, n] // n) if n else 0)]
+            plain = plain_mix([(r[0], r[1], r[3]) for r in before])
+            expect = [r for r, (_, _, _, each, _) in zip(before, plain, strict=True) for _ in each]
             assert len(expect) > len(before)
         else:
             expect, owner = before, sharding.lookup_table()
@@ -85,7 +80,7 @@ def test_run_gives_the_rows_of_its_stages_and_stands_empty_tables(spark, tmp_pat
 def test_mixed_documents_with_repeated_rows(spark):
     rows = [(1, "a b c", "x", 1), (1, "a b d", "x", 1), (1, "a b c", "x", 1), (2, "e", "y", 1), (3, None, "y", 1), (3, "", "y", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
-    got = [tuple(r) for r in mixing.mixed_documents(df, block=2).collect()]
-    took = mixing.mix(df, block=2).collect()
+    got = [tuple(r) for r in mixing.mixed_documents(df).collect()]
+    took = mixing.mix(df).collect()
     assert len(got) == sum(-(-r.taken // r.size) for r in took if r.size)
     assert set(got) <= set(rows)
