@@ -13,7 +13,7 @@ from slopewise.session import fresh_path, table
 
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0")).select("query_id", "rank", "vec_id", "score", "measured")
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ def test_small_tables_are_exact_with_ties_and_bad_rows(spark):
 
 
 def test_other_lengths_few_rows_and_no_rows(spark):
-    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, [1.0, 2.0, 3.0])]
-    assert [(q, r, v) for q, r, v, _ in run(spark, rows)] == [(0, 1, 1)]
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, [1.0, 2.0, 3.0]), (50, [3.0, 2.0, 1.0]), (100, [1.0]), (150, [-1.0]), (3, [2.0])]
+    assert [(q, r, v) for q, r, v, _ in run(spark, rows)] == [(0, 1, 1), (50, 1, 2), (100, 1, 3), (100, 2, 150), (150, 1, 3), (150, 2, 100)]
     assert run(spark, []) == []
     assert run(spark, [(50, [0.0, 0.0])]) == []
 
@@ -43,7 +43,7 @@ def test_other_lengths_few_rows_and_no_rows(spark):
 def test_recall_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(64).astype(np.float32).tolist()) for i in range(6000)]
-    got = run(spark, rows, block=2048, chunk=64)
+    got = run(spark, rows, part=512, chunk=64)
     unit = np.array([v for _, v in rows], np.float64)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     hits = 0
@@ -54,16 +54,29 @@ def test_recall_against_brute_force(spark):
     assert len(got) == 600 and hits / 600 >= 0.9
 
 
-def test_footrule_of_the_index():
+def test_search_measures_what_files_and_footrule_say(spark):
     rng = np.random.default_rng(3)
-    pivots = ann._unit(rng.standard_normal((12, 5)))
-    vectors = rng.standard_normal((300, 5))
-    index = ann.BlockIndex(vectors, pivots, posted=3)
-    order, place = ann._positions(ann._unit(vectors), pivots)
-    posted = {(e, p) for p, f in enumerate(index.files) for e in f}
-    assert posted == {(e, p) for e in range(300) for p in order[e, :3]}
-    found = set(index.candidates(order[0], place[0], probed=4, most=20))
-    seen = [e for e in range(300) if set(order[e, :3]) & set(order[0, :4])]
-    footrule = {e: sum(abs(int(place[e][p]) - int(place[0][p])) for p in range(12)) for e in seen}
-    reach = max(sorted(footrule.values())[19], ann.CLOSE * (12**2 - 1) / 3)
-    assert found == {e for e in seen if footrule[e] <= reach} and len(found) >= 20
+    vectors = rng.standard_normal((400, 5)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame([(i, v, 1.0, 2) for i, v in rows], SCHEMA)
+    model = ann.learn(df.selectExpr("vec_id", "embedding v"), 0.0, 24)[5]
+    assert len(model.units) == 24 and len(model.sample) == 400
+    got = ann.search(df, df.where("vec_id % 50 = 0"), posted=3, probed=4, part=50, chunk=3, per_root=0.0, least_pivots=24).collect()
+    units = ann.unit(vectors.astype(float))
+    order = [sorted(range(24), key=lambda p: -float(u @ model.units[p])) for u in units]
+    footrule = lambda a, b: sum(abs(order[a].index(p) - order[b].index(p)) for p in range(24))
+    for q in range(0, 400, 50):
+        radius = sorted(footrule(q, e) for e in range(400))[round(ann.NEAR / 20 * 400) - 1]
+        near = [e for e in range(400) if set(order[e][:3]) & set(order[q][:4]) and footrule(q, e) <= radius]
+        score = {e: float(units[e].astype(float) @ units[q]) for e in near if e != q}
+        own = sorted([r for r in got if r.query_id == q], key=lambda r: r["rank"])
+        assert [r.vec_id for r in own] == sorted(score, key=lambda e: -score[e])[:5]
+        assert {r.measured for r in own} == {len(near)}
+
+
+def test_scores_are_the_plain_measure():
+    rng = np.random.default_rng(5)
+    a, q = rng.standard_normal((50, 7)), rng.standard_normal(7)
+    want = [float(np.dot(v, q)) / (float(np.sqrt(np.dot(v, v))) * float(np.sqrt(np.dot(q, q)))) for v in a]
+    assert np.allclose(ann.cosines(a, q), want, rtol=0, atol=4e-16)
+    assert np.allclose(ann.cosines(a * 1e200, q * 1e200), want, rtol=0, atol=1e-15) and np.allclose(ann.cosines(a * 1e-200, q), want, rtol=0, atol=1e-15)
