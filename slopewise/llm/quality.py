@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopewise.llm.common import as_bytes, few_smallest, id_and_bytes, small_batches
+from slopewise.llm.common import as_bytes, few_smallest, id_and_bytes, pieces, small_batches
 from slopewise.session import cut
 
 PASSAGE = 512
-#: Bounds of the training sample: labelled documents, and passages of each of them (evenly spaced over the whole text).
-SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 16
-#: Text is encoded in pieces of this many bytes, whatever its length.
-PIECE = PASSAGE * 2048
+#: Bounds of the training sample: labelled documents, and bytes of their texts together. A document of the sample lends all its passages.
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 1 << 24
+#: Text is encoded in pieces of about this many bytes, cut at blanks, whatever its length.
+PIECE = PASSAGE * 512
 THRESHOLD = 0.3
 
 _SETS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b".", b",", b"!", b"?", b"#", b"$", b"%", b"&", b"*", b"|", b"'\"`", b"()[]{}<>", b"-_", b"/\\", b":;", b"@=+~^", bytes(range(128, 256))]
@@ -63,13 +63,20 @@ def _piece_features(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def encoded(data: bytes) -> Iterator[np.ndarray]:
+    """The passages of a text piece by piece, one row of features for each; a text without words is one passage of zeros."""
+    some = False
+    for piece in pieces(data, PIECE):
+        for at in range(0, len(piece), 4 * PIECE):  # more than once only for words longer than that
+            if words := piece[at : at + 4 * PIECE].split():
+                some = True
+                yield _piece_features(words)
+    if not some:
+        yield np.zeros((1, FEATURES), np.float32)
+
+
 def encode(data: bytes) -> np.ndarray:
-    """One row of features for each passage; a text without words is one passage of zeros."""
-    if not data.strip():
-        return np.zeros((1, FEATURES), np.float32)
-    if len(data) <= PIECE:
-        return _piece_features(data.split())
-    return np.concatenate([_piece_features(words) for at in range(0, len(data), PIECE) if (words := data[at : at + PIECE].split())])
+    return np.concatenate(list(encoded(data)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -89,16 +96,40 @@ class AttentionModel:
     def forward(self, x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
         """starts: the first passage of each document; passages of a document stand together."""
         sizes = np.diff(np.append(starts, len(x)))
+        f = self.passages(x)
+        e = np.exp(f["e"] - np.repeat(np.maximum.reduceat(f["e"], starts), sizes))
+        weight = e / np.repeat(np.add.reduceat(e, starts), sizes)
+        z = np.add.reduceat(f["h"] * weight[:, None], starts)
+        return f | {"weight": weight, "z": z, "p": _sigmoid(z @ self.c[:-1] + self.c[-1]), "sizes": sizes}
+
+    def gradients(self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss over the documents, for each parameter."""
+        f = self.forward(x, starts)
+        up = (f["p"] - labels) / len(labels)
+        dz = np.repeat(up, f["sizes"])[:, None] * self.c[:-1]
+        through = (f["h"] * dz).sum(1)
+        mean = np.repeat(np.add.reduceat(f["weight"] * through, starts), f["sizes"])
+        de = f["weight"] * (through - mean)
+        dt, ds = de[:, None] * self.a * f["s"] * (1 - f["t"] ** 2), de[:, None] * self.a * f["t"] * f["s"] * (1 - f["s"])
+        dh = (f["weight"][:, None] * dz + dt @ self.v.T + ds @ self.u.T) * (1 - f["h"] ** 2)
+        return {"w": x.T @ dh, "v": f["h"].T @ dt, "u": f["h"].T @ ds, "a": (f["t"] * f["s"]).T @ de, "c": np.append(f["z"].T @ up, up.sum())}
+
+    def passages(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """What each passage gives on its own: code h, gates t and s, attention before it is weighed e."""
         h = np.tanh(x @ self.w)
         t, s = np.tanh(h @ self.v), _sigmoid(h @ self.u)
-        e = (t * s) @ self.a
-        e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), sizes))
-        weight = e / np.repeat(np.add.reduceat(e, starts), sizes)
-        z = np.add.reduceat(h * weight[:, None], starts)
-        return {"h": h, "t": t, "s": s, "weight": weight, "z": z, "p": _sigmoid(z @ self.c[:-1] + self.c[-1]), "sizes": sizes}
+        return {"h": h, "t": t, "s": s, "e": (t * s) @ self.a}
 
-    def score(self, x: np.ndarray) -> float:
-        return float(self.forward(x, np.zeros(1, np.int64))["p"][0])
+    def score(self, data: bytes) -> float:
+        """The score of a text. Its pieces are weighed as they come, against the largest attention so far, so one piece is held at a time."""
+        top, total, z = -np.inf, 0.0, np.zeros(len(self.c) - 1)
+        for x in encoded(data):
+            f = self.passages(x)
+            high = max(top, float(f["e"].max()))
+            weight = np.exp(f["e"].astype(float) - high)
+            again = np.exp(top - high)
+            z, total, top = z * again + weight @ f["h"], total * again + weight.sum(), high
+        return float(_sigmoid(z / total @ self.c[:-1] + self.c[-1]))
 
 
 def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 12, rate: float = 0.01, seed: int = 7) -> AttentionModel:
@@ -113,16 +144,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: in
             batch = order[at : at + 64]
             x = np.concatenate([bags[i] for i in batch]).astype(np.float32)
             starts = np.concatenate(([0], np.cumsum([len(bags[i]) for i in batch])[:-1]))
-            m = AttentionModel(**params)
-            f = m.forward(x, starts)
-            up = (f["p"] - labels[batch]) / len(batch)
-            dz = np.repeat(up, f["sizes"])[:, None] * m.c[:-1]
-            through = (f["h"] * dz).sum(1)
-            mean = np.repeat(np.add.reduceat(f["weight"] * through, starts), f["sizes"])
-            de = f["weight"] * (through - mean)
-            dt, ds = de[:, None] * m.a * f["s"] * (1 - f["t"] ** 2), de[:, None] * m.a * f["t"] * f["s"] * (1 - f["s"])
-            dh = (f["weight"][:, None] * dz + dt @ m.v.T + ds @ m.u.T) * (1 - f["h"] ** 2)
-            grads = {"w": x.T @ dh, "v": f["h"].T @ dt, "u": f["h"].T @ ds, "a": (f["t"] * f["s"]).T @ de, "c": np.append(f["z"].T @ up, up.sum())}
+            grads = AttentionModel(**params).gradients(x, starts, labels[batch])
             step += 1
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -131,40 +153,44 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: in
     return AttentionModel(**params)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_passages: int = SAMPLE_PASSAGES) -> AttentionModel | None:
-    """Learns from the sample_docs labelled documents with the smallest hash of doc_id; None if no label is known.
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> AttentionModel | None:
+    """Learns from the labelled documents with the smallest hashes of id and text; None if no label is known.
 
-    labels is (doc_id, quality); null labels and ids are left out, and of
-    several labels of a document the smallest holds. Only numbers come to the
-    driver: at most sample_docs * sample_passages rows of features.
+    At most sample_docs documents are taken, in the order of the hash, and of
+    these each that the sample's bytes still have room for, whole. labels is
+    (doc_id, quality); null labels and ids are left out, and of several labels
+    of a document the smallest holds. Rows that repeat an id and a text count
+    once; texts that share an id are documents of their own with one label.
+    Only numbers come to the driver: a row of features for each passage.
     """
     small_batches(docs.sparkSession)
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = cut(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
-    chosen = known.where(few_smallest(F.xxhash64("doc_id"), sample_docs, F.lit(known.count()))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", as_bytes(F.col("text")).alias("data")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
+    some = cut(rows.select("doc_id", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).distinct().join(known, "doc_id"))
+    drawn = some.where(few_smallest(F.col("h"), sample_docs, F.lit(some.count()))).orderBy("h", "doc_id").limit(sample_docs).collect()
+    room, chosen = sample_bytes, {}
+    for r in drawn:
+        if r["bytes"] <= room:
+            room -= r["bytes"]
+            chosen[r["doc_id"], r["h"]] = 1.0 if r["quality"] else 0.0
+    if not chosen:
+        return None
+    wanted = docs.sparkSession.createDataFrame(list(chosen), "doc_id long, h long")
+    texts = rows.join(F.broadcast(wanted), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in id_and_bytes(batches):
-            bags = []
-            for t in texts:
-                x = encode(t or b"")
-                if len(x) > sample_passages:
-                    x = x[np.linspace(0, len(x) - 1, sample_passages).astype(int)]
-                bags.append(x.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(bags, pa.binary())], ["doc_id", "x"])
-
-    bags = rows.mapInArrow(features, "doc_id long, x binary").toArrow().sort_by("doc_id")
-    quality = {r.doc_id: r.quality for r in chosen.collect()}
-    ids = bags["doc_id"].to_pylist()
-    if not ids:
-        return None
-    y = np.array([1.0 if quality[i] else 0.0 for i in ids], np.float32)
+        for batch in batches:
+            bags = [encode(t or b"").astype(np.float16).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], ["doc_id", "h", "x"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    bags = texts.select("doc_id", "h", as_bytes(F.col("text")).alias("data")).mapInArrow(features, f"doc_id {kind}, h long, x binary").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    y = np.array([chosen[key] for key in zip(bags["doc_id"].to_pylist(), bags["h"].to_pylist(), strict=True)], np.float32)
     return train([np.frombuffer(x.as_py(), np.float16).reshape(-1, FEATURES) for x in bags["x"]], y)
 
 
 def score(docs: DataFrame, model: AttentionModel | None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted), one row a document, every passage of every text read.
+    """(doc_id, score, predicted), one row a document, every passage of every text read, a long text piece by piece.
 
     Null and blank texts are one empty passage. Without a model the score is
     0.5. Repeated rows get equal scores; an empty table gives no rows.
@@ -173,7 +199,7 @@ def score(docs: DataFrame, model: AttentionModel | None, threshold: float = THRE
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in id_and_bytes(batches):
-            scores = [0.5 if model is None else model.score(encode(t or b"")) for t in texts]
+            scores = [0.5 if model is None else model.score(t or b"") for t in texts]
             yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes(F.col("text")).alias("data"))
@@ -188,7 +214,7 @@ def keep_good(docs: DataFrame, model: AttentionModel | None, threshold: float =
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [model is None or model.score(encode((t.as_buffer().to_pybytes() if t.is_valid else b"") or b"")) >= threshold for t in batch.column(at)]
+            keep = [model is None or model.score(t.as_buffer().to_pybytes() if t.is_valid else b"") >= threshold for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(sift, docs.schema)
