@@ -5,18 +5,25 @@ placeholders; the rest is lower-cased words. Windows of WIDTH such tokens are
 hashed and joined with the benchmark's windows, so a question matches again
 after its numbers and names were exchanged. Windows are also joined by their
 words and values as they are, whatever is a placeholder, so a copy word for
-word matches however short or rich in names and numbers it is. Matches that lie on one diagonal
-(document position minus item position) must also exchange consistently. A
-window counts if its names and numbers are those of the item. Else each of its
-names must stand for what most mentions of the item's name on the diagonal
-stand for, and equal numbers inside the window must stay equal; a window that
-conflicts is dropped alone. Different values may become equal, and units may
-change one by one. The query of the contract is stricter (one_to_one): a whole
-diagonal goes unless one name or number stands for one, in both directions.
+word matches however short or rich in names and numbers it is.
+
+Matches that lie on one diagonal (document position minus item position) must
+also exchange consistently. A window counts if its names and numbers are those
+of the item. Else each of its names must stand for what most mentions of the
+item's name on the diagonal stand for, and equal numbers inside the window must
+stay equal; a window that conflicts is dropped alone. Different values may
+become equal, and units may change one by one.
+
+A text is cut into tokens once, for both kinds of windows and all their widths.
+Items that agree in their template, or in all their words, are one form; the
+windows are joined with the forms, and the items come in after the matches of a
+document and a form have become one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +34,8 @@ from slopewise.session import cut
 WIDTH, LITERAL, SHORTEST = 8, 4, 5
 #: Share of an item's tokens that matching windows must cover.
 COVERAGE = 0.3
-#: Most benchmark windows that are broadcast; a larger table is joined by shuffling.
-BROADCAST_WINDOWS = 500_000
-#: Most pairs with slots that are broadcast; each has its matches and the item's tokens with it.
-SLOTTED_PAIRS = 20_000
+#: Most benchmark windows, and bytes of the benchmark's items, that are broadcast; larger tables are joined by shuffling.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 1 << 25
 
 #: Private-use characters that no canonical text holds otherwise.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
@@ -41,88 +46,82 @@ UNITS = (
 )
 
 
-def _tokens(text: Column, values: bool) -> Column:
-    """Canonical tokens; with values, each placeholder is followed by what it stands for. Both have the same positions."""
-    kept = lambda ref: ref if values else ""
+def _tokens(text: Column) -> Column:
+    """Canonical tokens; a placeholder is a mark followed by what it stands for."""
     t = F.regexp_replace(text, r"(?<=\p{N})[.,:](?=\p{N})", "")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}\p{L}*)", f" {NAME}{kept('$1')} ")
-    t = F.regexp_replace(t, rf"(\p{{N}}) ?(?i:({UNITS})\b|[%$€£])", f"$1 {UNIT}{kept('$2')} ")
-    t = F.regexp_replace(t, r"\p{N}+", f" {NUMBER}{kept('$0')} ")
+    t = F.regexp_replace(t, r"(?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}\p{L}*)", f" {NAME}$1 ")
+    t = F.regexp_replace(t, rf"(\p{{N}}) ?(?i:({UNITS})\b|[%$€£])", f"$1 {UNIT}$2 ")
+    t = F.regexp_replace(t, r"\p{N}+", f" {NUMBER}$0 ")
     words = F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}]+", -1)
     return F.filter(words, lambda w: w != "")
 
 
-def _values(tokens: Column) -> Column:
-    """The words and values as they are, without the marks of placeholders; what stands before a word can make it a name or not."""
-    return F.transform(tokens, lambda t: F.translate(t, NAME + NUMBER + UNIT, ""))
-
-
 def _is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1).isin(NAME, NUMBER, UNIT)
 
 
-def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """The rows with one more column, w: a struct (pos, h) for each window of the width over their tokens."""
-    # Hashes of tokens are a column of their own, used twice: else they would be found anew for every window.
-    marked = rows.withColumn("__marks", F.transform("tokens", lambda t: F.xxhash64(t)))
-    at = F.sequence(F.lit(0), F.size("__marks") - width)
-    windows = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(F.col("__marks"), i + 1, width)).alias("h")))
-    return marked.withColumn("w", F.explode(F.when(F.size("__marks") >= width, windows))).drop("__marks")
+def _forms(rows: DataFrame) -> DataFrame:
+    """Adds template, hashes of the tokens with placeholders for what they stand for, and plain, hashes of the words and values as they are.
+
+    What stands before a word can make it a name or not, so the marks of placeholders are left out of the latter.
+    """
+    bare = lambda t: F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t)
+    return rows.withColumn("template", F.transform("tokens", lambda t: F.xxhash64(bare(t)))).withColumn("plain", F.transform("tokens", lambda t: F.xxhash64(F.translate(t, NAME + NUMBER + UNIT, ""))))
+
+
+def _window(marks: Column, width: int, verbatim: bool) -> Callable[[Column], Column]:
+    return lambda i: F.struct(F.lit(verbatim).alias("verbatim"), F.lit(width).alias("width"), i.alias("pos"), F.xxhash64(F.slice(marks, i + 1, width)).alias("h"))
 
 
-def _literal_enough(tokens: Column, pos: Column, width: int, literal: int) -> Column:
-    return F.size(F.filter(F.slice(tokens, pos + 1, width), lambda t: ~_is_slot(t))) >= min(literal, width)
+def _windows(widths: list[tuple[int, bool]]) -> Column:
+    """Structs (verbatim, width, pos, h), one for each window of each width and kind over a row's forms."""
+    every = []
+    for width, verbatim in widths:
+        marks = F.col("plain" if verbatim else "template")
+        every.append(F.when(F.size(marks) >= width, F.transform(F.sequence(F.lit(0), F.size(marks) - width), _window(marks, width, verbatim))))
+    return F.flatten(F.filter(F.array(*every), lambda x: x.isNotNull()))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, coverage: float = COVERAGE, one_to_one: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, text_hash, item_id, n_tokens, n_covered, coverage, n_slots), one row for each document and item that it holds.
 
-    An item is held if consistent windows (one_to_one: windows on diagonals
-    that map one to one) cover at least the given share of its tokens. Items shorter than the window are searched as one
-    window; items of fewer than SHORTEST tokens, and null texts, take no part.
-    Windows with fewer than LITERAL literal tokens do not count, as runs of
-    placeholders match anything. Rows that repeat a document or an item give
-    one row; documents that share an id but not the text (xxhash64 tells) are
-    apart, and a null id is an id of its own. Empty tables give no rows.
+    An item is held if windows that count cover at least the given share of its
+    tokens. Items shorter than the window are searched as one window; null
+    texts and items without words take no part. Windows with fewer than LITERAL
+    literal tokens, and those of items of fewer than SHORTEST tokens, count only
+    word for word, as runs of placeholders match anything. Rows that repeat a
+    document or an item give one row; documents that share an id but not the
+    text (xxhash64 tells) are apart, and a null id is an id of its own. Long
+    texts are searched whole. Empty tables give no rows.
     """
     items = benchmark.select("item_id", F.col("text").alias("item_text")).where(F.col("item_text").isNotNull()).distinct()
-    items = items.withColumn("tokens", _tokens(F.col("item_text"), False)).withColumn("marked", _tokens(F.col("item_text"), True))
-    items = items.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= (SHORTEST if one_to_one else 1)).withColumn("width", F.least("n_tokens", F.lit(width)))
-    items = items.withColumn("item_key", F.xxhash64("item_id", "item_text"))
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH values
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    # A row's canonical tokens, or its words and values, and the items they are looked up in.
-    kinds = [(rows.select("doc_id", "text_hash", _tokens(F.col("text"), False).alias("tokens")), items.where(F.col("n_tokens") >= SHORTEST), False)]
-    if not one_to_one:
-        kinds.append((rows.select("doc_id", "text_hash", _values(_tokens(F.col("text"), True)).alias("tokens")), items.withColumn("tokens", _values(F.col("marked"))), True))
-    parts = []
-    for w in widths or [width]:
-        for tokened, posted, exact in kinds:
-            if not exact and w < min(SHORTEST, width):
-                continue
-            own = posted.where(F.col("width") == w)
-            posts = _windows(own.select("item_key", "n_tokens", "tokens"), w)
-            if not exact:
-                posts = posts.where(_literal_enough(F.col("tokens"), F.col("w.pos"), w, LITERAL))
-            posts = posts.select(F.col("w.h").alias("h"), "item_key", "n_tokens", F.col("w.pos").alias("bpos"))
-            if posts.count() <= BROADCAST_WINDOWS:
-                posts = F.broadcast(posts)
-            seen = _windows(tokened, w).select("doc_id", "text_hash", F.col("w.h").alias("h"), F.col("w.pos").alias("pos"))
-            # Of windows that match as they are, the item's position is enough: all of them count.
-            hit = seen.join(posts, "h").select("doc_id", "text_hash", "item_key", "n_tokens", F.lit(w).alias("width"), "bpos", F.lit(None).cast("int").alias("pos") if exact else "pos")
-            parts.append(hit)
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = hits.unionByName(more)
-    found = F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "bpos"))), F.collect_set(F.when(F.col("pos").isNull(), F.col("bpos")))
-    pairs = hits.groupBy("doc_id", "text_hash", "item_key", "n_tokens", "width").agg(found[0].alias("hits"), found[1].alias("verbatim"))
-    pairs = pairs.withColumn("n_all", _covered(F.concat(F.transform("hits", lambda x: x["bpos"]), "verbatim"))).where(F.col("n_all") >= coverage * F.col("n_tokens"))
-    named = F.broadcast(items.select("item_key", "item_id", "marked")) if items.count() <= BROADCAST_WINDOWS else items.select("item_key", "item_id", "marked")
-    pairs = cut(pairs.join(named, "item_key").withColumn("n_slots", F.size(F.filter("marked", _is_slot))))
+    items = _forms(items.withColumn("tokens", _tokens(F.col("item_text")))).withColumn("n_tokens", F.size("tokens")).where("n_tokens > 0").withColumn("width", F.least("n_tokens", F.lit(width)))
+    items = cut(items.withColumn("item_key", F.xxhash64("item_id", "item_text")).withColumn("n_slots", F.size(F.filter("tokens", _is_slot))))
+    present = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH values
+    bounds = items.agg(F.sum(F.octet_length("item_text")).alias("bytes")).first()["bytes"] or 0
+    kinds = [(w, False) for w in present if w >= min(SHORTEST, width)] + [(w, True) for w in present]
+    # Windows of each form: the template's where literal enough, and all of the words as they are.
+    literal = lambda w: F.size(F.filter(F.slice("tokens", w["pos"] + 1, w["width"]), lambda t: ~_is_slot(t))) >= F.least(F.lit(LITERAL), w["width"])
+    form = F.xxhash64("w.verbatim", F.when(F.col("w.verbatim"), F.col("plain")).otherwise(F.col("template")))
+    posts = items.withColumn("w", F.explode(F.filter(_windows(kinds or [(width, True)]), lambda w: (w["width"] == F.col("width")) & (w["verbatim"] | (F.col("n_tokens") >= SHORTEST) & literal(w)))))
+    posts = cut(posts.select("item_key", form.alias("form"), F.col("w.h").alias("h"), F.col("w.verbatim").alias("verbatim"), F.col("w.width").alias("width"), F.col("w.pos").alias("bpos")))
+    of_form = posts.select("form", "item_key").distinct()
+    posts = posts.drop("item_key").distinct().withColumnsRenamed({"verbatim": "v", "width": "n"})
+    posts = F.broadcast(posts) if posts.count() <= BROADCAST_WINDOWS else posts
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
+    seen = _forms(rows.withColumn("tokens", _tokens(F.col("text")))).select("doc_id", "text_hash", F.explode(_windows(kinds or [(width, True)])).alias("w")).select("doc_id", "text_hash", "w.*")
+    hits = seen.join(posts, (seen["h"] == posts["h"]) & (F.col("verbatim") == F.col("v")) & (F.col("width") == F.col("n")))
+    hits = hits.select("doc_id", "text_hash", "form", "bpos", F.when(~F.col("verbatim"), F.col("pos")).alias("pos"))
+    # Of windows that match as they are, the item's position is enough: all of them count.
+    met = hits.groupBy("doc_id", "text_hash", "form").agg(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "bpos"))).alias("hits"), F.collect_set(F.when(F.col("pos").isNull(), F.col("bpos"))).alias("verbatim"))
+    small = bounds <= BROADCAST_BYTES
+    met = met.join(F.broadcast(of_form) if small else of_form, "form").groupBy("doc_id", "text_hash", "item_key").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("verbatim")).alias("verbatim"))
+    named = items.select("item_key", "item_id", F.col("tokens").alias("marked"), "n_tokens", "width", "n_slots")
+    pairs = met.join(F.broadcast(named) if small else named, "item_key").withColumn("n_all", _covered(F.concat(F.transform("hits", lambda x: x["bpos"]), "verbatim")))
+    pairs = cut(pairs.where(F.col("n_all") >= coverage * F.col("n_tokens")))
     plain = pairs.where("n_slots = 0").select("doc_id", "text_hash", "item_id", "n_tokens", F.col("n_all").alias("n_covered"), "n_slots")
     slotted = pairs.where("n_slots > 0")
-    found = plain if slotted.isEmpty() else plain.unionByName((_one_to_one if one_to_one else _consistent)(slotted, rows, coverage))
+    found = plain if slotted.isEmpty() else plain.unionByName(_consistent(slotted, rows, coverage))
     best = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct(F.col("n_covered") / F.col("n_tokens"), "n_covered", "n_tokens", "n_slots")).alias("x"))
     return best.select("doc_id", "text_hash", "item_id", F.col("x.n_tokens").cast("long").alias("n_tokens"), F.col("x.n_covered").cast("long").alias("n_covered"), F.col("x.col1").alias("coverage"), F.col("x.n_slots").cast("long").alias("n_slots"))
 
@@ -133,9 +132,10 @@ def _covered(positions: Column) -> Column:
 
 
 def _with_texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs with own, the document's tokens and what they stand for."""
-    mine = broadcast_if_small(pairs.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), SLOTTED_PAIRS)
-    return mine.join(rows, rows["doc_id"].eqNullSafe(mine["d"]) & (rows["text_hash"] == mine["t"])).withColumn("own", _tokens(F.col("text"), True)).drop("text", "d", "t")
+    """The pairs with own, the document's tokens and what they stand for; of the texts only those of the pairs are cut again."""
+    wanted = broadcast_if_small(pairs.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct())
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).dropDuplicates(["d", "t"]).select("d", "t", _tokens(F.col("text")).alias("own"))
+    return pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).drop("d", "t")
 
 
 def _consistent(pairs: DataFrame, rows: DataFrame, coverage: float) -> DataFrame:
@@ -156,26 +156,7 @@ def _consistent(pairs: DataFrame, rows: DataFrame, coverage: float) -> DataFrame
     return starts.withColumn("n_covered", _covered(F.col("starts"))).where(F.col("n_covered") >= coverage * F.col("n_tokens")).select("doc_id", "text_hash", "item_id", "n_tokens", "n_covered", "n_slots")
 
 
-def _one_to_one(pairs: DataFrame, rows: DataFrame, coverage: float) -> DataFrame:
-    """The pairs whose diagonals of one-to-one exchanges still cover enough, as rows like those without slots."""
-    both = _with_texts(pairs, rows)
-    key = ["doc_id", "text_hash", "item_id", "item_key", "n_tokens", "width", "n_slots"]
-    # own is used twice below, which keeps it a column: else the text would be cut anew for every token.
-    spots = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct((x["pos"] + k).alias("pos"), (x["bpos"] + k).alias("bpos"))))))
-    met = F.transform(spots, lambda s: F.struct((s["pos"] - s["bpos"]).alias("diagonal"), s["bpos"].alias("bpos"), F.get(F.col("marked"), s["bpos"]).alias("theirs"), F.when(s["pos"] < F.size("own"), F.get(F.col("own"), s["pos"])).alias("ours")))
-    spread = both.select(*key, F.explode(met).alias("m")).select(*key, "m.*")
-    slot = F.substring("theirs", 1, 1).isin(NAME, NUMBER)
-    lines = spread.groupBy(*key, "diagonal").agg(
-        F.collect_set("bpos").alias("tokens"),
-        F.size(F.collect_set(F.when(slot, F.col("theirs")))).alias("a"),
-        F.size(F.collect_set(F.when(slot, F.col("ours")))).alias("b"),
-        F.size(F.collect_set(F.when(slot, F.struct("theirs", "ours")))).alias("ab"),
-    )
-    fair = lines.where("a = ab and b = ab").groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("n_covered"))
-    return fair.where(F.col("n_covered") >= coverage * F.col("n_tokens")).select("doc_id", "text_hash", "item_id", "n_tokens", "n_covered", "n_slots")
-
-
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, as they came, that hold no item. Null texts stay."""
-    bad = broadcast_if_small(cut(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__d"]) & (F.xxhash64(docs["text"]) == bad["__t"]), "left_anti")
+    bad = broadcast_if_small(cut(contaminated(docs, benchmark, **options).select("doc_id", "text_hash").distinct()))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_hash"]), "left_anti")

