@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slopewise.llm import ann, decontam, langid, licences, linededup, mixing, quality, sharding, simhash, warc
 from slopewise.llm.common import LOWER, UPPER
 from slopewise.llm.xxh64_sql import xxh64_tables
-from slopewise.session import fresh_path, table
+from slopewise.session import cut, fresh_path, table
 
 
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +27,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc.archive_pages(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
-    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = fresh_path(spark, "warc")
+    index = warc.archive_pages(table(spark, sf_dir, "pages"), folder)
+    read = cut(warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    warc.remove(folder)
+    return read
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +215,8 @@ ORACLE_SQL = {
             SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
             FROM exploded),
-        common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
-        marked AS (SELECT keyed.*, common.k IS NOT NULL AND doc_id <> keeper AS gone FROM keyed LEFT JOIN common USING (k))
+        common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) + CAST(bool_or(doc_id IS NULL) AS INT) >= 5),
+        marked AS (SELECT keyed.*, common.k IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM keyed LEFT JOIN common USING (k))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",

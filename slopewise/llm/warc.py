@@ -5,9 +5,10 @@ its start. The normaliser inflates such a stream once, record by record, and
 writes every record as a gzip member of its own, with a sidecar index of
 offsets and lengths; then any record can be read alone.
 
-Archives lie in a folder that driver and executors share. File names follow
-from the partition, and a file appears under its name only when it is whole,
-so a task that runs again after a lost executor leaves the same files.
+Archives lie in a folder that driver and executors share. A file appears under
+its name only when it is whole, and no two attempts of a task share a name: the
+rows that come back name the files of the attempt that counts, and what a lost
+executor left is never read.
 """
 
 from __future__ import annotations
@@ -51,14 +52,18 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 def _whole_file(uri: str) -> Iterator[BinaryIO]:
     """Writes beside the name and moves the file there when it is complete."""
     store, path = _store(uri)
-    part = f"{path}.{uuid.uuid4().hex}.part"
+    part = f"{path}.part"
     with store.open_output_stream(part, compression=None) as out:
         yield out
-    if store.get_file_info(path).type != fs.FileType.NotFound:
-        store.delete_file(path)  # left by an earlier attempt; not every store moves onto a file
     store.move(part, path)
 
 
+def _own_name() -> str:
+    """A name that no other task and no other attempt of this one has."""
+    task = TaskContext.get()
+    return f"{task.partitionId():06d}-{task.taskAttemptId()}"
+
+
 def remove(uri: str) -> None:
     store, path = _store(uri)
     store.delete_dir(path)
@@ -78,11 +83,16 @@ def _field(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC 1.1 record; a revisit carries the digest and length of the payload, but not the payload."""
+def record_id(page_id: int | None, url: str | None, place: str = "") -> str:
+    """The id of a page's record; place tells records apart that agree in page_id and url."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}:{place}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None, place: str = "") -> bytes:
+    """One WARC 1.1 record; a revisit carries the digest and length of the payload and names the page that has it, but not the payload."""
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>"),
+        ("WARC-Record-ID", record_id(page_id, url, place)),
         ("WARC-Date", DATE),
         ("WARC-Payload-Digest", f"sha1:{digest32(payload)}"),
         ("X-Payload-Length", str(len(payload))),
@@ -95,7 +105,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if refers_to is None:
         block = http + payload
     else:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", str(refers_to))]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, refers_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page", str(refers_to))]
+        if refers_url is not None:
+            head.append(("WARC-Refers-To-Target-URI", _field(refers_url)))
         block = http
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in head)
@@ -174,22 +186,27 @@ def content(fields: dict[str, str], data: bytes) -> dict:
 
 
 def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, refers_to): refers_to is the smallest page_id with the same payload where that is another page.
+    """(page_id, url, payload, refers_to, refers_url, again): refers_to is the smallest page_id with the same payload where that is another page.
 
-    Payloads are told apart by length and SHA-1, which are found before any
-    shuffle; only pages that have a twin come back to the payloads.
+    refers_url is that page's url, the smallest if it has several. Payloads are
+    told apart by length and SHA-1, which are found before any shuffle; only
+    pages that have a twin come back to the payloads. again is true for rows
+    that share page_id and url with others.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(as_bytes(F.col("html")), as_bytes(F.lit(""))).alias("payload"))
-    known = rows.where("page_id is not null").select("page_id", F.octet_length("payload").alias("n"), F.unhex(F.sha1("payload")).alias("digest")).where(F.col("n") >= min_bytes)
+    known = rows.where("page_id is not null").select("page_id", "url", F.octet_length("payload").alias("n"), F.unhex(F.sha1("payload")).alias("digest")).where(F.col("n") >= min_bytes)
     known = cut(known)
-    first = known.groupBy("n", "digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("other")).where("first <> other")
+    first = known.groupBy("n", "digest").agg(F.min(F.struct("page_id", "url")).alias("f"), F.max("page_id").alias("other")).where("f.page_id <> other")
     # The negated length makes the join deal both sides anew, so that adaptive execution can split a frequent payload.
-    first = first.select((-F.col("n")).alias("m"), "digest", "first")
-    twins = known.withColumn("m", -F.col("n")).join(first, ["m", "digest"]).where("page_id <> first")
-    twins = cut(twins.select(F.col("page_id").alias("__p"), F.col("first").alias("refers_to"), F.col("n").alias("__n"), F.col("digest").alias("__g")).distinct())
+    first = first.select((-F.col("n")).alias("m"), "digest", F.col("f.page_id").alias("refers_to"), F.col("f.url").alias("refers_url"))
+    twins = known.withColumn("m", -F.col("n")).join(first, ["m", "digest"]).where("page_id <> refers_to")
+    twins = cut(twins.select(F.col("page_id").alias("twin"), "refers_to", "refers_url", "n", "digest").distinct())
     twins = broadcast_if_small(twins)  # then the payloads need no shuffle
-    same = (rows["page_id"] == twins["__p"]) & (F.octet_length(rows["payload"]) == twins["__n"]) & (F.unhex(F.sha1(rows["payload"])) == twins["__g"])
-    return rows.join(twins, same, "left").select("page_id", "url", "payload", "refers_to")
+    same = (rows["page_id"] == twins["twin"]) & (F.octet_length(rows["payload"]) == twins["n"]) & (F.unhex(F.sha1(rows["payload"])) == twins["digest"])
+    again = rows.groupBy(F.col("page_id").alias("p"), F.col("url").alias("u")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("p", "u", F.lit(True).alias("again"))
+    again = broadcast_if_small(cut(again))
+    marked = rows.join(twins, same, "left").join(again, rows["page_id"].eqNullSafe(again["p"]) & rows["url"].eqNullSafe(again["u"]), "left")
+    return marked.select("page_id", "url", "payload", "refers_to", "refers_url", F.coalesce("again", F.lit(False)).alias("again"))
 
 
 def write_monolithic(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
@@ -198,16 +215,17 @@ def write_monolithic(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     _make_dir(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
+        own, number = _own_name(), 0
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         row = next(rows, None)
         while row is not None:
-            name = f"{folder}/part-{task:06d}-{number:04d}.warc.gz"
+            name = f"{folder}/part-{own}-{number:04d}.warc.gz"
             n = size = 0
             with _whole_file(name) as out:
                 packer = zlib.compressobj(level, zlib.DEFLATED, GZIP)
                 while row is not None and size < archive_bytes:
-                    data = record(*row)
+                    *fields, again = row
+                    data = record(*fields, place=f"{own}:{number}:{n}" if again else "")
                     out.write(packer.compress(data))
                     n, size, row = n + 1, size + len(data), next(rows, None)
                 out.write(packer.flush())
@@ -228,7 +246,7 @@ def normalise(archives: DataFrame, folder: str, level: int = LEVEL) -> DataFrame
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                name = f"{folder}/{archive.rsplit('/', 1)[1]}"
+                name = f"{folder}/{_own_name()}-{archive.rsplit('/', 1)[1]}"
                 offsets, lengths, pages = [], [], []
                 at = 0
                 store, path = _store(archive)

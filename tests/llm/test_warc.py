@@ -42,18 +42,30 @@ def test_pages_come_back(spark, tmp_path, least):
 
 
 def test_whole_stream_and_members_hold_the_same_records(spark, tmp_path):
-    rows = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>".encode() * i, None) for i in range(1, 60)], "page_id long, url string, payload binary, refers_to long").coalesce(2)
+    rows = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>".encode() * i, None, None, i % 9 == 0) for i in range(1, 60)], "page_id long, url string, payload binary, refers_to long, refers_url string, again boolean").coalesce(2)
     whole = warc.write_monolithic(rows, f"file://{tmp_path}/whole", archive_bytes=4000).cache()
     made = whole.collect()
     assert len(made) > 4 and sum(r.records for r in made) == 59
     warc.normalise(whole, f"file://{tmp_path}/members").collect()
+    written = {p.name.split("-", 2)[2]: p for p in (tmp_path / "members").glob("*.gz")}
     for r in made:
         name = r.archive.rsplit("/", 1)[1]
         first = list(warc.records_of(io.BytesIO((tmp_path / "whole" / name).read_bytes())))
-        second = list(warc.records_of(io.BytesIO((tmp_path / "members" / name).read_bytes())))
+        second = list(warc.records_of(io.BytesIO(written[name].read_bytes())))
         assert first == second and len(first) == r.records
 
 
+def test_ids_are_unique_and_revisits_name_their_record(spark, tmp_path):
+    rows = [(1, "a", "<p>"), (2, "b", "<p>"), (3, "c", "x"), (3, "c", "x"), (3, "c", "y"), (None, None, "z"), (None, None, "z")]
+    index = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    assert index.count() == 7
+    heads = [f for p in (tmp_path / "w/members").glob("*.gz") for f, _ in warc.records_of(io.BytesIO(p.read_bytes()))]
+    ids = {f["warc-record-id"]: f for f in heads}
+    assert len(ids) == 7
+    (revisit,) = [f for f in heads if f["warc-type"] == "revisit"]
+    assert ids[revisit["warc-refers-to"]]["x-page-id"] == "1" and revisit["warc-refers-to-target-uri"] == "a" and "warc-refers-to-date" in revisit
+
+
 def test_damaged_archives_are_refused():
     data = warc.record(1, "u", b"payload" * 1000, None)
     packed = gzip.compress(data)
