@@ -36,8 +36,14 @@ def few_smallest(hash_: Column, wanted: int, known: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the batches that Python workers receive small, since single texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds the batches that Python workers receive, since single texts can be very long.
+
+    Arrow's batches are a setting of the session and read when a plan is made,
+    so it stays; a smaller bound that the user has set is kept.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")

@@ -47,16 +47,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id",
         F.xxhash64("e.key").alias("h1"),
         F.xxhash64(F.lit(1), F.col("e.key")).alias("h2"),
-        F.struct("text_hash", F.col("e.at").alias("at")).alias("place"),
+        "text_hash",
+        F.col("e.at").alias("at"),
     )
-    held = hashed.groupBy("h1", "h2", "doc_id").agg(F.collect_list("place").alias("places"))
-    held = cut(held)  # hashes and positions; the texts are split once
-    common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # Positions of a key in one text; rows that share an id, or have none, stay apart by their texts, and equal rows are one.
+    held = cut(hashed.groupBy("h1", "h2", "doc_id", "text_hash").agg(F.collect_set("at").alias("positions")))  # the texts are split once
+    documents = held.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+    common = documents.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     common = common.select(F.bitwise_not("h1").alias("k1"), "h2", "keeper")
     # The complemented key makes the join deal both sides anew, so that adaptive execution can split a frequent line.
     losing = held.withColumn("k1", F.bitwise_not("h1")).join(common, ["k1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    dropped = losing.select("doc_id", F.explode("places").alias("p")).groupBy("doc_id", F.col("p.text_hash").alias("text_hash"))
-    dropped = dropped.agg(F.collect_set("p.at").alias("positions")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    dropped = losing.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))
     joined = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["d"]) & (rows["text_hash"] == dropped["h"]), "left")
     # The lines are a column of their own, used several times: else the text would be split anew for every line.
     joined = joined.withColumn("lines", _lines(F.col("text")))

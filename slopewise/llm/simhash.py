@@ -165,7 +165,6 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link_fingerprints(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that join the same nodes as all pairs within the distance would; nodes has distinct (fp, node)."""
-    spark = nodes.sparkSession
     keyed = nodes.select(F.explode(ring_keys(F.col("fp"))).alias("key"), "fp", "node")
     large = keyed.groupBy("key").count().where(F.col("count") > BLOCK)
     large = large.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -174,7 +173,6 @@ def link_fingerprints(nodes: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "node")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return dealt.mapInArrow(_search, "a long, b long").where("a <> b")
 
 
@@ -215,12 +213,14 @@ def one_of_each_group(docs: DataFrame, width: int = 3, groups: DataFrame | None
     """
     found = cut((near_duplicates(docs, width=width) if groups is None else groups).select("doc_id", "component_id"))
     # A document goes if its group has a smaller id; those that go are fewer than those that stay, as a rule.
-    gone = broadcast_if_small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__d")).distinct())
-    left = docs.join(gone, docs["doc_id"] == gone["__d"], "left_anti")
-    again = cut(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__d")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__d"))
+    gone = broadcast_if_small(found.where("doc_id <> component_id").select("doc_id").distinct())
+    left = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    again = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id")))
     if again.isEmpty():
         return left
     again = broadcast_if_small(again)
-    order = W.partitionBy("doc_id").orderBy("text")
-    several = left.join(again, left["doc_id"] == again["__d"], "left_semi").withColumn("__r", F.row_number().over(order)).where("__r = 1")
-    return left.join(again, left["doc_id"] == again["__d"], "left_anti").unionByName(several.select(*docs.columns))
+    # The rows are structs here, so that no column of theirs can clash with those of this step; equal texts are one before they meet.
+    rows = left.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    of = F.col("row.doc_id") == F.col("id")
+    first = rows.join(again, of, "left_semi").groupBy(F.col("row.doc_id").alias("of")).agg(F.min_by("row", F.struct(F.col("row.text").isNotNull(), F.col("row.text"), F.xxhash64("row"))).alias("row"))
+    return rows.join(again, of, "left_anti").select("row.*").unionByName(first.select("row.*"))
