@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slopewise.operators.components import connected_components
+from slopewise.session import cut
 
 QUANTILE, GROW, MIN_LENGTH = 0.93, 0.45, 35_000
+GAP_EDGES, GAP_LENGTH, JOIN = 3, 22_000, 60_000
 AVG_GRADE, MAX_GRADE, RELIABLE = 0.055, 0.09, 1_500
 
 
@@ -28,9 +30,14 @@ def usage(steps: DataFrame, trips: DataFrame) -> DataFrame:
     )
 
 
-def flat_enough(length: Column, climb: Column) -> Column:
-    grade = climb / length
-    return (grade <= AVG_GRADE) & ((length < RELIABLE) | (grade <= MAX_GRADE))
+def flat_enough(length: Column, climb: Column, steepest: Column) -> Column:
+    """Whether the mean grade is low and, where the edge is long enough for it to mean anything, the steepest is as well; climb is end to end."""
+    return (climb / length <= AVG_GRADE) & ((length < RELIABLE) | (steepest <= MAX_GRADE))
+
+
+def steepest_grade(length: Column, climb: Column, crown: Column) -> Column:
+    """The steeper half of an edge whose middle lies half the crown above the mean of its ends."""
+    return (climb + crown) / length
 
 
 def scores(usage: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,25 +45,97 @@ def scores(usage: DataFrame, edges: DataFrame) -> DataFrame:
     high = usage.where("climb_saved > 0").agg(F.coalesce(F.percentile("climb_saved", F.lit(0.9)), F.lit(1.0)).alias("high"))
     rows = usage.join(edges, "edge_id", "left").join(F.broadcast(high))
     saved = F.least(F.lit(4.0), F.greatest(F.lit(0.0), F.col("climb_saved") / F.col("high")))
-    flat = flat_enough(F.col("len"), F.abs(F.col("z_v") - F.col("z_u")))
+    climb = F.abs(F.col("z_v") - F.col("z_u"))
+    flat = flat_enough(F.col("len"), climb, steepest_grade(F.col("len"), climb, F.col("crown")))
     return rows.select("edge_id", flat.alias("flat"), F.when(flat, F.round(F.log1p("pairs") * F.log1p("span") * (1 + saved), 8)).otherwise(0.0).alias("score"))
 
 
-def corridors(scores: DataFrame, edges: DataFrame, quantile: float = QUANTILE, grow: float = GROW, least: float = MIN_LENGTH) -> DataFrame:
-    """(corridor, length, n, mean_score, top_score, names): components of streets around the best ones.
+def material(scores: DataFrame, edges: DataFrame, quantile: float = QUANTILE, grow: float = GROW) -> DataFrame:
+    """Edges (edge_id, u, v) of corridors: those whose score reaches the quantile of all positive ones, and short flat gaps between their components."""
+    level = scores.where("score > 0").agg(F.percentile("score", F.lit(quantile)).alias("cut"))
+    near = scores.where("score > 0").join(F.broadcast(level)).join(edges.select("edge_id", "u", "v", "len"), "edge_id")
+    core = cut(near.where("score >= cut").select("edge_id", "u", "v"))
+    free = near.where(F.col("flat") & (F.col("score") >= F.col("cut") * grow)).select("edge_id", "u", "v", "len")
+    return bridged(core, free)
+
 
-    The cut is a quantile of all positive scores; streets with some of it that
-    are flat join the core's components, short components go. Components
-    without a street of the core go as well.
+def pieces(rows: DataFrame, least: float = MIN_LENGTH) -> DataFrame:
+    """One row a component of the edges, corridor being its smallest node, if it is long enough.
+
+    rows has edge_id, u, v, len, name, score, pairs, span, climb_saved, climb,
+    steepest, z_u, z_v and low_stress.
     """
-    cut = scores.where("score > 0").agg(F.percentile("score", F.lit(quantile)).alias("cut"))
-    near = scores.join(F.broadcast(cut)).where(F.col("flat") & (F.col("score") >= F.col("cut") * grow)).select("edge_id", "score", (F.col("score") >= F.col("cut")).alias("core"))
-    rows = near.join(edges.select("edge_id", "u", "v", "len", "name"), "edge_id")
-    # Streets that meet in a node share a component.
     found = connected_components(rows.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    rows = rows.join(found.select(F.col("node").alias("u"), F.col("component").alias("corridor")), "u")
-    out = rows.groupBy("corridor").agg(F.sum("len").alias("length"), F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.max("score").alias("top_score"), F.max("core").alias("core"))
-    return out.where(F.col("core") & (F.col("length") >= least)).drop("core").join(canonical_names(rows, "corridor"), "corridor")
+    placed = rows.join(found.select(F.col("node").alias("u"), F.col("component").alias("corridor")), "u")
+    weighted = lambda c: F.sum(c * F.col("len")) / F.sum("len")
+    whole = placed.groupBy("corridor").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("len").alias("length"), F.avg("score").alias("mean_score"), F.sum("score").alias("total_score"), F.max("pairs").alias("pairs"), F.max("span").alias("span"),
+        F.sum("climb_saved").alias("climb_saved"), weighted(F.col("climb") / F.col("len")).alias("mean_grade"), F.max("steepest").alias("max_grade"),
+        F.min(F.least("z_u", "z_v")).alias("z_min"), F.max(F.greatest("z_u", "z_v")).alias("z_max"),
+        (F.sum(F.greatest(F.col("z_v") - F.col("z_u"), F.lit(0))) / F.sum("len") * 1000).alias("gain_per_km"), weighted(F.col("low_stress").cast("int")).alias("low_stress"),
+        F.array_sort(F.collect_set(F.when(F.trim("name") != "", F.col("name")))).alias("streets"),
+    ).where(F.col("length") >= least)
+    return whole.join(canonical_names(placed, "corridor"), "corridor")
+
+
+def same_street(pieces: DataFrame, ends: DataFrame, most: float = JOIN) -> DataFrame:
+    """Links (a, b) between pieces of the same first name that come as near to each other.
+
+    ends is (corridor, x0, y0, x1, y1), a row an edge. Of two edges that do not
+    cross, the nearest points include an end; ends look for edges of their name
+    in the cells that these reach.
+    """
+    lead = pieces.where("names <> 'unnamed corridor'").select("corridor", F.split("names", " - ")[0].alias("lead"))
+    rows = ends.join(lead, "corridor")
+    cell = lambda c: F.floor(c / most).cast("long")
+    over = lambda a, b: F.explode(F.sequence(cell(F.least(a, b) - most), cell(F.greatest(a, b) + most)))
+    posted = rows.withColumnRenamed("corridor", "other").withColumn("cx", over(F.col("x0"), F.col("x1"))).withColumn("cy", over(F.col("y0"), F.col("y1")))
+    points = rows.select("corridor", "lead", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p")).select("corridor", "lead", "p.*").distinct()
+    points = points.withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y")))
+    met = points.join(posted, ["lead", "cx", "cy"]).where(F.col("corridor") != F.col("other"))
+    return met.where(distance_to(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) <= most).select(F.least("corridor", "other").alias("a"), F.greatest("corridor", "other").alias("b")).distinct()
+
+
+def distance_to(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """From a point to a straight piece."""
+    dx, dy = x1 - x0, y1 - y0
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x0) * dx + (y - y0) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-9))))
+    return F.hypot(x - x0 - t * dx, y - y0 - t * dy)
+
+
+def fused(pieces: DataFrame, links: DataFrame) -> DataFrame:
+    """Linked pieces as one row: sums, extremes, and means by length; the name is that of the longest piece."""
+    group = connected_components(links).select(F.col("node").alias("corridor"), F.col("component").alias("whole"))
+    rows = pieces.join(group, "corridor", "left").withColumn("whole", F.coalesce("whole", "corridor"))
+    weighted = lambda c: (F.sum(F.col(c) * F.col("length")) / F.sum("length")).alias(c)
+    return rows.groupBy(F.col("whole").alias("corridor")).agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.sum("n").alias("n"), F.sum("length").alias("length"), weighted("mean_score"), F.sum("total_score").alias("total_score"), F.max("pairs").alias("pairs"), F.max("span").alias("span"),
+        F.sum("climb_saved").alias("climb_saved"), weighted("mean_grade"), F.max("max_grade").alias("max_grade"), F.min("z_min").alias("z_min"), F.max("z_max").alias("z_max"), (F.max("z_max") - F.min("z_min")).alias("z_range"),
+        weighted("gain_per_km"), weighted("low_stress"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("streets")))), "; ").alias("streets"),
+        F.max(F.struct("length", (-F.col("corridor")).alias("first"), "names"))["names"].alias("names"),
+    )
+
+
+def corridors(scores: DataFrame, edges: DataFrame, quantile: float = QUANTILE, grow: float = GROW, least: float = MIN_LENGTH) -> DataFrame:
+    """Named corridors, ranked by their total score: what flat routes share, in one piece or in pieces of one street.
+
+    scores is (edge_id, flat, score, pairs, span, climb_saved); edges has
+    edge_id, u, v, len, name, z_u, z_v, crown, low_stress and the places of its
+    ends, x0, y0, x1, y1. Components of the material that are too short go;
+    those with the same first name within JOIN of each other are one. All
+    streets of a pair of corners count, parallel ones as well.
+    """
+    rows = cut(material(scores, edges, quantile, grow).select("edge_id").join(edges, "edge_id").join(scores, "edge_id"))
+    climb = F.abs(F.col("z_v") - F.col("z_u"))
+    rows = rows.withColumn("climb", climb).withColumn("steepest", steepest_grade(F.col("len"), climb, F.col("crown")))
+    parts = cut(pieces(rows, least))
+    home = connected_components(rows.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    ends = rows.join(home.select(F.col("node").alias("u"), F.col("component").alias("corridor")), "u").select("corridor", "x0", "y0", "x1", "y1")
+    whole = fused(parts, same_street(parts, ends)).where(F.col("length") >= least)
+    # One row a corridor; there are few of them.
+    rank = F.row_number().over(W.orderBy(F.desc(F.round("total_score", 6)), "corridor"))
+    measures = ["mean_score", "total_score", "mean_grade", "max_grade", "gain_per_km", "low_stress"]
+    return whole.withColumn("rank", rank).withColumns({c: F.round(c, 6) for c in measures})
 
 
 def canonical_names(rows: DataFrame, key: str, most: int = 4) -> DataFrame:
@@ -67,7 +146,7 @@ def canonical_names(rows: DataFrame, key: str, most: int = 4) -> DataFrame:
     return rows.select(key).distinct().join(joined, key, "left").select(key, F.coalesce("names", F.lit("unnamed corridor")).alias("names"))
 
 
-def bridged(core: DataFrame, edges: DataFrame, most_hops: int = 3, most_length: float = 22_000) -> DataFrame:
+def bridged(core: DataFrame, edges: DataFrame, most_hops: int = GAP_EDGES, most_length: float = GAP_LENGTH) -> DataFrame:
     """Core edges (edge_id, u, v) and the edges of short paths between two of their components.
 
     Paths grow hop by hop, as joins, from nodes of one component; a path that
@@ -81,14 +160,20 @@ def bridged(core: DataFrame, edges: DataFrame, most_hops: int = 3, most_length:
     found = None
     for _ in range(most_hops):
         grown = ways.join(both, "s").where(~F.array_contains("path", F.col("edge_id"))).select("home", F.col("t").alias("s"), (F.col("total") + F.col("len")).alias("total"), F.concat("path", F.array("edge_id")).alias("path")).where(F.col("total") <= most_length)
+        ways = grown = cut(grown)
         met = grown.join(comp.select(F.col("node").alias("s"), F.col("component").alias("other")), "s").where("home < other").select("home", "other", "total", "path")
         found = met if found is None else found.unionByName(met)
-        ways = grown
     best = found.groupBy("home", "other").agg(F.min(F.struct("total", "path")).alias("b"))
     added = best.select(F.explode("b.path").alias("edge_id")).distinct().join(edges, "edge_id").select("edge_id", "u", "v")
     return core.select("edge_id", "u", "v").unionByName(added)
 
 
+def plain_overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays as sets in percent; 100 when both are empty."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, 100.0).otherwise(100 * F.size(F.array_intersect(a, b)) / both)
+
+
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Share in percent, by length, of the edges in either set (edge_id, len) that are in both; 100 when both are empty."""
     joined = a.select("edge_id", F.col("len").alias("la")).join(b.select("edge_id", F.col("len").alias("lb")), "edge_id", "full")

@@ -1,9 +1,11 @@
 """Shortest paths, as parallel kernels over a broadcast network and as joins beyond that.
 
 A request is one row (request, source[, target]); the network is a table
-(src, dst, arc_id, cost). Up to MOST_ARCS arcs, which is checked, the network
-is sent to every worker once as sorted arrays and each request is solved
-there; a larger network is relaxed by joins, frontier by frontier.
+(src, dst, arc_id, cost). A network of at most MOST_BYTES as sorted arrays,
+which is counted first, is sent to every worker once and each request is solved
+there; a larger one is relaxed by joins, frontier by frontier, with the arcs by
+which nodes are reached. The searches over labels (frontiers and round trips)
+have no such form: for networks larger than that they raise an error.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from slopewise.session import cut
 
-MOST_ARCS = 5_000_000
+#: Bytes of the arrays of a network that is sent to workers.
+MOST_BYTES = 1 << 28
 
 
 class Network:
@@ -35,6 +38,9 @@ class Network:
 
     @classmethod
     def of(cls, arcs: DataFrame, *costs: str) -> Network:
+        """Raises ValueError for a network that is too large to send."""
+        if not fits(arcs, len(costs)):
+            raise ValueError(f"the network's arrays exceed {MOST_BYTES} bytes")
         rows = arcs.select("src", "dst", "arc_id", *costs).toPandas()
         return cls(rows["src"].to_numpy(np.int64), rows["dst"].to_numpy(np.int64), rows["arc_id"].to_numpy(np.int64), *(rows[c].to_numpy(float) for c in costs))
 
@@ -85,8 +91,10 @@ def spread(requests: DataFrame, *keys: str) -> DataFrame:
     return requests.repartition(requests.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
-def fits(arcs: DataFrame) -> bool:
-    return arcs.limit(MOST_ARCS + 1).count() <= MOST_ARCS
+def fits(arcs: DataFrame, costs: int = 1) -> bool:
+    """Whether ends, numbers and so many costs of the arcs stay within MOST_BYTES."""
+    most = MOST_BYTES // (8 * (3 + costs))
+    return arcs.limit(most + 1).count() <= most
 
 
 def distances(arcs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -107,26 +115,66 @@ def distances(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     return spread(sources.select("source").distinct(), "source").mapInPandas(solve, "source long, node long, cost double")
 
 
-def distances_by_joins(arcs: DataFrame, sources: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def distances_by_joins(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     """The same by relaxing a frontier with joins, for networks too large to send to workers."""
-    known = cut(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")).distinct())
+    start = sources.select("source").distinct().select(F.lit("cost").alias("objective"), "source")
+    return _trees(arcs.select("src", "dst", "arc_id", F.lit("cost").alias("objective"), "cost"), start).select("source", "node", "cost")
+
+
+def _trees(arcs: DataFrame, start: DataFrame) -> DataFrame:
+    """(objective, source, node, cost, via) of all nodes that a source reaches; via is the arc by which, null at the source.
+
+    arcs is (src, dst, arc_id, objective, cost). Rounds end when no cost falls
+    any more; as costs are positive, a round for each arc of the longest way is
+    the most there can be. Of arcs that are equally good the smallest is taken.
+    """
+    key = ["objective", "source", "node"]
+    known = cut(start.select("objective", "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via")))
     front = known
-    for _ in range(max_rounds):
-        step = front.join(arcs.select(F.col("src").alias("node"), "dst", F.col("cost").alias("c")), "node").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("c")).alias("new"))
-        merged = cut(known.join(step, ["source", "node"], "full").select("source", "node", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("moved")))
+    steps = arcs.select("objective", F.col("src").alias("node"), "dst", "arc_id", F.col("cost").cast("double").alias("c"))
+    while not front.isEmpty():
+        moved = front.join(steps, ["objective", "node"]).groupBy("objective", "source", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("c")).alias("cost"), F.col("arc_id").alias("via"))).alias("new"))
+        fresh = F.col("cost").isNull() | (F.col("new.cost") < F.col("cost"))
+        merged = cut(known.join(moved, key, "full").select(*key, F.when(fresh, F.col("new.cost")).otherwise(F.col("cost")).alias("cost"), F.when(fresh, F.col("new.via")).otherwise(F.col("via")).alias("via"), F.coalesce(fresh & F.col("new").isNotNull(), F.lit(False)).alias("moved")))
         known, front = merged.drop("moved"), merged.where("moved").drop("moved")
-        if front.isEmpty():
-            break
     return known
 
 
+def routes_by_joins(arcs: DataFrame, requests: DataFrame, costs: tuple[str, ...] = ("cost",)) -> DataFrame:
+    """What routes gives, by joins alone: trees first, then all routes at once back from their targets, an arc a round."""
+    long = arcs.select("src", "dst", "arc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("objective"), F.col(c).cast("double").alias("cost")) for c in costs])).alias("k")).select("src", "dst", "arc_id", "k.*")
+    asked = requests.select("request", "source", "target", F.explode(F.array(*[F.lit(c) for c in costs])).alias("objective"))
+    ends = arcs.select(F.explode(F.array("src", "dst")).alias("source")).distinct()
+    trees = _trees(long, asked.select("objective", "source").distinct().join(ends, "source", "left_semi"))
+    key = ["objective", "source", "node"]
+    reached = cut(asked.join(trees.withColumnRenamed("node", "target"), ["objective", "source", "target"]))
+    tails = arcs.select(F.col("arc_id").alias("via"), "src")
+    at = reached.select("objective", "request", "source", F.col("target").alias("node"))
+    taken, number = None, 0
+    while True:
+        step = cut(at.join(trees.select(*key, "via"), key).where("via is not null").join(tails, "via"))
+        if step.isEmpty():
+            break
+        arc = step.select("objective", "request", F.struct(F.lit(-number).alias("at"), F.col("via").alias("arc")).alias("x"))
+        taken = arc if taken is None else taken.unionByName(arc)
+        at, number = step.select("objective", "request", "source", F.col("src").alias("node")), number + 1
+    none = F.array().cast("array<long>")
+    if taken is None:
+        return reached.select("objective", "request", "source", "target", "cost", none.alias("arcs"))
+    paths = taken.groupBy("objective", "request").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["arc"]).alias("arcs"))
+    return reached.join(paths, ["objective", "request"], "left").select("objective", "request", "source", "target", "cost", F.coalesce("arcs", none).alias("arcs"))
+
+
 def routes(arcs: DataFrame, requests: DataFrame, costs: tuple[str, ...] = ("cost",)) -> DataFrame:
     """(objective, request, source, target, cost, arcs) for each request and cost column whose target can be reached.
 
     requests is (request, source, target). One tree serves all requests of a
     source and cost. A route from a node to itself has no arcs. Arcs may be
-    parallel; the cheapest serves.
+    parallel; the cheapest serves. A network too large to send to workers is
+    solved by joins.
     """
+    if not fits(arcs, len(costs)):
+        return routes_by_joins(arcs, requests, costs)
     net = Network.of(arcs, *costs)
     schema = "objective string, request long, source long, target long, cost double, arcs array<long>"
 
@@ -269,7 +317,7 @@ def round_trips(arcs: DataFrame, requests: DataFrame, tolerance: float = 0.12, m
     their streets the flatter stays. arcs has cost, gain, x and y of dst.
     """
     net = Network.of(arcs, "cost", "gain")
-    place = {r.dst: (r.x, r.y) for r in arcs.select("dst", "x", "y").distinct().collect()}
+    place = {r.dst: (r.x, r.y) for r in arcs.select("dst", "x", "y").distinct().collect()}  # at most a row an arc, whose number is bounded
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         xy = np.array([place.get(int(i), (0.0, 0.0)) for i in net.ids])

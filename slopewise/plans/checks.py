@@ -54,14 +54,14 @@ def varied(objectives: tuple[Objective, ...]) -> tuple[Objective, ...]:
 
 def sweep(spark: SparkSession, sf_dir: str, objectives: tuple[Objective, ...]) -> DataFrame:
     """(objective, distance, gain): route means with every weight halved and doubled in turn."""
-    steps = routing.trips(spark, sf_dir, objectives=varied(objectives)).withColumn("request", F.struct("objective", "request"))
+    steps = routing.trips(spark, sf_dir, objectives=varied(objectives), requests=routing._requests(spark, sf_dir, only_first=True)).withColumn("request", F.struct("objective", "request"))
     rows = paths.summary(steps, routing._measured(spark, sf_dir)).select("request.objective", "distance", "gain")
     return rows.groupBy("objective").agg(F.round(F.avg("distance"), 3).alias("distance"), F.round(F.avg("gain"), 3).alias("gain")).orderBy("objective")
 
 
 @query(
     "sensitivity",
-    f"""WITH {routing.routes_sql(varied((OBJECTIVES[-1],)))}, s AS (SELECT objective, request, sum(len) AS distance, sum(gain) AS gain FROM step JOIN arc USING (arc_id) GROUP BY objective, request)
+    f"""WITH {routing.routes_sql(varied((OBJECTIVES[-1],)), only_first=True)}, s AS (SELECT objective, request, sum(len) AS distance, sum(gain) AS gain FROM step JOIN arc USING (arc_id) GROUP BY objective, request)
        SELECT objective, round(avg(distance), 3) AS distance, round(avg(gain), 3) AS gain FROM s GROUP BY objective""",
 )
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,12 +75,14 @@ def pair_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(ends, "node", "left_semi").where("source <> node").select(F.col("source").alias("origin"), F.col("node").alias("destination"), F.round("cost", 3).alias("cost"))
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trips from the first neighbourhood to each other one."""
-    points = access_points(spark, sf_dir)
-    first = points.agg(F.min_by("node", "hood").alias("source"))
-    # One row joins every neighbourhood; there are at most as many as the grid has blocks.
-    return points.join(F.broadcast(first)).where("node <> source").select(F.col("hood").cast("long").alias("request"), F.col("source"), F.col("node").alias("target"))
+def _requests(spark: SparkSession, sf_dir: str, only_first: bool = False) -> DataFrame:
+    """Trips between all ordered pairs of neighbourhoods, or those from the first alone; request is origin * 1000 + destination."""
+    points = access_points(spark, sf_dir).withColumn("hood", F.col("hood").cast("long"))
+    starts = points.select(F.col("hood").alias("origin"), F.col("node").alias("source"))
+    if only_first:
+        starts = starts.orderBy("origin").limit(1)
+    # Neighbourhoods are a few dozen blocks of the grid, HOODS squared at most.
+    return points.join(F.broadcast(starts)).where("node <> source").select((F.col("origin") * 1000 + F.col("hood")).alias("request"), "source", F.col("node").alias("target"))
 
 
 def all_costs(spark: SparkSession, sf_dir: str, mode: str, objectives: tuple[Objective, ...]) -> DataFrame:
@@ -94,19 +96,19 @@ def trips(spark: SparkSession, sf_dir: str, mode: str = "walk", objectives: tupl
     return paths.steps(paths.routes(all_costs(spark, sf_dir, mode, objectives), asked, tuple(o.name for o in objectives)))
 
 
-def routes_sql(objectives: tuple[Objective, ...], mode: str = "walk") -> str:
+def routes_sql(objectives: tuple[Objective, ...], mode: str = "walk", only_first: bool = False) -> str:
     """Tables up to step (objective, request, pos, arc_id), the routes of all trips."""
     return f"""{_walk_sql(objectives, mode)}, {_FACTS},
-    start AS (SELECT arg_min(node, hood) AS node FROM access_point),
-    tree(objective, node, cost, via) USING KEY (objective, node) AS (
-        SELECT objective, node, 0.0::DOUBLE, CAST(-1 AS BIGINT) FROM start, (SELECT DISTINCT objective FROM street)
+    start AS (SELECT hood AS origin, node FROM access_point {"ORDER BY hood LIMIT 1" if only_first else ""}),
+    tree(objective, origin, node, cost, via) USING KEY (objective, origin, node) AS (
+        SELECT objective, origin, node, 0.0::DOUBLE, CAST(-1 AS BIGINT) FROM start, (SELECT DISTINCT objective FROM street)
         UNION
-        SELECT n.objective, n.node, min(n.cost), arg_min(n.via, n.cost) FROM (SELECT t.objective, s.dst AS node, t.cost + s.cost AS cost, s.arc_id AS via FROM tree t JOIN street s ON s.src = t.node AND s.objective = t.objective) n
-        LEFT JOIN recurring.tree r ON r.objective = n.objective AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost GROUP BY n.objective, n.node),
+        SELECT n.objective, n.origin, n.node, min(n.cost), arg_min(n.via, n.cost) FROM (SELECT t.objective, t.origin, s.dst AS node, t.cost + s.cost AS cost, s.arc_id AS via FROM tree t JOIN street s ON s.src = t.node AND s.objective = t.objective) n
+        LEFT JOIN recurring.tree r ON r.objective = n.objective AND r.origin = n.origin AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost GROUP BY n.objective, n.origin, n.node),
     back AS (
-        SELECT t.objective, p.hood AS request, 0 AS up, t.via AS arc_id FROM tree t JOIN access_point p ON p.node = t.node WHERE t.via >= 0
+        SELECT t.objective, t.origin, CAST(t.origin * 1000 + p.hood AS BIGINT) AS request, 0 AS up, t.via AS arc_id FROM tree t JOIN access_point p ON p.node = t.node WHERE t.via >= 0
         UNION ALL
-        SELECT b.objective, b.request, b.up + 1, t.via FROM back b JOIN arc a ON a.arc_id = b.arc_id JOIN tree t ON t.objective = b.objective AND t.node = a.src WHERE t.via >= 0),
+        SELECT b.objective, b.origin, b.request, b.up + 1, t.via FROM back b JOIN arc a ON a.arc_id = b.arc_id JOIN tree t ON t.objective = b.objective AND t.origin = b.origin AND t.node = a.src WHERE t.via >= 0),
     step AS (SELECT objective, request, max(up) OVER (PARTITION BY objective, request) - up AS pos, arc_id FROM back)"""
 
 
@@ -142,7 +144,7 @@ def route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, sf_dir: str, steps: DataFrame | None = None) -> DataFrame:
-    rows = summaries(spark, sf_dir, steps).withColumns({"mode": F.lit("walk"), "origin": F.lit(0), "destination": F.col("request")})
+    rows = summaries(spark, sf_dir, steps).withColumns({"mode": F.lit("walk"), "origin": F.expr("request div 1000"), "destination": F.col("request") % 1000})
     return paths.comparisons(rows)
 
 
@@ -206,16 +208,16 @@ SCALE_OF = dict(zip((o.name for o in SCALED), (*costs.SWEEP, 1e9), strict=True))
 
 @query(
     "weight_sweep",
-    f"""WITH {routes_sql(SCALED)}, r AS (SELECT request, CASE objective {" ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SCALE_OF.items())} END AS scale, list(arc_id ORDER BY pos) AS arcs FROM step GROUP BY ALL),
+    f"""WITH {routes_sql(SCALED, only_first=True)}, r AS (SELECT request, CASE objective {" ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SCALE_OF.items())} END AS scale, list(arc_id ORDER BY pos) AS arcs FROM step GROUP BY ALL),
             once AS (SELECT request, arcs, min(scale) AS scale FROM r GROUP BY request, arcs),
             s AS (SELECT request, scale, CAST(sum(len) AS BIGINT) AS distance, CAST(sum(gain) AS BIGINT) AS gain, round(max(gain / len), 8) AS max_grade FROM (SELECT request, scale, unnest(arcs) AS arc_id FROM once) JOIN arc USING (arc_id) GROUP BY request, scale)
        SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.request = s.request AND o.distance <= s.distance AND o.gain <= s.gain AND o.max_grade <= s.max_grade AND (o.distance < s.distance OR o.gain < s.gain OR o.max_grade < s.max_grade))""",
 )
 def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct routes over the scales of the sweep and the flattest objective; the smallest scale speaks for equal routes."""
+    """Distinct routes over the scales of the sweep and the flattest objective; the smallest scale speaks for equal routes. The pairs swept are those from the first neighbourhood."""
     from pyspark.sql import Window as W
 
-    rows = paths.routes(all_costs(spark, sf_dir, "walk", SCALED), _requests(spark, sf_dir), tuple(SCALE_OF)).withColumn("scale", net.choose(F.col("objective"), SCALE_OF))
+    rows = paths.routes(all_costs(spark, sf_dir, "walk", SCALED), _requests(spark, sf_dir, only_first=True), tuple(SCALE_OF)).withColumn("scale", net.choose(F.col("objective"), SCALE_OF))
     first = rows.withColumn("r", F.row_number().over(W.partitionBy("request", "arcs").orderBy("scale"))).where("r = 1")
     steps = first.select(F.struct("request", "scale").alias("request"), F.posexplode("arcs").alias("pos", "arc_id"))
     return paths.non_dominated(paths.summary(steps, _measured(spark, sf_dir)).select("request.*", "distance", "gain", "max_grade"), ["request"], ["distance", "gain", "max_grade"])
@@ -253,5 +255,5 @@ def trip_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = asked.join(F.broadcast(last), "request", "left_semi")
     steps = trips(spark, sf_dir, requests=asked).withColumn("request", F.struct("objective", "request"))
     rows = paths.summary(steps, _measured(spark, sf_dir)).select("request.objective", "request.request", "distance", "gain", "loss", "max_grade")
-    rows = paths.comparisons(rows.withColumns({"mode": F.lit("walk"), "origin": F.lit(0), "destination": F.col("request")}))
+    rows = paths.comparisons(rows.withColumns({"mode": F.lit("walk"), "origin": F.expr("request div 1000"), "destination": F.col("request") % 1000}))
     return rows.select("objective", "distance", "gain", "loss", "max_grade", "detour", "saved", "saved_pct")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopewise.operators import corridors, costs, topology
+from slopewise.operators import access, corridors, costs, topology
 from slopewise.operators.components import connected_components
 from slopewise.plans import routing
 from slopewise.plans.registry import query
@@ -141,16 +141,14 @@ def barriers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     solved = cut(routing.trips(spark, sf_dir))
-    first = access_points(spark, sf_dir).agg(F.min("hood").cast("long").alias("origin"))
-    rows = routing._compared(spark, sf_dir, solved).drop("origin", "destination").join(F.broadcast(first))
-    compared = rows.select("request", "objective", "origin", F.col("request").alias("destination"), "saved", "efficiency")
+    compared = routing._compared(spark, sf_dir, solved).select("request", "objective", "origin", "destination", "saved", "efficiency")
     steps = _trip_edges(spark, sf_dir, solved).where("objective <> 'shortest'")
     return corridors.usage(steps, compared)
 
 
 _USAGE = f"""{routing._COMPARED},
     once AS (SELECT DISTINCT request, objective, edge_id FROM step JOIN arc USING (arc_id) WHERE objective <> 'shortest'),
-    usage AS (SELECT edge_id, count(DISTINCT request) AS pairs, count(DISTINCT request) + 1 AS span, CAST(sum(greatest(saved, 0)) AS BIGINT) AS climb_saved, round(coalesce(avg(efficiency), 0), 8) AS efficiency
+    usage AS (SELECT edge_id, count(DISTINCT request) AS pairs, len(list_distinct(flatten(list([request // 1000, request % 1000])))) AS span, CAST(sum(greatest(saved, 0)) AS BIGINT) AS climb_saved, round(coalesce(avg(efficiency), 0), 8) AS efficiency
               FROM once JOIN compared USING (request, objective) GROUP BY edge_id)"""
 
 
@@ -161,8 +159,8 @@ def edge_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SCORES = f"""{_USAGE},
     high AS (SELECT coalesce(quantile_cont(climb_saved, 0.9), 1.0) AS high FROM usage WHERE climb_saved > 0),
-    score AS (SELECT edge_id, abs(z_v - z_u) / len <= 0.055::DOUBLE AS flat, CASE WHEN abs(z_v - z_u) / len <= 0.055::DOUBLE THEN round(ln(1 + pairs) * ln(1 + span) * (1 + least(4, greatest(0, climb_saved / high))), 8) ELSE 0 END AS score
-              FROM usage JOIN edge USING (edge_id), high)"""
+    score AS (SELECT edge_id, flat, CASE WHEN flat THEN round(ln(1 + pairs) * ln(1 + span) * (1 + least(4, greatest(0, climb_saved / high))), 8) ELSE 0 END AS score
+              FROM usage JOIN (SELECT edge_id, abs(z_v - z_u) / len <= 0.055::DOUBLE AND (len < 1500 OR (abs(z_v - z_u) + crown) / len <= 0.09::DOUBLE) AS flat FROM edge) USING (edge_id), high)"""
 
 
 @query("edge_scores", f"WITH {_SCORES} SELECT * FROM score")
@@ -170,24 +168,74 @@ def edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corridors.scores(cut(_usage(spark, sf_dir)), net.edges(spark, sf_dir))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usage = cut(_usage(spark, sf_dir))
+    return cut(corridors.scores(usage, net.edges(spark, sf_dir)).join(usage.drop("efficiency"), "edge_id"))
+
+
+def _measured_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = net.nodes(spark, sf_dir).select("node", "x", "y")
+    rows = net.edges(spark, sf_dir).withColumn("low_stress", access.low_stress(F.col("cls"), access.bike_facility(F.col("cls"), F.col("bike_ok"))))
+    return rows.join(place.selectExpr("node as u", "x as x0", "y as y0"), "u").join(place.selectExpr("node as v", "x as x1", "y as y1"), "v")
+
+
 def _corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corridors.corridors(cut(edge_scores(spark, sf_dir)), net.edges(spark, sf_dir), quantile=0.8, least=15_000)
+    return corridors.corridors(_scored(spark, sf_dir), _measured_edges(spark, sf_dir))
 
 
-@query(
-    "corridors",
-    f"""WITH {_SCORES}, level AS (SELECT quantile_cont(score, 0.8) AS cut FROM score WHERE score > 0),
-            close AS MATERIALIZED (SELECT edge_id, score, score >= cut AS core, u, v, len, name FROM score JOIN edge USING (edge_id), level WHERE flat AND score >= cut * 0.45::DOUBLE),
-            l AS MATERIALIZED (SELECT u AS a, v AS b FROM close UNION ALL SELECT v, u FROM close),
-            c(node, component) USING KEY (node) AS (
-                SELECT DISTINCT a, a FROM l
-                UNION
-                SELECT n.node, min(n.component) FROM (SELECT l.b AS node, c.component FROM c JOIN l ON l.a = c.node) n LEFT JOIN recurring.c r ON r.node = n.node WHERE n.component < r.component GROUP BY n.node),
-            part AS (SELECT close.*, c.component AS corridor FROM close JOIN c ON c.node = close.u),
-            whole AS (SELECT corridor, CAST(sum(len) AS BIGINT) AS length, count(*) AS n, round(avg(score), 6) AS mean_score, max(score) AS top_score FROM part GROUP BY corridor HAVING bool_or(core) AND sum(len) >= 15000),
-            names AS (SELECT corridor, name, row_number() OVER (PARTITION BY corridor ORDER BY count(*) DESC, name) AS r FROM part GROUP BY corridor, name)
-       SELECT w.*, (SELECT string_agg(name, ' - ' ORDER BY r) FROM names n WHERE n.corridor = w.corridor AND r <= 4) AS names FROM whole w""",
-)
+def _parts_sql(name: str, links: str) -> str:
+    """A table (node, component) of the links (a, b), which stand in both directions."""
+    return f"""{name}(node, component) USING KEY (node) AS (
+        SELECT DISTINCT a, a FROM {links}
+        UNION
+        SELECT n.node, min(n.component) FROM (SELECT l.b AS node, c.component FROM {name} c JOIN {links} l ON l.a = c.node) n LEFT JOIN recurring.{name} r ON r.node = n.node WHERE n.component < r.component GROUP BY n.node)"""
+
+
+def _bridge_sql(most: int) -> str:
+    """From core (edge_id, u, v) and free (edge_id, u, v, len): bridge (edge_id), the edges of the shortest ways of up to three edges between two parts of the core."""
+    return f"""core_link AS MATERIALIZED (SELECT u AS a, v AS b FROM core UNION ALL SELECT v, u FROM core),
+    {_parts_sql("core_part", "core_link")},
+    gap AS (SELECT edge_id, u AS s, v AS t, len FROM free ANTI JOIN core USING (edge_id) UNION ALL SELECT edge_id, v, u, len FROM free ANTI JOIN core USING (edge_id)),
+    way_1 AS (SELECT component AS home, t AS s, len AS total, [edge_id] AS path FROM core_part JOIN gap ON s = node WHERE len <= {most}),
+    way_2 AS (SELECT home, t AS s, total + len AS total, list_append(path, edge_id) AS path FROM way_1 JOIN gap USING (s) WHERE NOT list_contains(path, edge_id) AND total + len <= {most}),
+    way_3 AS (SELECT home, t AS s, total + len AS total, list_append(path, edge_id) AS path FROM way_2 JOIN gap USING (s) WHERE NOT list_contains(path, edge_id) AND total + len <= {most}),
+    met AS (SELECT home, component AS other, total, path FROM (FROM way_1 UNION ALL FROM way_2 UNION ALL FROM way_3) JOIN core_part ON node = s WHERE home < component),
+    bridge AS (SELECT DISTINCT unnest(path) AS edge_id FROM (SELECT path FROM met QUALIFY row_number() OVER (PARTITION BY home, other ORDER BY total, path) = 1))"""
+
+
+_CORRIDORS = f"""{_SCORES}, level AS (SELECT quantile_cont(score, 0.93) AS cut FROM score WHERE score > 0),
+    core AS MATERIALIZED (SELECT edge_id, u, v FROM score JOIN edge USING (edge_id), level WHERE score > 0 AND score >= cut),
+    free AS MATERIALIZED (SELECT edge_id, u, v, len FROM score JOIN edge USING (edge_id), level WHERE score > 0 AND flat AND score >= cut * 0.45::DOUBLE),
+    {_bridge_sql(22_000)},
+    built AS MATERIALIZED (
+        SELECT e.edge_id, e.u, e.v, len, e.name, score, pairs, span, climb_saved, abs(z_v - z_u) AS climb, (abs(z_v - z_u) + crown) / len AS steepest, z_u, z_v, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1,
+               cls IN ('cycleway', 'residential') OR (cls = 'footway' AND bike_ok) AS low_stress
+        FROM (SELECT edge_id FROM core UNION SELECT edge_id FROM bridge) JOIN edge e USING (edge_id) JOIN score USING (edge_id) JOIN usage USING (edge_id) JOIN node a ON a.node = e.u JOIN node b ON b.node = e.v),
+    built_link AS MATERIALIZED (SELECT u AS a, v AS b FROM built UNION ALL SELECT v, u FROM built),
+    {_parts_sql("built_part", "built_link")},
+    strip AS MATERIALIZED (SELECT built.*, component AS corridor FROM built JOIN built_part ON node = u),
+    named AS (SELECT corridor, string_agg(name, ' - ' ORDER BY r) AS names FROM (SELECT corridor, name, row_number() OVER (PARTITION BY corridor ORDER BY count(*) DESC, name) AS r FROM strip WHERE trim(name) <> '' GROUP BY corridor, name) WHERE r <= 4 GROUP BY corridor),
+    piece AS MATERIALIZED (
+        SELECT corridor, count(*) AS n, sum(len) AS length, avg(score) AS mean_score, sum(score) AS total_score, max(pairs) AS pairs, max(span) AS span, sum(climb_saved) AS climb_saved, sum(climb) / sum(len) AS mean_grade, max(steepest) AS max_grade,
+               min(least(z_u, z_v)) AS z_min, max(greatest(z_u, z_v)) AS z_max, sum(greatest(z_v - z_u, 0)) / sum(len) * 1000 AS gain_per_km, sum(CASE WHEN low_stress THEN len ELSE 0 END) / sum(len) AS low_stress,
+               list(DISTINCT name) FILTER (WHERE trim(name) <> '') AS streets
+        FROM strip GROUP BY corridor HAVING sum(len) >= 35000),
+    whole_piece AS MATERIALIZED (SELECT piece.*, coalesce(names, 'unnamed corridor') AS names, split_part(names, ' - ', 1) AS lead FROM piece LEFT JOIN named USING (corridor)),
+    ends AS (SELECT corridor, lead, x0, y0, x1, y1 FROM strip JOIN whole_piece USING (corridor) WHERE lead IS NOT NULL),
+    point AS (SELECT DISTINCT corridor, lead, x, y FROM (SELECT corridor, lead, x0 AS x, y0 AS y FROM ends UNION ALL SELECT corridor, lead, x1, y1 FROM ends)),
+    near AS (SELECT DISTINCT p.corridor AS a, e.corridor AS b FROM point p JOIN ends e ON p.lead = e.lead AND p.corridor <> e.corridor
+             AND pow(p.x - greatest(least(x0, x1), least(greatest(x0, x1), p.x)), 2) + pow(p.y - greatest(least(y0, y1), least(greatest(y0, y1), p.y)), 2) <= 3600000000),
+    whole_link AS MATERIALIZED (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT corridor, corridor FROM whole_piece),
+    {_parts_sql("whole_part", "whole_link")},
+    corridor AS (
+        SELECT component AS corridor, count(*) AS n_pieces, sum(n) AS n, sum(length) AS length, round(sum(mean_score * length) / sum(length), 6) AS mean_score, round(sum(total_score), 6) AS total_score, max(pairs) AS pairs, max(span) AS span,
+               sum(climb_saved) AS climb_saved, round(sum(mean_grade * length) / sum(length), 6) AS mean_grade, round(max(max_grade), 6) AS max_grade, min(z_min) AS z_min, max(z_max) AS z_max, max(z_max) - min(z_min) AS z_range,
+               round(sum(gain_per_km * length) / sum(length), 6) AS gain_per_km, round(sum(low_stress * length) / sum(length), 6) AS low_stress,
+               array_to_string(list_sort(list_distinct(flatten(list(streets)))), '; ') AS streets, arg_max(names, (length, -corridor)) AS names
+        FROM whole_piece JOIN whole_part ON node = corridor GROUP BY component HAVING sum(length) >= 35000)"""
+
+
+@query("corridors", f"WITH {_CORRIDORS} SELECT *, row_number() OVER (ORDER BY total_score DESC, corridor) AS rank FROM corridor")
 def corridors_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corridors(spark, sf_dir)
 
@@ -201,7 +249,11 @@ def corridor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corridors.canonical_names(net.edges(spark, sf_dir).select("segment", "name"), "segment")
 
 
-@query("gap_bridging")
+@query(
+    "gap_bridging",
+    f"""WITH core AS MATERIALIZED (SELECT edge_id, u, v FROM edge WHERE cls = 'primary' AND edge_id < 1000000000), free AS (SELECT edge_id, u, v, len FROM edge WHERE edge_id < 1000000000),
+    {_bridge_sql(40_000)} SELECT edge_id, u, v FROM (SELECT edge_id FROM core UNION SELECT edge_id FROM bridge) JOIN edge USING (edge_id)""",
+)
 def gap_bridging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways of up to three edges and 400 m between the parts of the network of primary streets."""
     edges = net.edges(spark, sf_dir).where("edge_id < 1000000000").select("edge_id", "u", "v", "len", "cls")

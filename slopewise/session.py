@@ -8,18 +8,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system; one without a scheme lies in Hadoop's default file system, as Spark reads it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    On a cluster this is the setting spark.checkpoint.dir. Only where that is
-    unset, as in local tests, a temporary folder takes its place.
+    This is the setting spark.checkpoint.dir. Only where that is unset and
+    everything runs in one process, as in local tests, a temporary folder takes
+    its place; on a cluster a missing setting is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slopewise-"))
-    return spark.sparkContext.getCheckpointDir()
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(named)
+        return qualified(spark, named)
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slopewise-"))
+    return qualified(spark, spark.sparkContext.getCheckpointDir())
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

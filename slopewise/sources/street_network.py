@@ -58,7 +58,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a street piece: ends u and v, length, heights, class and access."""
+    """One row a street piece: ends u and v, length, heights, class and access; its middle lies half the crown above the mean of its ends."""
     w = width(spark, sf_dir)
     a = nodes(spark, sf_dir)
     b = a.select(F.col("node").alias("v"), F.col("z").alias("z_v"), F.col("p_size").alias("size_v"), F.col("row").alias("row_v"))
@@ -85,6 +85,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("cls") != "steps") & (F.col("edge_id") % 19 != 0)).alias("bike_ok"),
         (F.col("edge_id") % 11 == 0).alias("bike_oneway"),
         (F.col("edge_id") % 29 == 0).alias("is_structure"),
+        (F.col("edge_id") % 31 * 20).alias("crown"),
     )
 
 
@@ -143,7 +144,7 @@ SQL = f"""
         SELECT edge_id, u, v, segment, part, len, z_u, z_v,
                CASE p_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CLASS_OF.items())} END AS cls, name,
                edge_id % 23 <> 0 AS walk_ok, p_type <> 'SMALL' AND edge_id % 19 <> 0 AS bike_ok,
-               edge_id % 11 = 0 AS bike_oneway, edge_id % 29 = 0 AS is_structure
+               edge_id % 11 = 0 AS bike_oneway, edge_id % 29 = 0 AS is_structure, edge_id % 31 * 20 AS crown
         FROM twice),
     ways AS (
         SELECT edge_id * 2 AS arc_id, 'fwd' AS direction, u AS src, v AS dst,
