@@ -108,7 +108,7 @@ def savgol_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
             state(i, node, z) USING KEY (node) AS (
                 SELECT 0, u, (SELECT avg(z) FROM known) FROM (SELECT DISTINCT u FROM loose)
                 UNION
-                SELECT max(t.i) + 1, l.u, sum(l.w * coalesce(s.z, k.z)) / sum(l.w) FROM loose l JOIN state t ON t.node = l.u LEFT JOIN recurring.state s ON s.node = l.v LEFT JOIN known k ON k.node = l.v WHERE t.i < 30 GROUP BY l.u)
+                SELECT max(t.i) + 1, l.u, sum(l.w * coalesce(s.z, k.z)) / sum(l.w) FROM loose l JOIN state t ON t.node = l.u LEFT JOIN recurring.state s ON s.node = l.v LEFT JOIN known k ON k.node = l.v WHERE t.i < 400 GROUP BY l.u)
        SELECT node, round(z, 3) AS z FROM state UNION ALL SELECT node, round(z, 3) FROM known""",
 )
 def structure_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
