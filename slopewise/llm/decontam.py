@@ -61,27 +61,37 @@ def _is_slot(token: Column) -> Column:
 
 
 def _forms(rows: DataFrame) -> DataFrame:
-    """Adds template, hashes of the tokens with placeholders for what they stand for, and plain, hashes of the words and values as they are.
+    """Adds template, hashes of the tokens with placeholders for what they stand for, slots, where these are, and plain, hashes of the words and values as they are.
 
-    What stands before a word can make it a name or not, so the marks of placeholders are left out of the latter.
+    What stands before a word can make it a name or not, so the marks of
+    placeholders are left out of the latter. It is null where it equals the
+    template, as there are no slots.
     """
     bare = lambda t: F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t)
-    return rows.withColumn("template", F.transform("tokens", lambda t: F.xxhash64(bare(t)))).withColumn("plain", F.transform("tokens", lambda t: F.xxhash64(F.translate(t, NAME + NUMBER + UNIT, ""))))
+    rows = rows.withColumn("template", F.transform("tokens", lambda t: F.xxhash64(bare(t)))).withColumn("slots", F.filter(F.transform("tokens", lambda t, i: F.when(_is_slot(t), i)), lambda i: i.isNotNull()))
+    return rows.withColumn("plain", F.when(F.size("slots") > 0, F.transform("tokens", lambda t: F.xxhash64(F.translate(t, NAME + NUMBER + UNIT, "")))))
 
 
-def _window(marks: Column, width: int, verbatim: bool) -> Callable[[Column], Column]:
-    return lambda i: F.struct(F.lit(verbatim).alias("verbatim"), F.lit(width).alias("width"), i.alias("pos"), F.xxhash64(F.slice(marks, i + 1, width)).alias("h"))
+def _window(marks: Column, width: int) -> Callable[[Column], Column]:
+    return lambda i: F.struct(F.lit(width).alias("width"), i.alias("pos"), F.xxhash64(F.slice(marks, i + 1, width)).alias("h"))
 
 
-def _windows(widths: list[tuple[int, bool]]) -> Column:
-    """Structs (verbatim, width, pos, h), one for each window of each width and kind over a row's forms."""
+def _windows(widths: list[int]) -> Column:
+    """Structs (width, pos, h) for the windows of a row's forms: each of the template, and of the words as they are those with a slot, as others are the same."""
     every = []
-    for width, verbatim in widths:
-        marks = F.col("plain" if verbatim else "template")
-        every.append(F.when(F.size(marks) >= width, F.transform(F.sequence(F.lit(0), F.size(marks) - width), _window(marks, width, verbatim))))
+    for width in widths:
+        last = F.size("template") - width
+        around = F.array_distinct(_around(last, width))
+        every.append(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), _window(F.col("template"), width))))
+        every.append(F.when((last >= 0) & (F.size("slots") > 0), F.transform(around, _window(F.col("plain"), width))))
     return F.flatten(F.filter(F.array(*every), lambda x: x.isNotNull()))
 
 
+def _around(last: Column, width: int) -> Column:
+    """Starts of the windows that hold a slot."""
+    return F.flatten(F.transform("slots", lambda p: F.sequence(F.least(F.greatest(p - (width - 1), F.lit(0)), last), F.least(p, last))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, text_hash, item_id, n_tokens, n_covered, coverage, n_slots), one row for each document and item that it holds.
 
@@ -97,20 +107,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select("item_id", F.col("text").alias("item_text")).where(F.col("item_text").isNotNull()).distinct()
     items = _forms(items.withColumn("tokens", _tokens(F.col("item_text")))).withColumn("n_tokens", F.size("tokens")).where("n_tokens > 0").withColumn("width", F.least("n_tokens", F.lit(width)))
     items = cut(items.withColumn("item_key", F.xxhash64("item_id", "item_text")).withColumn("n_slots", F.size(F.filter("tokens", _is_slot))))
-    present = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH values
+    present = sorted(r["width"] for r in items.select("width").distinct().collect()) or [width]  # at most WIDTH values
     bounds = items.agg(F.sum(F.octet_length("item_text")).alias("bytes")).first()["bytes"] or 0
-    kinds = [(w, False) for w in present if w >= min(SHORTEST, width)] + [(w, True) for w in present]
-    # Windows of each form: the template's where literal enough, and all of the words as they are.
-    literal = lambda w: F.size(F.filter(F.slice("tokens", w["pos"] + 1, w["width"]), lambda t: ~_is_slot(t))) >= F.least(F.lit(LITERAL), w["width"])
-    form = F.xxhash64("w.verbatim", F.when(F.col("w.verbatim"), F.col("plain")).otherwise(F.col("template")))
-    posts = items.withColumn("w", F.explode(F.filter(_windows(kinds or [(width, True)]), lambda w: (w["width"] == F.col("width")) & (w["verbatim"] | (F.col("n_tokens") >= SHORTEST) & literal(w)))))
-    posts = cut(posts.select("item_key", form.alias("form"), F.col("w.h").alias("h"), F.col("w.verbatim").alias("verbatim"), F.col("w.width").alias("width"), F.col("w.pos").alias("bpos")))
+    # Windows of each form: all of the words as they are, and the template's where they have slots and are literal enough.
+    last, every = F.col("n_tokens") - F.col("width"), F.coalesce("plain", "template")
+    literal = F.size(F.filter(F.slice("tokens", F.col("bpos") + 1, F.col("width")), lambda t: ~_is_slot(t)))
+    rich = (F.col("n_tokens") >= SHORTEST) & (literal < F.col("width")) & (literal >= F.least(F.lit(LITERAL), F.col("width")))
+    post = lambda marks, verbatim: F.struct(F.lit(verbatim).alias("verbatim"), F.xxhash64(F.lit(verbatim), marks).alias("form"), F.xxhash64(F.slice(marks, F.col("bpos") + 1, F.col("width"))).alias("h"))
+    posts = items.withColumn("bpos", F.explode(F.sequence(F.lit(0), last)))
+    posts = posts.withColumn("w", F.explode(F.filter(F.array(post(every, True), F.when(rich, post(F.col("template"), False))), lambda w: w.isNotNull())))
+    posts = cut(posts.select("item_key", "w.form", "w.h", "w.verbatim", "width", "bpos"))
     of_form = posts.select("form", "item_key").distinct()
-    posts = posts.drop("item_key").distinct().withColumnsRenamed({"verbatim": "v", "width": "n"})
+    posts = posts.drop("item_key").distinct().withColumnRenamed("width", "n")
     posts = F.broadcast(posts) if posts.count() <= BROADCAST_WINDOWS else posts
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
-    seen = _forms(rows.withColumn("tokens", _tokens(F.col("text")))).select("doc_id", "text_hash", F.explode(_windows(kinds or [(width, True)])).alias("w")).select("doc_id", "text_hash", "w.*")
-    hits = seen.join(posts, (seen["h"] == posts["h"]) & (F.col("verbatim") == F.col("v")) & (F.col("width") == F.col("n")))
+    seen = _forms(rows.withColumn("tokens", _tokens(F.col("text")))).select("doc_id", "text_hash", F.explode(_windows(present)).alias("w")).select("doc_id", "text_hash", "w.*")
+    hits = seen.join(posts, (seen["h"] == posts["h"]) & (F.col("width") == F.col("n")))
     hits = hits.select("doc_id", "text_hash", "form", "bpos", F.when(~F.col("verbatim"), F.col("pos")).alias("pos"))
     # Of windows that match as they are, the item's position is enough: all of them count.
     met = hits.groupBy("doc_id", "text_hash", "form").agg(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "bpos"))).alias("hits"), F.collect_set(F.when(F.col("pos").isNull(), F.col("bpos"))).alias("verbatim"))
