@@ -48,6 +48,40 @@ def area(ring: Column) -> Column:
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
 
 
+def _signed(ring: Column, term) -> Column:
+    """Sum of a term of (p, q, cross product) over the legs of a ring."""
+    parts = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: term(p, q, p["x"] * q["y"] - q["x"] * p["y"]))
+    return F.aggregate(parts, F.lit(0.0), lambda s, t: s + t)
+
+
+def centroid(ring: Column) -> Column:
+    """(x, y) of a closed ring's centre of mass; null for a ring without area."""
+    twice = _signed(ring, lambda p, q, c: c)
+    at = lambda c: F.when(twice != 0, _signed(ring, lambda p, q, w: (p[c] + q[c]) * w) / (3 * twice))
+    return F.struct(at("x").alias("x"), at("y").alias("y"))
+
+
+def representative(ring: Column) -> Column:
+    """A point that lies in the ring for certain: the middle of the widest stretch of the ring along the line half-way up."""
+    ys = F.transform(ring, lambda p: p["y"])
+    level = (F.array_min(ys) + F.array_max(ys)) / 2
+    cross = F.zip_with(
+        F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1),
+        lambda p, q: F.when((p["y"] > level) != (q["y"] > level), (q["x"] - p["x"]) * (level - p["y"]) / (q["y"] - p["y"]) + p["x"]),
+    )
+    xs = F.array_sort(F.filter(cross, lambda x: x.isNotNull()))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(xs) / 2).cast("int") - 1, F.lit(0))), lambda k: F.struct((F.get(xs, 2 * k + 1) - F.get(xs, 2 * k)).alias("wide"), ((F.get(xs, 2 * k + 1) + F.get(xs, 2 * k)) / 2).alias("x")))
+    best = F.when(F.size(xs) >= 2, F.array_max(pairs)["x"])
+    return F.struct(best.alias("x"), level.alias("y"))
+
+
+def repaired(ring: Column) -> Column:
+    """A ring closed, without points that repeat the one before; null if less than a triangle is left."""
+    once = F.filter(ring, lambda p, i: (i == 0) | (F.get(ring, i - 1) != p))
+    shut = F.when(F.element_at(once, 1) == F.element_at(once, -1), once).otherwise(F.concat(once, F.slice(once, 1, 1)))
+    return F.when(F.size(ring) > 0, F.when(F.size(shut) >= 4, shut))
+
+
 def inside(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd rule over the ring's legs."""
     crossings = F.zip_with(
@@ -57,6 +91,13 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(crossings, F.lit(0), lambda n, c: n + c) % 2 == 1
 
 
+def gap(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Distance from a point to a straight piece."""
+    dx, dy = x1 - x0, y1 - y0
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x0) * dx + (y - y0) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-9))))
+    return F.hypot(x - x0 - t * dx, y - y0 - t * dy)
+
+
 def bearing_difference(a: Column, b: Column) -> Column:
     """Angle between two undirected bearings, 0 to pi / 2."""
     return F.abs(F.pmod(a - b + math.pi / 2, F.lit(math.pi)) - math.pi / 2)

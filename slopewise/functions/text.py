@@ -17,25 +17,52 @@ SHORT = {
     "street": "st", "avenue": "ave", "boulevard": "blvd", "drive": "dr", "road": "rd", "court": "ct", "place": "pl", "lane": "ln", "terrace": "ter", "highway": "hwy", "parkway": "pkwy",
     "circle": "cir", "alley": "aly", "square": "sq", "stairway": "stwy", "stairs": "stwy", "way": "wy", "north": "n", "south": "s", "east": "e", "west": "w", "saint": "st", "mount": "mt",
 }
-#: Categories shown, by group, and the words that make any other category a landmark.
+# Categories shown, by group; a category in two groups belongs to the later one.
 GROUPS = {
-    "park": ("park", "garden", "playground", "beach", "dog_park", "hiking_trail", "plaza"),
-    "landmark": ("monument", "museum", "art_museum", "aquarium", "zoo", "lighthouse", "memorial", "pier", "theatre", "cinema", "library"),
-    "transit": ("train_station", "subway_station", "bus_station", "ferry_terminal"),
-    "school": ("school", "university", "high_school", "campus"),
-    "civic": ("city_hall", "courthouse", "post_office", "hospital", "fire_station", "temple"),
-    "food": ("restaurant", "cafe", "coffee_shop", "bakery", "bar", "pub", "brewery", "diner"),
-    "shop": ("grocery_store", "supermarket", "bookstore", "pharmacy", "florist"),
+    "park": (
+        "park", "garden", "playground", "beach", "dog_park", "hiking_trail", "scenic_point", "nature_preserve", "botanical_garden", "national_park", "state_park", "plaza", "picnic_ground",
+    ),
+    "landmark": (
+        "landmark_and_historical_building", "monument", "tourist_attraction", "museum", "art_museum", "history_museum", "science_museum", "aquarium", "zoo", "stadium_arena", "observatory", "lighthouse",
+        "historical_site", "memorial", "pier", "marina", "amusement_park", "theatre", "performing_arts_theatre", "concert_hall", "cinema", "library", "public_library",
+    ),
+    "transit": (
+        "train_station", "light_rail_station", "subway_station", "bus_station", "ferry_terminal", "transit_station", "cable_car_station", "metro_station", "public_transportation",
+    ),
+    "school": ("school", "university", "college_university", "high_school", "elementary_school", "middle_school", "community_college", "campus"),
+    "civic": (
+        "city_hall", "courthouse", "post_office", "hospital", "fire_station", "police_station", "community_center", "recreation_center", "swimming_pool", "public_swimming_pool", "church_cathedral",
+        "synagogue", "mosque", "temple", "farmers_market", "public_market",
+    ),
+    "food": (
+        "restaurant", "cafe", "coffee_shop", "bakery", "bar", "pub", "brewery", "ice_cream_shop", "pizza_restaurant", "taco_restaurant", "diner", "dessert_shop", "tea_room", "wine_bar", "cocktail_bar", "food_court",
+    ),
+    "shop": (
+        "grocery_store", "supermarket", "bookstore", "shopping_center", "hardware_store", "bicycle_shop", "pharmacy", "farmers_market", "convenience_store", "department_store", "record_store", "florist",
+    ),
     "lodging": ("hotel", "hostel", "bed_and_breakfast"),
 }
+# Kinds of mapped features by type and class.
+KINDS = {
+    "land_use": {
+        "park": "park", "dog_park": "dog park", "playground": "playground", "garden": "garden", "allotments": "community garden", "plaza": "plaza", "pedestrian": "plaza", "school": "school", "kindergarten": "school",
+        "university": "university", "college": "college", "hospital": "hospital", "golf_course": "golf course", "stadium": "stadium", "marina": "marina", "recreation_ground": "park", "national_park": "park",
+        "military": "landmark", "protected_landscape_seascape": "park",
+    },
+    "infrastructure": {
+        "railway_station": "station", "subway_station": "station", "ferry_terminal": "ferry", "pier": "pier", "bridge": "bridge", "viewpoint": "viewpoint", "observation": "landmark", "communication_tower": "landmark",
+    },
+    "land": {"peak": "peak", "hill": "hill", "beach": "beach", "island": "island", "islet": "island"},
+}
+# Fixed value: words that make any other category a landmark.
 LANDMARK_WORDS = "park|garden|museum|station|landmark|monument|library|theat|school|universit|college|church|cathedral|hospital|beach|plaza|square|pier|market|stadium|trail|overlook"
 
 
 def title_street(raw: Column) -> Column:
-    """'JOHN MUIR DR' becomes 'John Muir Dr', '24TH' becomes '24th'; a direction keeps its capital unless it comes first."""
+    """'OLD MILL AVE' becomes 'Old Mill Ave', '3RD' becomes '3rd'; a direction keeps its capital unless it comes first."""
 
     def word(t: Column, i: Column) -> Column:
-        plain = F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 10_000)))
+        plain = F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substr(t, F.lit(2))))
         return F.coalesce(choose(t, SUFFIXES), F.when(t.rlike(r"^\d+(ST|ND|RD|TH)$"), F.lower(t)).when(t.isin(*DIRECTIONS) & (i > 0), t).when(t.rlike(r"^\d+$"), t).otherwise(plain))
 
     words = F.filter(F.split(raw, r"\s+"), lambda t: t != "")
@@ -53,6 +80,35 @@ def group_of(category: Column) -> Column:
     return F.coalesce(known, F.when(category.rlike(f"(?i){LANDMARK_WORDS}"), "landmark"))
 
 
+def kind_of(type_: Column, class_: Column) -> Column:
+    """The kind under which a mapped feature is listed, null for those that are not."""
+    out = F.lit(None).cast("string")
+    for name, kinds in KINDS.items():
+        out = F.when(type_ == name, choose(class_, kinds)).otherwise(out)
+    return out
+
+
+def feet(metres: Column) -> Column:
+    return metres * 3.28084
+
+
+def miles(metres: Column) -> Column:
+    return metres / 1609.344
+
+
+def human_bytes(n: Column) -> Column:
+    """A number of bytes with one decimal in the largest unit that leaves at least one, up to TB."""
+    out = F.concat(F.format_number(n / 1024.0**4, 1), F.lit(" TB"))
+    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
+        out = F.when(n < 1024.0 ** (power + 1), F.concat(F.format_number(n / 1024.0**power, 1), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def lead_streets(names: Column) -> Column:
+    """The first street of each corridor's name, once each."""
+    return F.array_distinct(F.transform(names, lambda n: F.split(n, " - ")[0]))
+
+
 def leading_number(text: Column, below: int = 65536) -> Column:
     """The number a text begins with, if there is one and it is small enough."""
     digits = F.regexp_extract(text, r"^(\d+)", 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slopewise.functions.geometry import gap
 from slopewise.operators.components import connected_components
 from slopewise.session import cut
 
@@ -93,14 +94,7 @@ def same_street(pieces: DataFrame, ends: DataFrame, most: float = JOIN) -> DataF
     points = rows.select("corridor", "lead", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p")).select("corridor", "lead", "p.*").distinct()
     points = points.withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y")))
     met = points.join(posted, ["lead", "cx", "cy"]).where(F.col("corridor") != F.col("other"))
-    return met.where(distance_to(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) <= most).select(F.least("corridor", "other").alias("a"), F.greatest("corridor", "other").alias("b")).distinct()
-
-
-def distance_to(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """From a point to a straight piece."""
-    dx, dy = x1 - x0, y1 - y0
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x0) * dx + (y - y0) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-9))))
-    return F.hypot(x - x0 - t * dx, y - y0 - t * dy)
+    return met.where(gap(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) <= most).select(F.least("corridor", "other").alias("a"), F.greatest("corridor", "other").alias("b")).distinct()
 
 
 def fused(pieces: DataFrame, links: DataFrame) -> DataFrame:

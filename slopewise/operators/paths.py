@@ -140,6 +140,38 @@ def _trees(arcs: DataFrame, start: DataFrame) -> DataFrame:
     return known
 
 
+def within(arcs: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request) of the requests (request, source, target, budget) whose target can be reached for at most the budget."""
+    if not fits(arcs):
+        return _within_by_joins(arcs, requests)
+    net = Network.of(arcs, "cost")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for source, rows in b.groupby("source"):
+                at = net.number(source)
+                if at >= 0:
+                    cost, _ = net.tree(at, cutoff=float(rows["budget"].max()))
+                    ends = [net.number(t) for t in rows["target"]]
+                    found += [r for r, e, most in zip(rows["request"], ends, rows["budget"], strict=True) if e >= 0 and cost[e] <= most]
+            yield pd.DataFrame({"request": found})
+
+    return spread(requests, "source").mapInPandas(solve, "request long")
+
+
+def _within_by_joins(arcs: DataFrame, requests: DataFrame) -> DataFrame:
+    """The same, the frontier of each source going no farther than the largest budget there."""
+    front = cut(requests.groupBy("source").agg(F.max("budget").alias("most")).select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), "most"))
+    known, steps = front, arcs.select(F.col("src").alias("node"), "dst", F.col("cost").cast("double").alias("c"))
+    while not front.isEmpty():
+        moved = front.join(steps, "node").where(F.col("cost") + F.col("c") <= F.col("most")).groupBy("source", F.col("dst").alias("node"), "most").agg(F.min(F.col("cost") + F.col("c")).alias("new"))
+        fresh = F.col("cost").isNull() | (F.col("new") < F.col("cost"))
+        merged = cut(known.join(moved, ["source", "node", "most"], "full").select("source", "node", F.least("cost", "new").alias("cost"), "most", (F.col("new").isNotNull() & fresh).alias("moved")))
+        known, front = merged.drop("moved"), merged.where("moved").drop("moved")
+    return requests.join(known.select("source", F.col("node").alias("target"), "cost"), ["source", "target"]).where("cost <= budget").select("request")
+
+
 def routes_by_joins(arcs: DataFrame, requests: DataFrame, costs: tuple[str, ...] = ("cost",)) -> DataFrame:
     """What routes gives, by joins alone: trees first, then all routes at once back from their targets, an arc a round."""
     long = arcs.select("src", "dst", "arc_id", F.explode(F.array(*[F.struct(F.lit(c).alias("objective"), F.col(c).cast("double").alias("cost")) for c in costs])).alias("k")).select("src", "dst", "arc_id", "k.*")
@@ -306,6 +338,13 @@ def thin(points: DataFrame, most: int = 30) -> DataFrame:
     return rows.where((F.col("n") <= most) | (F.col("r") == 1)).select(*points.columns)
 
 
+def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): of each key's values in rising order the one at half their number, rounded down, counted from 0."""
+    number = F.row_number().over(W.partitionBy(key).orderBy(value)) - 1
+    marked = rows.withColumn("at", number).withColumn("half", F.floor(F.count(F.lit(1)).over(W.partitionBy(key)) / 2))
+    return marked.where("at = half").select(key, value)
+
+
 def round_trips(arcs: DataFrame, requests: DataFrame, tolerance: float = 0.12, most_overlap: float = 0.3, sectors: int = 24, keep: int = 3) -> DataFrame:
     """(request, rank, distance, gain, arcs): loops of about the wished length from a node back to it, flattest first.
 

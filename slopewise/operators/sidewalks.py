@@ -7,12 +7,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slopewise.operators import paths, spatial
 from slopewise.operators.components import connected_components
 from slopewise.operators.topology import spanning_forest
 from slopewise.session import cut
 
 OFFSET, ANGLE, SAMPLES, HITS = 12.0, 30.0, 5, 4
-RATIO, SLACK = 1.25, 25.0
+RATIO, SLACK, SNAP = 1.25, 25.0, 30.0
 
 
 def probe_hits(candidates: DataFrame, streets: DataFrame, offset: float = OFFSET, angle: float = ANGLE) -> DataFrame:
@@ -63,7 +64,7 @@ def reconnect(kept: DataFrame, sidewalks: DataFrame) -> DataFrame:
     rows = sidewalks.select("edge_id", "u", "v", "len").join(label("u"), "u", "left").join(label("v"), "v", "left")
     # Nodes of no component get numbers below zero.
     rows = rows.select("edge_id", F.coalesce("cu", -F.col("u") - 1).alias("u"), F.coalesce("cv", -F.col("v") - 1).alias("v"), F.col("len").cast("double").alias("crest")).where("u <> v")
-    forest = kept.sparkSession.createDataFrame(spanning_forest(rows), "u long, v long, crest double, edge_id long")
+    forest = cut(spanning_forest(rows))
     while True:
         leaves = forest.select(F.explode(F.array("u", "v")).alias("n")).groupBy("n").count().where("count = 1 and n < 0").select("n")
         dead = forest.select("edge_id", F.explode(F.array("u", "v")).alias("n")).join(leaves, "n", "left_semi").select("edge_id").distinct()
@@ -72,12 +73,43 @@ def reconnect(kept: DataFrame, sidewalks: DataFrame) -> DataFrame:
         forest = cut(forest.join(dead, "edge_id", "left_anti"))
 
 
+def shortcuts(kept: DataFrame, sidewalks: DataFrame, corners: DataFrame, ratio: float = RATIO, slack: float = SLACK, snap: float = SNAP) -> DataFrame:
+    """(edge_id) of the sidewalks that what is kept cannot stand in for.
+
+    kept is (u, v, len), sidewalks (edge_id, u, v, len, x0, y0, x1, y1), corners
+    (node, x, y) the nodes of streets. An end that is not part of the kept
+    network moves to the nearest corner of it within reach. A sidewalk is a
+    shortcut if an end has none, or if the way between its ends is longer than
+    the ratio of its length and both moves, and the slack.
+    """
+    alive = cut(kept.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    ends = sidewalks.select("edge_id", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("node"), F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.lit(1).alias("side"), F.col("v").alias("node"), F.col("x1").alias("x"), F.col("y1").alias("y")))))
+    ends = cut(ends.withColumn("end", F.col("edge_id") * 2 + F.col("side")))
+    own = ends.join(alive, "node", "left_semi").select("end", F.col("node").alias("at"), F.lit(0.0).alias("move"))
+    moved = spatial.nearest(ends.join(alive, "node", "left_anti"), corners.join(alive, "node", "left_semi"), "end", "node", snap)
+    found = own.unionByName(moved.select("end", F.col("node").alias("at"), F.sqrt("d2").alias("move")))
+    at = lambda side: found.where(F.col("end") % 2 == side).select(F.expr("end div 2").alias("edge_id"), F.col("at").alias(f"at{side}"), F.col("move").alias(f"move{side}"))
+    both = cut(sidewalks.select("edge_id", "len").join(at(0), "edge_id").join(at(1), "edge_id"))
+    asked = both.select(F.col("edge_id").alias("request"), F.col("at0").alias("source"), F.col("at1").alias("target"), (ratio * (F.col("len") + F.col("move0") + F.col("move1")) + slack).alias("budget"))
+    ways = kept.select("u", "v", "len").unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v"), "len")).groupBy("u", "v").agg(F.min("len").cast("double").alias("cost"))
+    arcs = ways.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0).cast("long").alias("arc_id"), "cost")
+    return sidewalks.select("edge_id").join(paths.within(arcs, asked).withColumnRenamed("request", "edge_id"), "edge_id", "left_anti")
+
+
 def drop_sidewalks(edges: DataFrame, candidates: DataFrame, streets: DataFrame) -> DataFrame:
-    """Edges without the candidates that follow a street, except those that hold the rest together, and without dead ends left of them."""
-    hits = probe_hits(candidates, streets)
-    sidewalk = cut(hits.where(F.col("parallel") >= HITS).select("edge_id"))
+    """Edges without the candidates that follow a street, but with those that are shortcuts or hold the rest together, and without dead ends left of them.
+
+    edges is (edge_id, u, v, len); candidates and streets have x0, y0, x1, y1
+    besides, and are among the edges. Only footways beside a street that do not
+    run along it are taken away as dead ends; what was put back stays.
+    """
+    hits = cut(probe_hits(candidates, streets))
+    follow = hits.where(F.col("parallel") >= HITS).select("edge_id")
     stub = hits.where((F.col("near") >= HITS) & (F.col("parallel") < HITS)).select("edge_id")
-    rest = edges.join(sidewalk, "edge_id", "left_anti")
+    solid = streets.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("v").alias("node"), F.col("x1").alias("x"), F.col("y1").alias("y"))))).dropDuplicates(["node"])
+    rest = edges.join(follow, "edge_id", "left_anti")
+    short = shortcuts(rest, candidates.join(follow, "edge_id", "left_semi").select("edge_id", "u", "v", "len", "x0", "y0", "x1", "y1"), solid)
+    sidewalk = cut(follow.join(short, "edge_id", "left_anti"))
+    rest = cut(edges.join(sidewalk, "edge_id", "left_anti"))
     back = reconnect(rest, edges.join(sidewalk, "edge_id", "left_semi"))
-    alive = rest.unionByName(edges.join(back.select("edge_id"), "edge_id", "left_semi"))
-    return prune_stubs(alive, stub.unionByName(back.select("edge_id")))
+    return prune_stubs(rest.unionByName(edges.join(back.select("edge_id"), "edge_id", "left_semi")), stub)

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slopewise.functions import geometry
+from slopewise.session import cut
+
 
 def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
@@ -41,25 +44,55 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, radius
     return near(points, targets, key, target, radius).groupBy(key).agg(F.min(F.struct("d2", target)).alias("n")).select(key, f"n.{target}", "n.d2")
 
 
-def snap(points: DataFrame, corners: DataFrame, nodes: DataFrame, key: str, target: str, radius: float, rounds: int = 12) -> DataFrame:
-    """(key, target, kind): the nearest corner within the radius, else the nearest node at all.
+def snap(points: DataFrame, corners: DataFrame, nodes: DataFrame, key: str, target: str, radius: float) -> DataFrame:
+    """(key, target, kind): the nearest corner within the radius, else the nearest node at all; every point gets one if there is a node.
 
-    The search for a node doubles its radius until every point has one, so a
-    join never spans more than nine cells of a size that fits the remaining points.
+    The search for a node widens its radius four times a round until every
+    point has one, so a join never spans more than nine cells of a size that
+    fits the remaining points; the number of rounds follows from how far the
+    points lie from the nodes.
     """
     best = nearest(points, corners, key, target, radius).withColumn("kind", F.lit("corner"))
     out = best.select(key, target, "kind")
-    rest = points.join(best.select(key), key, "left_anti")
-    for _ in range(rounds):
-        if rest.isEmpty():
-            break
-        found = nearest(rest, nodes, key, target, radius)
+    rest = cut(points.join(best.select(key), key, "left_anti"))
+    if nodes.isEmpty():
+        return out
+    while not rest.isEmpty():
+        found = cut(nearest(rest, nodes, key, target, radius))
         out = out.unionByName(found.select(key, target, F.lit("node").alias("kind")))
-        rest = rest.join(found.select(key), key, "left_anti")
+        rest = cut(rest.join(found.select(key), key, "left_anti"))
         radius *= 4
     return out
 
 
+def label_polygons(points: DataFrame, polygons: DataFrame, key: str, label: str, size: float) -> DataFrame:
+    """(key, label): left join of points (x, y) with the polygons (label, ring) they lie in; of several the smallest label.
+
+    A ring is an array of (x, y) whose last point is its first. A polygon is
+    posted in the cells of its box, and a point looks in its own.
+    """
+    ends = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    over = lambda c: F.explode(F.sequence(_cell(ends(F.array_min, c), size), _cell(ends(F.array_max, c), size)))
+    posted = polygons.select(F.col(label).alias("label"), "ring").withColumn("cx", over("x")).withColumn("cy", over("y"))
+    placed = points.select(F.col(key).alias("key"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).withColumn("cx", _cell(F.col("px"), size)).withColumn("cy", _cell(F.col("py"), size))
+    found = placed.join(posted, ["cx", "cy"]).where(geometry.inside(F.col("ring"), F.col("px"), F.col("py"))).groupBy("key").agg(F.min("label").alias("label"))
+    return placed.select("key").join(found, "key", "left").select(F.col("key").alias(key), F.col("label").alias(label))
+
+
+def within_reach(points: DataFrame, polygons: DataFrame, key: str, reach: float) -> DataFrame:
+    """(key, inside): whether a point (x, y) lies in a polygon (ring) or within the reach of one's edge, as in a buffered union of them."""
+    size = reach * 8
+    ends = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    over = lambda c: F.explode(F.sequence(_cell(ends(F.array_min, c) - reach, size), _cell(ends(F.array_max, c) + reach, size)))
+    posted = polygons.select("ring").withColumn("cx", over("x")).withColumn("cy", over("y"))
+    placed = points.select(F.col(key).alias("key"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).withColumn("cx", _cell(F.col("px"), size)).withColumn("cy", _cell(F.col("py"), size))
+    x, y = F.col("px"), F.col("py")
+    gaps = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda p, q: geometry.gap(x, y, p["x"], p["y"], q["x"], q["y"]))
+    near = geometry.inside(F.col("ring"), x, y) | (F.array_min(gaps) <= reach)
+    found = placed.join(posted, ["cx", "cy"]).where(near).select("key").distinct().withColumn("inside", F.lit(True))
+    return placed.select("key").join(found, "key", "left").select(F.col("key").alias(key), F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
 def polygon_names(lines: DataFrame, boxes: DataFrame, key: str, label: str, size: float) -> DataFrame:
     """(key, names): sorted distinct labels of the boxes that a line's bounding pieces (x0, y0, x1, y1) meet, joined by '; '."""
     spread = lambda df, p: df.withColumn(f"{p}cx", F.explode(F.sequence(_cell(F.col(f"{p}x0"), size), _cell(F.col(f"{p}x1"), size)))).withColumn(f"{p}cy", F.explode(F.sequence(_cell(F.col(f"{p}y0"), size), _cell(F.col(f"{p}y1"), size))))

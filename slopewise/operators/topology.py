@@ -102,12 +102,20 @@ def largest_strong_component(arcs: DataFrame) -> DataFrame:
             return best
 
 
-def spanning_forest(edges: DataFrame) -> pd.DataFrame:
-    """Edges (u, v, crest, edge_id) of the forest that joins everything over the lowest crests.
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """Edges (u, v, crest, edge_id) of the forest that joins everything over the lowest crests, of equal ones the smallest edge_id.
 
-    Every partition reduces its edges to a forest of its own before they meet;
-    a forest has fewer edges than the network has nodes.
+    Where the network is small, every task reduces its edges to a forest of its
+    own before they meet in one; a larger one is joined round by round.
     """
+    rows = edges.select("u", "v", F.col("crest").cast("double").alias("crest"), "edge_id")
+    return edges.sparkSession.createDataFrame(_forest(rows), "u long, v long, crest double, edge_id long") if fits(rows) else forest_by_joins(rows)
+
+
+def _forest(rows: DataFrame) -> pd.DataFrame:
+    """The forest on the driver. Raises ValueError if the network is too large for that."""
+    if not fits(rows):
+        raise ValueError("the network is too large for one worker")
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -116,9 +124,25 @@ def spanning_forest(edges: DataFrame) -> pd.DataFrame:
         if held is not None:
             yield held
 
-    rows = edges.select("u", "v", "crest", "edge_id")
-    parts = rows.mapInPandas(reduce, rows.schema)
-    return _kruskal(parts.toPandas())
+    return _kruskal(rows.mapInPandas(reduce, rows.schema).toPandas())
+
+
+def forest_by_joins(edges: DataFrame) -> DataFrame:
+    """The same by rounds in which each part takes its lowest edge to another part; their number at least halves each time."""
+    rows = edges.select("u", "v", "crest", "edge_id").where("u <> v")
+    home = cut(rows.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("part", F.col("node")))
+    taken = None
+    left = cut(rows.select("*", F.col("u").alias("a"), F.col("v").alias("b")))
+    while not left.isEmpty():
+        ways = left.select("a", "b", "crest", "edge_id", "u", "v").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "crest", "edge_id", "u", "v"))
+        lowest = cut(ways.groupBy("a").agg(F.min(F.struct("crest", "edge_id", "b", "u", "v")).alias("e")).select("a", "e.*").dropDuplicates(["edge_id"]))
+        more = lowest.select("u", "v", "crest", "edge_id")
+        taken = more if taken is None else taken.unionByName(more)
+        joined = connected_components(lowest, "a", "b").withColumnRenamed("node", "part")
+        home = cut(home.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("part")))
+        now = lambda end, to: home.select(F.col("node").alias(end), F.col("part").alias(to))
+        left = cut(left.drop("a", "b").join(now("u", "a"), "u").join(now("v", "b"), "v").where("a <> b"))
+    return rows.limit(0) if taken is None else taken
 
 
 def _kruskal(rows: pd.DataFrame) -> pd.DataFrame:
@@ -169,24 +193,35 @@ class MergeTree:
             top = new((crest, edge))
             for e in ends:
                 self.up[e] = root[e] = top
+        # A root comes after what hangs under it, so that its jump is known first; jumps make a walk upwards as long as the logarithm of the depth.
+        n = len(self.up)
+        self.depth, self.jump = [0] * n, list(range(n))
+        for x in range(n - 1, -1, -1):
+            p = self.up[x]
+            if p >= 0:
+                j = self.jump[p]
+                self.depth[x] = self.depth[p] + 1
+                self.jump[x] = self.jump[j] if self.depth[p] - self.depth[j] == self.depth[j] - self.depth[self.jump[j]] else p
 
     def height(self, a: int, b: int) -> tuple[float, int] | None:
         """Lowest crest over which one gets from a to b, and its edge; None if either is unknown or they do not join."""
         if a not in self.leaf or b not in self.leaf:
             return None
-        seen, x = set(), self.leaf[a]
-        while x >= 0:
-            seen.add(x)
-            x = self.up[x]
-        x = self.leaf[b]
-        while x >= 0 and x not in seen:
-            x = self.up[x]
-        return self.label[x] if x >= 0 else None
+        x, y = self.leaf[a], self.leaf[b]
+        if self.depth[x] < self.depth[y]:
+            x, y = y, x
+        while self.depth[x] > self.depth[y]:
+            x = self.jump[x] if self.depth[self.jump[x]] >= self.depth[y] else self.up[x]
+        while x != y:
+            if self.depth[x] == 0:
+                return None
+            x, y = (self.jump[x], self.jump[y]) if self.jump[x] != self.jump[y] else (self.up[x], self.up[y])
+        return self.label[x]
 
 
 def pass_heights(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, height, edge_id) for each pair of nodes that join; the tree is sent to the workers once."""
-    tree = MergeTree(spanning_forest(edges))
+    """(a, b, height, edge_id) for each pair of nodes that join; the tree is sent to the workers once, so its network has a bound."""
+    tree = MergeTree(_forest(edges.select("u", "v", F.col("crest").cast("double").alias("crest"), "edge_id")))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -210,8 +245,11 @@ def basins(edges: DataFrame, heights: DataFrame, threshold: float, least: float)
 
 
 def basin_passes(edges: DataFrame, basin_of: DataFrame) -> DataFrame:
-    """(edge_id, crest, first, second): where, with rising crests, two sets of basins first join."""
-    forest = spanning_forest(edges)
+    """(edge_id, crest, first, second): where, with rising crests, two sets of basins first join.
+
+    Sets of basins are joined in one pass over the forest, whose size is checked.
+    """
+    forest = _forest(edges.select("u", "v", F.col("crest").cast("double").alias("crest"), "edge_id"))
     label = {r.node: r.basin for r in basin_of.collect()}
     parent: dict[int, int] = {}
     held: dict[int, set[int]] = {}

@@ -98,7 +98,21 @@ def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.superseded(_best(spark, sf_dir).select("place", "name"), _mapped(spark, sf_dir), CITY)
 
 
-@query("prune_variants")
+def _variants_sql(rounds: int = 6) -> str:
+    """Which of the best places go: what no one is left to take out stays and takes out what it can, round by round."""
+    steps = [f"""{_BEST}, v AS MATERIALIZED (SELECT place, name, coalesce(grp, 'landmark') AS grp, support, conf, x, y FROM best),
+        longer AS (SELECT v.*, substr(name, 1, k) AS start, lower(trim(substr(name, k + 1), ' ,-/()')) AS added FROM v, unnest(range(1, length(name))) AS t(k) WHERE contains(' ,-/(', substr(name, CAST(k + 1 AS INT), 1))),
+        by_0 AS MATERIALIZED (
+            SELECT a.place, b.place AS taker FROM longer a JOIN v b ON b.name = a.start AND (-b.support, -b.conf, b.place) < (-a.support, -a.conf, a.place),
+                   LATERAL (SELECT CASE WHEN added IN ({", ".join(f"'{s}'" for s in SUFFIXES)}) THEN {places.FAR} WHEN a.grp = b.grp THEN CASE WHEN b.support >= 3 AND a.support = 0 THEN {places.FAR} ELSE {places.NEAR} END END AS reach)
+            WHERE abs(a.x - b.x) < reach AND abs(a.y - b.y) < reach)"""]
+    for k in range(rounds):
+        steps.append(f"out_{k} AS MATERIALIZED (SELECT DISTINCT place FROM by_{k} WHERE taker NOT IN (SELECT place FROM by_{k}))")
+        steps.append(f"by_{k + 1} AS MATERIALIZED (SELECT * FROM by_{k} WHERE place NOT IN (FROM out_{k}) AND taker NOT IN (FROM out_{k}))")
+    return ", ".join(steps) + ", gone AS (" + " UNION ALL ".join(f"FROM out_{k}" for k in range(rounds)) + ")"
+
+
+@query("prune_variants", f"WITH {_variants_sql()} SELECT place, name, support FROM v WHERE place NOT IN (FROM gone)")
 def prune_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _best(spark, sf_dir).withColumn("group", F.coalesce("group", F.lit("landmark")))
     return places.prune_variants(rows, SUFFIXES).select("place", "name", "support")

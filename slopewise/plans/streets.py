@@ -328,8 +328,8 @@ _FACTS = """fact AS (SELECT node, count(*) AS degree, sum(len) AS len, bool_or(c
     access_point AS (SELECT hood, node FROM placed JOIN centre USING (hood) QUALIFY row_number() OVER (PARTITION BY hood ORDER BY tier, round(pow(x - cx, 2) + pow(y - cy, 2), 3), node) = 1)"""
 
 
-def access_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The node that stands for each neighbourhood: of the first tier that has any, the nearest to the centre of its streets."""
+def access_points(spark: SparkSession, sf_dir: str, rank: int = 0) -> DataFrame:
+    """The node that stands for each neighbourhood: of the first tier that has any, the nearest to the centre of its streets; with a rank a later choice, or the last one."""
     from pyspark.sql import Window as W
 
     facts = node_facts(net.edges(spark, sf_dir)).join(net.nodes(spark, sf_dir).select("node", "hood", "x", "y"), "node")
@@ -337,7 +337,8 @@ def access_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     centre = facts.groupBy("hood").agg((F.sum(F.col("x") * F.col("len")) / F.sum("len")).alias("cx"), (F.sum(F.col("y") * F.col("len")) / F.sum("len")).alias("cy"))
     far = F.round((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2, 3)
     ranked = facts.withColumn("tier", tier).join(centre, "hood").withColumn("r", F.row_number().over(W.partitionBy("hood").orderBy("tier", far, "node")))
-    return ranked.where("r = 1").select("hood", "node")
+    ranked = ranked.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("hood")))
+    return ranked.where(F.col("r") == F.least(F.lit(rank + 1), F.col("n"))).select("hood", "node")
 
 
 @query("access_points", f"WITH {_FACTS} SELECT hood, node FROM access_point")
