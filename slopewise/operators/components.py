@@ -8,6 +8,10 @@ distributed tables; a checkpoint after each round cuts the lineage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +70,34 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = stars.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+#: Links that one task takes at once, as two arrays.
+MOST_LINKS = 4_000_000
+
+
+def network_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """What connected_components gives, for links of a network: where they are few enough, which is counted, one task labels them in memory."""
+    pairs = cut(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b"))
+    if pairs.limit(MOST_LINKS + 1).count() > MOST_LINKS:
+        return connected_components(pairs)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+        if held:
+            ids, ends = np.unique(np.concatenate([np.concatenate(side) for side in zip(*held, strict=True)]), return_inverse=True)
+            left, right = np.split(ends, 2)
+            root = np.arange(len(ids))
+            while True:
+                low = np.minimum(root[left], root[right])
+                new = root.copy()
+                for side in (left, right):  # the root of each end hangs on the smaller one
+                    np.minimum.at(new, root[side], low)
+                while (new[new] != new).any():
+                    new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["node", "component"])
+
+    return pairs.coalesce(1).mapInArrow(label, "node long, component long")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slopewise.functions.geometry import gap
-from slopewise.operators.components import connected_components
+from slopewise.operators.components import network_components
 from slopewise.session import cut
 
 QUANTILE, GROW, MIN_LENGTH = 0.93, 0.45, 35_000
@@ -66,7 +66,7 @@ def pieces(rows: DataFrame, least: float = MIN_LENGTH) -> DataFrame:
     rows has edge_id, u, v, len, name, score, pairs, span, climb_saved, climb,
     steepest, z_u, z_v and low_stress.
     """
-    found = connected_components(rows.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    found = network_components(rows.select(F.col("u").alias("a"), F.col("v").alias("b")))
     placed = rows.join(found.select(F.col("node").alias("u"), F.col("component").alias("corridor")), "u")
     weighted = lambda c: F.sum(c * F.col("len")) / F.sum("len")
     whole = placed.groupBy("corridor").agg(
@@ -99,7 +99,7 @@ def same_street(pieces: DataFrame, ends: DataFrame, most: float = JOIN) -> DataF
 
 def fused(pieces: DataFrame, links: DataFrame) -> DataFrame:
     """Linked pieces as one row: sums, extremes, and means by length; the name is that of the longest piece."""
-    group = connected_components(links).select(F.col("node").alias("corridor"), F.col("component").alias("whole"))
+    group = network_components(links).select(F.col("node").alias("corridor"), F.col("component").alias("whole"))
     rows = pieces.join(group, "corridor", "left").withColumn("whole", F.coalesce("whole", "corridor"))
     weighted = lambda c: (F.sum(F.col(c) * F.col("length")) / F.sum("length")).alias(c)
     return rows.groupBy(F.col("whole").alias("corridor")).agg(
@@ -123,7 +123,7 @@ def corridors(scores: DataFrame, edges: DataFrame, quantile: float = QUANTILE, g
     climb = F.abs(F.col("z_v") - F.col("z_u"))
     rows = rows.withColumn("climb", climb).withColumn("steepest", steepest_grade(F.col("len"), climb, F.col("crown")))
     parts = cut(pieces(rows, least))
-    home = connected_components(rows.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    home = network_components(rows.select(F.col("u").alias("a"), F.col("v").alias("b")))
     ends = rows.join(home.select(F.col("node").alias("u"), F.col("component").alias("corridor")), "u").select("corridor", "x0", "y0", "x1", "y1")
     whole = fused(parts, same_street(parts, ends)).where(F.col("length") >= least)
     # One row a corridor; there are few of them.
@@ -147,7 +147,7 @@ def bridged(core: DataFrame, edges: DataFrame, most_hops: int = GAP_EDGES, most_
     meets another component within the bounds is taken if no shorter one joins
     the same two.
     """
-    comp = connected_components(core.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    comp = network_components(core.select(F.col("u").alias("a"), F.col("v").alias("b")))
     free = edges.join(core.select("edge_id"), "edge_id", "left_anti")
     both = free.select("edge_id", F.col("u").alias("s"), F.col("v").alias("t"), "len").unionByName(free.select("edge_id", F.col("v").alias("s"), F.col("u").alias("t"), "len"))
     ways = comp.select(F.col("component").alias("home"), F.col("node").alias("s"), F.lit(0).cast("long").alias("total"), F.array().cast("array<long>").alias("path"))

@@ -25,6 +25,10 @@ from slopewise.session import cut
 MOST_BYTES = 1 << 28
 
 
+class TooLarge(ValueError):
+    """A network that is not sent to workers."""
+
+
 class Network:
     """Arcs grouped by their start, nodes numbered by rank."""
 
@@ -38,11 +42,12 @@ class Network:
 
     @classmethod
     def of(cls, arcs: DataFrame, *costs: str) -> Network:
-        """Raises ValueError for a network that is too large to send."""
-        if not fits(arcs, len(costs)):
-            raise ValueError(f"the network's arrays exceed {MOST_BYTES} bytes")
-        rows = arcs.select("src", "dst", "arc_id", *costs).toPandas()
-        return cls(rows["src"].to_numpy(np.int64), rows["dst"].to_numpy(np.int64), rows["arc_id"].to_numpy(np.int64), *(rows[c].to_numpy(float) for c in costs))
+        """Raises TooLarge for a network that is too large to send; it is read once, no farther than a row beyond the bound."""
+        most = MOST_BYTES // (8 * (3 + len(costs)))
+        rows = arcs.select(*[F.col(c).cast("long") for c in ("src", "dst", "arc_id")], *[F.col(c).cast("double") for c in costs]).limit(most + 1).toArrow()
+        if len(rows) > most:
+            raise TooLarge(f"the network's arrays exceed {MOST_BYTES} bytes")
+        return cls(*(rows[c].to_numpy() for c in ("src", "dst", "arc_id", *costs)))
 
     def number(self, node: int) -> int:
         at = int(np.searchsorted(self.ids, node))
@@ -99,9 +104,10 @@ def fits(arcs: DataFrame, costs: int = 1) -> bool:
 
 def distances(arcs: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, cost) of all nodes that a source reaches, itself at 0 included."""
-    if not fits(arcs):
+    try:
+        net = Network.of(arcs, "cost")
+    except TooLarge:
         return distances_by_joins(arcs, sources)
-    net = Network.of(arcs, "cost")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -142,9 +148,10 @@ def _trees(arcs: DataFrame, start: DataFrame) -> DataFrame:
 
 def within(arcs: DataFrame, requests: DataFrame) -> DataFrame:
     """(request) of the requests (request, source, target, budget) whose target can be reached for at most the budget."""
-    if not fits(arcs):
+    try:
+        net = Network.of(arcs, "cost")
+    except TooLarge:
         return _within_by_joins(arcs, requests)
-    net = Network.of(arcs, "cost")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -205,9 +212,10 @@ def routes(arcs: DataFrame, requests: DataFrame, costs: tuple[str, ...] = ("cost
     parallel; the cheapest serves. A network too large to send to workers is
     solved by joins.
     """
-    if not fits(arcs, len(costs)):
+    try:
+        net = Network.of(arcs, *costs)
+    except TooLarge:
         return routes_by_joins(arcs, requests, costs)
-    net = Network.of(arcs, *costs)
     schema = "objective string, request long, source long, target long, cost double, arcs array<long>"
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,7 +364,8 @@ def round_trips(arcs: DataFrame, requests: DataFrame, tolerance: float = 0.12, m
     their streets the flatter stays. arcs has cost, gain, x and y of dst.
     """
     net = Network.of(arcs, "cost", "gain")
-    place = {r.dst: (r.x, r.y) for r in arcs.select("dst", "x", "y").distinct().collect()}  # at most a row an arc, whose number is bounded
+    spots = arcs.select("dst", "x", "y").distinct().toArrow()  # at most a row an arc, whose number is bounded
+    place = dict(zip(spots["dst"].to_pylist(), zip(spots["x"].to_pylist(), spots["y"].to_pylist(), strict=True), strict=True))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         xy = np.array([place.get(int(i), (0.0, 0.0)) for i in net.ids])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopewise.operators import paths, spatial
-from slopewise.operators.components import connected_components
+from slopewise.operators.components import network_components
 from slopewise.operators.topology import spanning_forest
 from slopewise.session import cut
 
@@ -59,7 +59,7 @@ def reconnect(kept: DataFrame, sidewalks: DataFrame) -> DataFrame:
     Components become single nodes, a forest of least length over the
     sidewalks joins them, and its branches that end in no component go.
     """
-    comp = cut(connected_components(kept.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+    comp = cut(network_components(kept.select(F.col("u").alias("a"), F.col("v").alias("b"))))
     label = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     rows = sidewalks.select("edge_id", "u", "v", "len").join(label("u"), "u", "left").join(label("v"), "v", "left")
     # Nodes of no component get numbers below zero.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slopewise.operators.components import connected_components
+from slopewise.operators.components import network_components
 from slopewise.operators.paths import Network, fits
 from slopewise.session import cut
 
@@ -124,7 +124,7 @@ def _forest(rows: DataFrame) -> pd.DataFrame:
         if held is not None:
             yield held
 
-    return _kruskal(rows.mapInPandas(reduce, rows.schema).toPandas())
+    return _kruskal(rows.mapInPandas(reduce, rows.schema).toArrow().to_pandas())
 
 
 def forest_by_joins(edges: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def forest_by_joins(edges: DataFrame) -> DataFrame:
         lowest = cut(ways.groupBy("a").agg(F.min(F.struct("crest", "edge_id", "b", "u", "v")).alias("e")).select("a", "e.*").dropDuplicates(["edge_id"]))
         more = lowest.select("u", "v", "crest", "edge_id")
         taken = more if taken is None else taken.unionByName(more)
-        joined = connected_components(lowest, "a", "b").withColumnRenamed("node", "part")
+        joined = network_components(lowest, "a", "b").withColumnRenamed("node", "part")
         home = cut(home.join(joined, "part", "left").select("node", F.coalesce("component", "part").alias("part")))
         now = lambda end, to: home.select(F.col("node").alias(end), F.col("part").alias(to))
         left = cut(left.drop("a", "b").join(now("u", "a"), "u").join(now("v", "b"), "v").where("a <> b"))
@@ -239,7 +239,7 @@ def basins(edges: DataFrame, heights: DataFrame, threshold: float, least: float)
     low = heights.where(F.col("z") <= threshold).select("node")
     inside = edges.join(low.withColumnRenamed("node", "u"), "u", "left_semi").join(low.withColumnRenamed("node", "v"), "v", "left_semi")
     once = inside.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min("len").alias("len"))
-    found = connected_components(once)
+    found = network_components(once)
     sizes = once.join(found.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.sum("len").alias("total")).where(F.col("total") >= least)
     return found.join(sizes, "component").select("node", F.col("component").alias("basin"))
 

@@ -218,7 +218,7 @@ def city_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sidewalk_shortcuts",
     """WITH stay AS MATERIALIZED (SELECT u, v, len FROM edge WHERE cls <> 'footway'), link AS MATERIALIZED (SELECT u AS s, v AS t, len FROM stay UNION ALL SELECT v, u, len FROM stay),
-            live AS (SELECT DISTINCT s AS node FROM link), beside AS (SELECT edge_id, u, v, len, 3.0::DOUBLE * len + 2500 AS most FROM edge WHERE cls = 'footway'),
+            live AS (SELECT DISTINCT s AS node FROM link), beside AS (SELECT edge_id, u, v, len, 3.0::DOUBLE * len + 2500 AS most FROM edge WHERE cls = 'footway' AND edge_id < 1000000000),
             one AS (SELECT edge_id, t AS stop, w.len AS total, most, v FROM beside JOIN link w ON w.s = beside.u WHERE w.len <= most),
             two AS (SELECT edge_id, t AS stop, total + w.len AS total, most, v FROM one JOIN link w ON w.s = one.stop WHERE total + w.len <= most),
             three AS (SELECT edge_id, t AS stop, total + w.len AS total, most, v FROM two JOIN link w ON w.s = two.stop WHERE total + w.len <= most),
@@ -227,7 +227,7 @@ def city_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT edge_id FROM beside WHERE edge_id NOT IN (FROM held) OR u NOT IN (FROM live) OR v NOT IN (FROM live)""",
 )
 def sidewalk_shortcuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Footways that the other streets have no way round for, of three times their length at most."""
+    """Footways, but for parallel ones, that the other streets have no way round for, of three times their length at most; that is four edges."""
     rows = streets._straight(spark, sf_dir)
     corners = net.nodes(spark, sf_dir).select("node", "x", "y")
-    return sidewalks.shortcuts(rows.where("cls <> 'footway'").select("u", "v", "len"), rows.where("cls = 'footway'"), corners, 3.0, 2500.0, 3000.0)
+    return sidewalks.shortcuts(rows.where("cls <> 'footway'").select("u", "v", "len"), rows.where(f"cls = 'footway' and edge_id < {net.PARALLEL}"), corners, 3.0, 2500.0, 3000.0)
