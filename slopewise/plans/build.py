@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slopewise.config import Settings
 from slopewise.functions import geometry, text
-from slopewise.operators import access, corridors, elevation, paths, profiles, raster, runs, sidewalks, spatial
+from slopewise.operators import access, corridors, elevation, paths, raster, runs, sidewalks, spatial, topology
 from slopewise.operators.costs import OBJECTIVES, arc_cost
 from slopewise.plans import heights, routing, streets
 from slopewise.plans.registry import query
@@ -17,26 +19,25 @@ from slopewise.plans.streets import _FACTS
 from slopewise.session import cut
 from slopewise.sources import street_network as net
 
-#: Stations of an edge in the build.
-STATIONS = 20
-
-
-def stations(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
-    """(edge_id, i, dist, z): heights in metres off the raster of corners, along each edge; null at the raster's rim."""
+def stations(spark: SparkSession, sf_dir: str, edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(edge_id, i, dist, z): heights in metres off the smoothed raster of corners, along each edge; null at the raster's rim."""
     place = net.nodes(spark, sf_dir).select(F.col("node").alias("u"), "col", "row")
-    rows = edges.join(place, "u").select("edge_id", "len", "col", "row", F.col("segment").startswith("r").alias("right"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(STATIONS)), lambda i: i / STATIONS)).alias("i", "f"))
+    at = geometry.densify(F.col("len") / 100, settings.sample_spacing, settings.least_samples)
+    rows = edges.join(place, "u").select("edge_id", "len", "col", "row", F.col("segment").startswith("r").alias("right"), F.posexplode(at).alias("i", "dist")).withColumn("f", F.col("dist") * 100 / F.col("len"))
     spots = rows.select(F.struct("edge_id", "i").alias("spot"), (F.col("col") + F.when(F.col("right"), F.col("f")).otherwise(0.0) + 0.5).alias("px"), (F.col("row") + F.when(F.col("right"), 0.0).otherwise(F.col("f")) + 0.5).alias("py"))
-    z = raster.sample(spots, heights._cells(spark, sf_dir), "spot").select("spot.*", (F.col("z") / 100).alias("z"))
-    return rows.select("edge_id", "i", (F.col("f") * F.col("len") / 100).alias("dist")).join(z, ["edge_id", "i"], "left")
+    cells, sigma = heights._cells(spark, sf_dir), settings.dem_sigma * 100 / net.CELL
+    cells = raster.smooth(cells, sigma) if sigma > 0 else cells
+    z = raster.sample(spots, cells, "spot").select("spot.*", (F.col("z") / 100).alias("z"))
+    return rows.select("edge_id", "i", "dist").join(z, ["edge_id", "i"], "left")
 
 
-def built(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+def built(spark: SparkSession, sf_dir: str, edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(edge_id, dist, z): rectified profiles of the edges."""
     edges = cut(edges)
     on_raster = net.nodes(spark, sf_dir).select("node", (F.col("z") / 100).alias("z"))
     known = elevation.node_heights(edges.select("u", "v", "len", "is_structure"), on_raster)
-    profile = cut(elevation.build(edges, cut(stations(spark, sf_dir, edges)), known))
-    return cut(elevation.rectify(edges, profile))
+    profile = cut(elevation.build(edges, cut(stations(spark, sf_dir, edges, settings)), known, settings.sample_spacing, settings.smooth_window))
+    return cut(elevation.rectify(edges, profile, settings.deadband))
 
 
 def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def built_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elevation.directed(built(spark, sf_dir, _single(spark, sf_dir)), tuple(k / 100 for k in net.GRADES))
 
 
-def built_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def built_arcs(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
     """Arcs of the streets that base_filter keeps and whose class lets one walk, with gain and grades of their built profiles, in centimetres.
 
     The rules of the fixture close so many streets that the rest would not hang together; they are left to the queries on access.
@@ -63,30 +64,43 @@ def built_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = streets.segments(spark, sf_dir).where(f"edge_id < {net.PARALLEL}")
     open_ = access.base_filter(raw).where(access.class_open(F.col("class"), "walk"))
     edges = runs.drop_slivers(_single(spark, sf_dir).join(open_.select("edge_id"), "edge_id", "left_semi"), 50)
-    rows = elevation.directed(built(spark, sf_dir, edges), tuple(k / 100 for k in net.GRADES))
+    rows = elevation.directed(built(spark, sf_dir, edges, settings), tuple(k / 100 for k in net.GRADES))
     ways = edges.select("edge_id", "len", "cls", "name", F.inline(F.array(F.struct(F.lit("fwd").alias("direction"), F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.lit("rev").alias("direction"), F.col("v").alias("src"), F.col("u").alias("dst")))))
     centimetres = [(F.col(c) * 100).alias(c) for c in ("gain", "loss", *[f"above_{k}" for k in net.GRADES])]
     measured = rows.select(F.col("profile").alias("edge_id"), "direction", "max_grade", *centimetres).withColumnsRenamed({f"above_{k}": f"d_above_{k}" for k in net.GRADES})
     return ways.join(measured, ["edge_id", "direction"]).withColumn("arc_id", F.col("edge_id") * 2 + F.when(F.col("direction") == "fwd", 0).otherwise(1))
 
 
-@query("built_corridors")
-def built_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way from raw pieces to corridors: filter, access, slivers, profiles, arcs, routes of all pairs in the largest component, usage, scores, corridors."""
-    from slopewise.operators import topology
+@dataclass(frozen=True)
+class Analysis:
+    """What a run of the whole analysis leaves: arcs of the largest component, compared trips, and corridors."""
+
+    arcs: DataFrame
+    trips: DataFrame
+    corridors: DataFrame
 
-    arcs = cut(built_arcs(spark, sf_dir))
+
+def analyse(spark: SparkSession, sf_dir: str, settings: Settings = Settings()) -> Analysis:
+    """The whole way from raw pieces to corridors: filter, access, slivers, profiles, arcs, routes of all pairs in the largest component, usage, scores, corridors."""
+    arcs = cut(built_arcs(spark, sf_dir, settings))
     inside = cut(topology.largest_strong_component(arcs.select("src", "dst", "arc_id")))
-    arcs = arcs.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    arcs = cut(arcs.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     costed = arcs.select("src", "dst", "arc_id", *[(arc_cost(o, "walk") + F.expr(routing.TIE)).alias(o.name) for o in OBJECTIVES])
-    steps = cut(paths.steps(paths.routes(costed, routing._requests(spark, sf_dir), tuple(o.name for o in OBJECTIVES))).join(arcs.select("arc_id", "edge_id", "len", "gain", F.col("max_grade").alias("grade")), "arc_id"))
-    trips = steps.groupBy("objective", "request").agg(F.sum("len").alias("distance"), F.sum("gain").alias("gain"))
-    trips = paths.comparisons(trips.withColumns({"mode": F.lit("walk"), "origin": F.expr("request div 1000"), "destination": F.col("request") % 1000}))
+    asked = routing._requests(spark, sf_dir, rank=settings.point_rank)
+    steps = cut(paths.steps(paths.routes(costed, asked, tuple(o.name for o in OBJECTIVES))).join(arcs.select("arc_id", "edge_id", "len", "gain", F.col("max_grade").alias("grade")), "arc_id"))
+    trips = steps.groupBy("objective", "request").agg(F.sum("len").alias("distance"), F.sum("gain").alias("gain"), F.max("grade").alias("max_grade"))
+    trips = cut(paths.comparisons(trips.withColumns({"mode": F.lit("walk"), "origin": F.expr("request div 1000"), "destination": F.col("request") % 1000})))
     usage = cut(corridors.usage(steps.where("objective <> 'shortest'").select("request", "objective", "edge_id"), trips.select("request", "objective", "origin", "destination", "saved", "efficiency")))
     place = net.nodes(spark, sf_dir).select("node", "x", "y")
     edges = net.edges(spark, sf_dir).join(place.selectExpr("node as u", "x as x0", "y as y0"), "u").join(place.selectExpr("node as v", "x as x1", "y as y1"), "v").withColumn("low_stress", access.low_stress(F.col("cls"), access.bike_facility(F.col("cls"), F.col("bike_ok"))))
     scored = cut(corridors.scores(usage, edges).join(usage.drop("efficiency"), "edge_id"))
-    return corridors.corridors(scored, edges).select("rank", "corridor", "names", "n", "length", "total_score", "n_pieces")
+    return Analysis(arcs, trips, corridors.corridors(scored, edges, settings.corridor_quantile, least=settings.corridor_length * 100))
+
+
+@query("built_corridors")
+def built_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corridors of the whole analysis."""
+    return analyse(spark, sf_dir).corridors.select("rank", "corridor", "names", "n", "length", "total_score", "n_pieces")
 
 
 @query("sliver_drop", "SELECT edge_id, len FROM edge WHERE len - 8000 > 2000")

@@ -75,9 +75,9 @@ def pair_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(ends, "node", "left_semi").where("source <> node").select(F.col("source").alias("origin"), F.col("node").alias("destination"), F.round("cost", 3).alias("cost"))
 
 
-def _requests(spark: SparkSession, sf_dir: str, only_first: bool = False) -> DataFrame:
+def _requests(spark: SparkSession, sf_dir: str, only_first: bool = False, rank: int = 0) -> DataFrame:
     """Trips between all ordered pairs of neighbourhoods, or those from the first alone; request is origin * 1000 + destination."""
-    points = access_points(spark, sf_dir).withColumn("hood", F.col("hood").cast("long"))
+    points = access_points(spark, sf_dir, rank).withColumn("hood", F.col("hood").cast("long"))
     starts = points.select(F.col("hood").alias("origin"), F.col("node").alias("source"))
     if only_first:
         starts = starts.orderBy("origin").limit(1)

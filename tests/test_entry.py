@@ -1,3 +1,4 @@
+import json
 import subprocess
 import sys
 from pathlib import Path
@@ -15,16 +16,20 @@ def test_entry_and_names(spark):
 
 
 def test_rest_stands_without_the_training_data_parts(tmp_path):
-    """Without the subpackage and the pipeline the entry still offers everything else."""
+    """Without the subpackage, whether the pipeline is there or not, the entry still offers everything else."""
     for p in ROOT.glob("slopewise/**/*.py"):
         if "llm" not in p.parts:
             to = tmp_path / p.relative_to(ROOT)
             to.parent.mkdir(parents=True, exist_ok=True)
             to.write_text(p.read_text())
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
+    (tmp_path / "bench.py").write_text((ROOT / "bench.py").read_text())
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in q), q; print(len(e.oracle_sql()))"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
-    assert done.returncode == 0, done.stderr
+    for pipeline in (False, True):
+        if pipeline:
+            (tmp_path / "corpus_pipeline.py").write_text((ROOT / "corpus_pipeline.py").read_text())
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0, done.stderr
 
 
 def test_command_line(spark, capsys):
@@ -34,3 +39,12 @@ def test_command_line(spark, capsys):
     assert cli.main(["route", "--from", "0", "--to", "505"], spark) in (0, 2)
     assert cli.main(["validate"], spark) == 0
     assert cli.main(["report"], spark) == 0 and "| balanced |" in capsys.readouterr().out
+
+
+def test_sensitivity_writes_its_tables(spark, tmp_path):
+    assert cli.main(["sensitivity", "--to", str(tmp_path), "--runs", "baseline", "deadband_1m", "--settings", '{"corridor_quantile": 0.5, "corridor_length": 100, "unknown": 1}'], spark) == 0
+    rows = json.loads((tmp_path / "summary.json").read_text())
+    assert [r["tag"] for r in rows] == ["baseline", "deadband_1m"] and [r["settings"]["deadband"] for r in rows] == [0.5, 1.0]
+    assert all(r["shortest_detour_pct"] == 0 and r["min_climb_gain_m"] <= r["shortest_gain_m"] and r["settings"]["corridor_length"] == 100 for r in rows)
+    assert rows[1]["gain_per_km"] <= rows[0]["gain_per_km"] + 1e-9 and rows[0]["lead_overlap_pct"] == 100
+    assert len((tmp_path / "sensitivity.csv").read_text().splitlines()) == 3 and "| gain_per_km |" in (tmp_path / "sensitivity.md").read_text()
