@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from slopewise.config import Settings
 from slopewise.operators import costs, paths
-from slopewise.plans import catalogue, checks, routing, sensitivity, streets
+from slopewise.plans import catalogue, checks, layers, routing, sensitivity, streets
 from slopewise.sources import files
 
 
@@ -38,6 +38,8 @@ def parser() -> argparse.ArgumentParser:
     route.add_argument("--mode", choices=("walk", "bike"), default="walk")
     for name in ("validate", "report", "sweep"):
         commands.add_parser(name)
+    maps = commands.add_parser("layers", help="map layers as GeoJSON")
+    maps.add_argument("--to", required=True, help="folder for a folder of each layer")
     grid = commands.add_parser("sensitivity", help="the whole analysis again with one setting changed at a time")
     grid.add_argument("--to", required=True, help="folder for summary.json, sensitivity.csv and sensitivity.md")
     grid.add_argument("--runs", nargs="*", choices=sorted(sensitivity.RUNS), help="some of the runs; the first is compared with")
@@ -81,6 +83,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in found:
             print("ok  " if r.ok else "FAIL", r.check, r.detail)
         return int(not all(r.ok for r in found))
+    elif args.command == "layers":
+        print(*layers.write(spark, args.tables, args.to), sep="\n")
     elif args.command == "sensitivity":
         runs = {k: sensitivity.RUNS[k] for k in args.runs or sensitivity.RUNS}
         sensitivity.write(sensitivity.sweep(spark, args.tables, runs, Settings().overridden(args.settings)), args.to)

@@ -130,6 +130,25 @@ def transverse_mercator(lon: Column, lat: Column, central: float = -123.0) -> tu
     return x, y
 
 
+def geographic(x: Column, y: Column, central: float = -123.0) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of a place on the plane of transverse_mercator, by Krueger's series to the third order."""
+    a, f, scale = 6378137.0, 1 / 298.257222101, 0.9996
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    north, east = y / (scale * radius), (x - 500_000.0) / (scale * radius)
+    xi, eta = north, east
+    for k, b in enumerate(beta, 1):
+        xi = xi - b * F.sin(2 * k * north) * F.cosh(2 * k * east)
+        eta = eta - b * F.cos(2 * k * north) * F.sinh(2 * k * east)
+    conformal = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = conformal
+    for k, d in enumerate(delta, 1):
+        lat = lat + d * F.sin(2 * k * conformal)
+    return central + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(lat)
+
+
 def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
     """The points of a line that Douglas and Peucker's method keeps; both ends always."""
     keep, work = {0, len(points) - 1}, [(0, len(points) - 1)]

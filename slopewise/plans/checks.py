@@ -93,14 +93,27 @@ def flat_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_route_verdicts(routing._compared(spark, sf_dir))
 
 
-def report(spark: SparkSession, sf_dir: str) -> str:
-    """Markdown with the means of each objective and the trips that save most."""
+def _table(title: str, columns: dict[str, str], rows: list) -> list[str]:
+    """Lines of a Markdown table; columns are headings and how to format a row for them."""
+    out = ["", f"## {title}", "", "| " + " | ".join(columns) + " |", "| " + " | ".join("---" for _ in columns) + " |"]
+    return out + ["| " + " | ".join(form.format(r=r) for form in columns.values()) + " |" for r in rows]
+
+
+def report(spark: SparkSession, sf_dir: str, most: int = 10) -> str:
+    """Markdown with the means of each objective, the trips that save most, corridors, passes, barriers, and the checks of streets and heights."""
     from slopewise.plans.catalogue import QUERIES
 
+    rows = lambda name, *order: QUERIES[name](spark, sf_dir).orderBy(*order).limit(most).collect()
     lines = ["# Routes", "", "| objective | trips | detour | saved % | gain | distance |", "| --- | --- | --- | --- | --- | --- |"]
     for r in QUERIES["mean_by_profile"](spark, sf_dir).orderBy("objective").collect():
         lines.append(f"| {r.objective} | {r.n} | {r.detour_ratio:.3f} | {r.saved_pct:.1f} | {r.gain / 100:.1f} m | {r.distance / 100_000:.2f} km |")
-    top = routing._compared(spark, sf_dir).where("objective = 'balanced'").orderBy(F.desc("saved"), "request").limit(10).collect()
-    lines += ["", "## Trips that save most", "", "| to | saved | detour |", "| --- | --- | --- |"]
-    lines += [f"| {r.request} | {r.saved / 100:.1f} m | {r.detour / 100:.0f} m |" for r in top]
+    top = routing._compared(spark, sf_dir).where("objective = 'balanced'").withColumns({"saved_m": F.col("saved") / 100, "detour_m": F.col("detour") / 100}).orderBy(F.desc("saved"), "request").limit(most).collect()
+    lines += _table("Trips that save most", {"from": "{r.origin}", "to": "{r.destination}", "saved": "{r.saved_m:.1f} m", "detour": "{r.detour_m:.0f} m"}, top)
+    lines += _table("Corridors", {"rank": "{r.rank}", "streets": "{r.names}", "length in cm": "{r.length}", "trips": "{r.pairs}", "score": "{r.total_score:.1f}"}, rows("corridors", "rank"))
+    lines += _table("Passes", {"edge": "{r.edge_id}", "pairs": "{r.pairs}", "height in cm": "{r.height:.0f}"}, rows("critical_passes", F.desc("pairs"), "edge_id"))
+    lines += _table("Barriers", {"edge": "{r.edge_id}", "shortest": "{r.shortest}", "flat": "{r.flat:.2f}", "score": "{r.score:.2f}"}, rows("barriers", F.desc("score"), "edge_id"))
+    lines += _table("Steep streets", {"street": "{r.name}", "steepest %": "{r.steepest:.1f}", "as published": "{r.ok}"}, rows("steep_streets", F.desc("steepest"), "name"))
+    lines += _table("Flat streets", {"street": "{r.name}", "gain in m per km": "{r.gain_per_km:.1f}", "flat": "{r.flat}"}, rows("flat_streets", "gain_per_km", "name"))
+    lines += _table("Flat options of trips", {"trip": "{r.request}", "choice": "{r.choice}", "needless climb in cm": "{r.excess}", "ok": "{r.ok}"}, rows("flat_route", F.desc("excess"), "request"))
+    lines += _table("Heights against the other model", {"mean": "{r.mean:.2f}", "median": "{r.median:.2f}", "root mean square": "{r.rms:.2f}", "near": "{r.near:.2f}"}, rows("dem_agreement", "mean"))
     return "\n".join(lines) + "\n"

@@ -57,7 +57,7 @@ def write_geojson(rows: DataFrame, path: str, geometry: str, kind: str = "LineSt
     """One feature a line (newline-delimited GeoJSON), written in parallel; geometry is an array of (x, y)."""
     properties = [c for c in rows.columns if c != geometry]
     pairs = F.transform(F.col(geometry), lambda p: F.array(F.round(p["x"], 6), F.round(p["y"], 6)))
-    shape = F.struct(F.lit(kind).alias("type"), (F.array(pairs) if kind == "Polygon" else pairs).alias("coordinates"))
+    shape = F.struct(F.lit(kind).alias("type"), (F.array(pairs) if kind == "Polygon" else pairs[0] if kind == "Point" else pairs).alias("coordinates"))
     rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), shape.alias("geometry")), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 

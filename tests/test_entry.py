@@ -38,7 +38,31 @@ def test_command_line(spark, capsys):
     assert cli.main(["route", "--from", "0", "--to", "77777"], spark) == 2
     assert cli.main(["route", "--from", "0", "--to", "505"], spark) in (0, 2)
     assert cli.main(["validate"], spark) == 0
-    assert cli.main(["report"], spark) == 0 and "| balanced |" in capsys.readouterr().out
+    assert cli.main(["report"], spark) == 0
+    told = capsys.readouterr().out
+    assert "| balanced |" in told and all(f"## {t}" in told for t in ("Corridors", "Passes", "Barriers", "Steep streets", "Flat options of trips"))
+
+
+def test_layers_are_geojson_in_longitude_and_latitude(spark, tmp_path, capsys):
+    assert cli.main(["layers", "--to", str(tmp_path)], spark) == 0
+    names = capsys.readouterr().out.split()
+    assert names == ["streets", "hoods", "corridors", "barriers", "passes", "basins", "points"]
+    for name in names:
+        rows = [json.loads(line) for p in (tmp_path / name).glob("part-*") for line in p.read_text().splitlines()]
+        assert rows or name in ("corridors", "basins"), name
+        flat = [str(r["geometry"]["coordinates"]).replace("[", "").replace("]", "").split(", ") for r in rows]
+        assert all(-123.1 < float(c[0]) < -121.0 and 47.0 < float(c[1]) < 48.5 for c in flat), name
+
+
+def test_lines_merge_through_nodes_where_two_meet(spark):
+    from slopewise.plans.layers import merge_lines
+
+    place = {1: (0.0, 0.0), 2: (1.0, 0.0), 3: (2.0, 0.0), 4: (3.0, 0.0), 5: (2.0, 1.0), 6: (9.0, 9.0), 7: (9.0, 8.0), 8: (8.0, 8.0)}
+    pairs = [("a", 1, 2), ("a", 3, 2), ("a", 3, 4), ("a", 3, 5), ("ring", 6, 7), ("ring", 7, 8), ("ring", 6, 8)]
+    df = spark.createDataFrame([(k, u, v, [place[u], place[v]]) for k, u, v in pairs], "k string, u long, v long, line array<struct<x: double, y: double>>")
+    got = {r.k: [[(p.x, p.y) for p in line] for line in r.lines] for r in merge_lines(df, "k").collect()}
+    assert sorted(map(len, got["a"])) == [2, 2, 3] and [place[n] for n in (1, 2, 3)] in got["a"]
+    assert got["ring"] == [[place[6], place[7], place[8], place[6]]]
 
 
 def test_sensitivity_writes_its_tables(spark, tmp_path):
