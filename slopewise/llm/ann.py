@@ -86,6 +86,12 @@ def choose_pivots(units: np.ndarray, most: int) -> np.ndarray:
     return units[chosen + [at for at in range(len(units)) if at not in taken][: most - len(chosen)]]
 
 
+def footrule(places: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Footrule distance of each order to one; the rows given are used up."""
+    np.subtract(places, own, out=places)
+    return np.abs(places, out=places).sum(1, dtype=np.int32)
+
+
 @dataclass
 class Pivots:
     """The pivots for vectors of one length. The first ORDERING of them order vectors; all have inverted files."""
@@ -102,7 +108,7 @@ class Pivots:
     def places(self, units: np.ndarray) -> np.ndarray:
         """The place of each ordering pivot in the order of each vector."""
         ordering = self.units[:ORDERING]
-        order = np.argsort(-(units @ ordering.T), axis=1, kind="stable")
+        order = np.argsort(-(units @ ordering.T), axis=1)  # pivots that are equally far stand in any order
         place = np.empty(order.shape, np.int16)
         np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
         return place
@@ -111,7 +117,7 @@ class Pivots:
         """For each vector the footrule distance within which the nearest share of the sample lies."""
         known, rank = self.places(self.sample), min(len(self.sample), max(1, round(self.near * len(self.sample)))) - 1
         own = self.places(units)
-        return np.array([np.partition(np.abs(known - p).sum(1, dtype=np.int32), rank)[rank] for p in own], np.int32)
+        return np.array([np.partition(footrule(known.copy(), p), rank)[rank] for p in own], np.int32)
 
 
 def learn(entries: DataFrame, per_root: float = PER_ROOT, least: int = LEAST_PIVOTS, most: int = MOST_PIVOTS, sampled: int = SAMPLED, near: float = NEAR) -> dict[int, Pivots]:
@@ -198,7 +204,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                 earlier = np.zeros(len(pivots.units), bool)
                 earlier[own_pivots[q][: own_pivots[q].index(pivot)]] = True
                 found = np.flatnonzero(~earlier[under].any(1))
-                found = found[np.abs(places[found] - own_places[q]).sum(1, dtype=np.int32) <= radius[q]]
+                found = found[footrule(places[found], own_places[q]) <= radius[q]]
                 if len(found):
                     score = cosines(held[found], sought[q])
                     bound = np.partition(score, -min(k + 1, len(score)))[-min(k + 1, len(score))]
