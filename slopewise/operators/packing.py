@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from slopewise.session import cut
+
 TYPES = {"u1": "<u1", "u2": "<u2", "i2": "<i2", "u4": "<u4", "i4": "<i4", "f4": "<f4"}
 
 
@@ -34,10 +36,18 @@ def bits(*flags: Column) -> Column:
     return total
 
 
+def numbered(values: DataFrame, column: str, number: str, start: int = 0) -> DataFrame:
+    """The distinct values of a one-column table with their place in order; ranges of values are counted first, so no task sees them all."""
+    ranges = cut(values.distinct().repartitionByRange(F.col(column))).withColumn("range", F.spark_partition_id())
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    base = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(W.partitionBy("range").orderBy(column))
+    return ranges.withColumn("at", inside).join(F.broadcast(base), "range").select(column, (F.col("base") + F.col("at") + (start - 1)).alias(number))
+
+
 def dictionary(rows: DataFrame, column: str) -> DataFrame:
     """(column, number): distinct values in order from 1; null and empty ones are 0 and not listed."""
-    known = rows.where(F.coalesce(column, F.lit("")) != "").select(column).distinct()
-    return known.withColumn("number", F.row_number().over(W.orderBy(column)))
+    return numbered(rows.where(F.coalesce(column, F.lit("")) != "").select(column), column, "number", 1)
 
 
 def row_pointers(arcs: DataFrame, nodes: DataFrame, stretch: int = 4096) -> DataFrame:

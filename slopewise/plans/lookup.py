@@ -211,7 +211,7 @@ def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = _best(spark, sf_dir).select("name", F.coalesce("group", F.lit("landmark")).alias("kind"))
-    return places.search("17 Oak Street", kinds, places.addresses(address_rows(spark, sf_dir)), places.intersections(net.edges(spark, sf_dir)))
+    return places.search("17 Oak Street", kinds, places.address_points(address_rows(spark, sf_dir)), places.intersections(net.edges(spark, sf_dir)))
 
 
 @query("bucketise", "SELECT edge_id, CASE WHEN len >= 12000 THEN 4 WHEN len >= 11000 THEN 3 WHEN len >= 10000 THEN 2 WHEN len >= 9000 THEN 1 ELSE 0 END AS bucket FROM edge")

@@ -128,3 +128,10 @@ def test_sidewalks(spark):
     assert sorted(r.edge_id for r in kept.collect()) == [1, 2, 3]
     joined = sidewalks.reconnect(spark.createDataFrame([(1, 1, 2, 5), (2, 8, 9, 5)], "edge_id long, u long, v long, len long"), spark.createDataFrame([(10, 2, 3, 4), (11, 3, 8, 4), (12, 1, 9, 99), (13, 3, 4, 1)], "edge_id long, u long, v long, len long"))
     assert sorted(r.edge_id for r in joined.collect()) == [10, 11]
+
+
+def test_numbers_follow_the_order_over_many_ranges(spark):
+    rows = spark.createDataFrame([(f"{i * 7919 % 1000:04d}",) for i in range(1500)] + [("",), (None,)], "name string")
+    got = {r["name"]: r.number for r in packing.dictionary(rows, "name").collect()}
+    assert got == {f"{i:04d}": i + 1 for i in range(1000)}
+    assert packing.dictionary(rows.limit(0), "name").collect() == []
