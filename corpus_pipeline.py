@@ -29,11 +29,13 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates stays; rows without an id stay.
 
-    Links are pairs with a Jaccard similarity of at least 0.8 of their five-word
-    shingles. Rows that repeat a kept doc_id give one row, that with the
+    Links are pairs of SimHash fingerprints at three or fewer differing bits,
+    searched by pigeonring chains. Three bits of 64 are strict, so pairs with a
+    Jaccard similarity of at least 0.8 of their five-word shingles are linked
+    besides. Rows that repeat a kept doc_id give one row, that with the
     smallest text.
     """
-    return simhash.one_of_each_group(docs, groups=jaccard.near_duplicates(docs))
+    return simhash.one_of_each_group(docs, groups=simhash.joined(simhash.near_duplicates(docs), jaccard.near_duplicates(docs)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,6 +201,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def joined(groups: DataFrame, others: DataFrame) -> DataFrame:
+    """(doc_id, component_id), one row for each of groups: groups of either kind that share a document are one, named by its smallest doc_id.
+
+    Both are (doc_id, component_id) of the same documents, each group named by its smallest doc_id.
+    """
+    groups = cut(groups.select("doc_id", "component_id"))
+    known = groups.where("doc_id is not null").distinct()
+    to = others.where("doc_id is not null").select("doc_id", F.col("component_id").alias("to")).distinct()
+    met = known.join(to, "doc_id").where("component_id <> to").select("component_id", "to").distinct()
+    found = broadcast_if_small(cut(connected_components(met, "component_id", "to")))
+    return groups.join(found, groups["component_id"] == found["node"], "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

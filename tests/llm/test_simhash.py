@@ -72,3 +72,20 @@ def test_large_groups_are_dealt_in_blocks(spark, monkeypatch):
 def test_hex_digits(spark):
     got = spark.createDataFrame([(0,), (-1,), (255,)], "fp long").select(simhash.hex_digits(F.col("fp")).alias("h")).collect()
     assert [r.h for r in got] == ["0" * 16, "f" * 16, "0" * 14 + "ff"]
+
+
+def test_the_stage_of_the_pipeline_links_fingerprints_and_similar_sets(spark):
+    """1 and 2 share a fingerprint but few shingles; 2 and 3, 4 and 5 have similar sets; 6 is alone."""
+    import corpus_pipeline
+    from slopewise.llm import jaccard
+
+    often = "one two three four five " * 200
+    words = lambda at, n: " ".join(f"w{at + k}" for k in range(n))
+    texts = [often + words(0, 12), often + words(100, 40), often + words(100, 41), words(500, 60), words(500, 61), words(900, 60)]
+    docs = spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    bits = [simhash.simhash(t.encode()) for t in texts]
+    assert (bits[0] ^ bits[1]).bit_count() <= 3 < (bits[3] ^ bits[4]).bit_count()
+    only = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert only[1] != only[2] == only[3]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 4, 6]
