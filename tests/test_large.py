@@ -28,7 +28,7 @@ def test_places_are_merged_not_broadcast(spark, monkeypatch, name):
 
 
 #: Queries over routes, whose network must not pass through the driver.
-ROUTES = ["edge_usage", "flat_route", "trip_comparison", "route_geometry", "route_profile", "point_along_route"]
+ROUTES = ["edge_usage", "flat_route", "trip_comparison", "route_geometry", "route_profile", "point_along_route", "edge_scores"]
 
 
 @pytest.mark.parametrize("name", ROUTES)
