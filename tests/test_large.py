@@ -28,7 +28,7 @@ def test_places_are_merged_not_broadcast(spark, monkeypatch, name):
 
 
 #: Queries over routes, whose network must not pass through the driver.
-ROUTES = ["edge_usage", "flat_route", "trip_comparison", "route_geometry", "route_profile", "point_along_route", "edge_scores", "default_trip", "barriers", "corridors", "route_summary", "mean_by_profile", "pareto_front", "bike_route_summary", "corridor_material", "top_barriers"]
+ROUTES = ["edge_usage", "flat_route", "trip_comparison", "route_geometry", "route_profile", "point_along_route", "edge_scores", "default_trip", "barriers", "corridors", "route_summary", "mean_by_profile", "pareto_front", "bike_route_summary", "corridor_material", "top_barriers", "run_summary"]
 
 
 @pytest.mark.parametrize("name", ROUTES)
