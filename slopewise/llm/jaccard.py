@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopewise.llm.common import as_bytes, broadcast_if_small, id_and_bytes, pieces, small_batches
-from slopewise.operators.components import connected_components
+from slopewise.operators.components import network_components
 from slopewise.session import cut
 
 WIDTH, SIMILAR = 5, 0.8
@@ -167,7 +167,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     # The key is complemented so that the join deals both sides anew and a hot one can be split.
     shared = shared.select(F.bitwise_not("band").alias("nband"), F.col("first.key").alias("to"))
     met = keyed.withColumn("nband", F.bitwise_not("band")).join(shared, "nband").where("key <> to").select("key", "to").distinct()
-    group = connected_components(met, "key", "to").withColumnsRenamed({"node": "key", "component": "part"})
+    group = network_components(met, "key", "to").withColumnsRenamed({"node": "key", "component": "part"})
     group = cut(group.join(nodes.select("key", "node", "n"), "key"))
     sizes = group.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     large = broadcast_if_small(cut(sizes.where("blocks > 1")))
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not repeated.isEmpty():
         bound = known.join(nodes.select("key", "node"), "key").select("doc_id", "node").distinct()
         links = links.unionByName(bound.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    found = connected_components(links)
+    found = network_components(links)
     labelled = nodes.join(found, "node", "left").select(F.col("key").alias("of"), F.coalesce("component", "node").alias("component_id"))
     joined = signed.select("doc_id", "key").join(labelled, F.col("key") == labelled["of"], "left")
     return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

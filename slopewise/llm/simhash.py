@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slopewise.llm.common import as_bytes, broadcast_if_small, id_and_bytes, pieces, small_batches
-from slopewise.operators.components import connected_components
+from slopewise.operators.components import network_components
 from slopewise.session import cut
 
 SEED = 42
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not repeated.isEmpty():
         bound = known.join(nodes, "fp").select("doc_id", "node").distinct()
         links = links.unionByName(bound.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    found = connected_components(links)
+    found = network_components(links)
     small_batches(docs.sparkSession)
     labelled = nodes.join(found, "node", "left").select(F.col("fp").alias("of"), F.coalesce("component", "node").alias("component_id"))
     joined = prints.join(labelled, prints["fp"] == labelled["of"], "left")
@@ -210,7 +210,7 @@ def joined(groups: DataFrame, others: DataFrame) -> DataFrame:
     known = groups.where("doc_id is not null").distinct()
     to = others.where("doc_id is not null").select("doc_id", F.col("component_id").alias("to")).distinct()
     met = known.join(to, "doc_id").where("component_id <> to").select("component_id", "to").distinct()
-    found = broadcast_if_small(cut(connected_components(met, "component_id", "to")))
+    found = broadcast_if_small(cut(network_components(met, "component_id", "to")))
     return groups.join(found, groups["component_id"] == found["node"], "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
 
 

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline
 
 from slopewise.llm import jaccard
+from slopewise.operators import components
 from tests.llm import brute
 
 
@@ -54,3 +55,16 @@ def test_groups_in_blocks_rows_without_id_and_repeated_ids(spark, monkeypatch):
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(i, 0) for i in range(60)} | {(100, 0), (101, 0), (None, None)}
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """Each round's exchanges took threads and memory of the driver; many links still go by rounds, to the same groups."""
+    rows = list(enumerate(edited_copies(random.Random(3))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rounds, check = [], components._unfinished
+    monkeypatch.setattr(components, "_unfinished", lambda edges: rounds.append(1) or check(edges))
+    few = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert not rounds and len(few) < len(rows)
+    monkeypatch.setattr(components, "MOST_LINKS", 0)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == few
+    assert rounds
