@@ -6,7 +6,11 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from slopewise.operators import paths, places
+from pyspark.sql import functions as F
+
+from slopewise.functions import geometry
+from slopewise.operators import packing, paths, places
+from slopewise.sources import street_network as net
 
 TABLES = "/root/testdata/sf0.001"
 #: Queries over places that join tables as large as `part` or larger.
@@ -66,3 +70,27 @@ def test_costs_are_held_one_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(paths, "routes_by_joins", None)
     got = paths.routes(rows, spark.createDataFrame([(1, 0, 30)], "request long, source long, target long"), ("a", "b", "c")).collect()
     assert {r.objective: (r.cost, r.arcs) for r in got} == {k: (30.0 * v, list(range(30))) for k, v in (("a", 1), ("b", 2), ("c", 3))}
+
+
+def test_packing_goes_past_the_driver(spark, monkeypatch):
+    n, e, a = net.nodes(spark, TABLES), net.edges(spark, TABLES), net.arcs(spark, TABLES)
+    corners = n.select("node", "x", "y", "z", geometry.morton(F.col("col"), F.col("row")).alias("k")).toPandas().sort_values(["k", "node"], ignore_index=True)
+    streets = e.select("edge_id", "len", "name", "cls").toPandas().sort_values("edge_id", ignore_index=True)
+    ways = a.toPandas()
+    ways["s"], ways["t"] = (ways[c].map({v: i for i, v in enumerate(corners["node"])}) for c in ("src", "dst"))
+    ways = ways.sort_values(["s", "arc_id"])
+
+    def never(*_):
+        raise AssertionError("the network went through the driver")
+
+    for name in ("toPandas", "toArrow"):
+        monkeypatch.setattr(type(n), name, never)
+    arrays, strings = packing.read_bundle(packing.pack_network(n, e, a))
+    assert strings == {"names": sorted(streets["name"].unique()), "classes": sorted(streets["cls"].unique())}
+    for c in "xyz":
+        assert np.array_equal(arrays[c], corners[c])
+    assert np.array_equal(np.repeat(np.arange(len(corners)), np.diff(arrays["first"])), ways["s"])
+    assert np.array_equal(arrays["head"], ways["t"]) and np.array_equal(arrays["gain"], ways["gain"])
+    assert np.array_equal(arrays["flags"], ways["walk"] + 2 * ways["bike"] + 4 * (ways["direction"] == "rev"))
+    assert np.array_equal(streets["edge_id"].to_numpy()[arrays["edge"]], ways["edge_id"]) and np.array_equal(arrays["len"], streets["len"])
+    assert [strings["names"][i - 1] for i in arrays["name"]] == list(streets["name"]) and [strings["classes"][i] for i in arrays["cls"]] == list(streets["cls"])
