@@ -161,3 +161,10 @@ def test_access_points_of_every_rank(spark, rank):
         order = sorted((tier(facts[v]), round((of.x[v] - cx) ** 2 + (of.y[v] - cy) ** 2, 3), v) for v in of.index)
         want[hood] = order[min(rank, len(order) - 1)][2]
     assert {r.hood: r.node for r in streets.access_points(spark, TABLES, rank).collect()} == want
+
+
+def test_the_default_trip_searches_what_it_needs(spark, monkeypatch):
+    asked, routes = [], paths.routes
+    monkeypatch.setattr(paths, "routes", lambda arcs, requests, costs: (asked.append(costs), routes(arcs, requests, costs))[1])
+    entry.queries()["default_trip"](spark, TABLES)
+    assert asked == [("shortest", "balanced")]
